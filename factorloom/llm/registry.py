@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import table
+from factorloom.llm.quality_model import fit_quality, held_out, score_quality
+from factorloom.llm.secret_scan import scan_secrets
 from factorloom.llm.url_filter import Rule, filter_urls
 
 PAGE_RULES = [
@@ -19,6 +21,24 @@ PAGE_RULES = [
 ]
 
 
+#: Documents with a lower score are predicted bad.
+QUALITY_CUT = 0.3
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), use=~held_out())
+    predicted = (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted")
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), PAGE_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -40,7 +60,11 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_url_filters": op6_url_filters}
+    return {
+        "op4_secret_scans": op4_secret_scans,
+        "op6_url_filters": op6_url_filters,
+        "op10_quality_classifier": op10_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
