@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import table
+from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, held_out, score_quality
 from factorloom.llm.secret_scan import scan_secrets
+from factorloom.llm.token_files import fresh_folder, read_tokens, write_tokens
+from factorloom.llm.tokens import default_vocabulary
 from factorloom.llm.url_filter import Rule, filter_urls
 
 PAGE_RULES = [
@@ -25,6 +28,15 @@ PAGE_RULES = [
 QUALITY_CUT = 0.3
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), capacity=2048, end_id=0)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return read_tokens(write_tokens(docs, fresh_folder(docs), default_vocabulary(), end_id=2))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
@@ -61,6 +73,8 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op5_token_files": op5_token_files,
         "op4_secret_scans": op4_secret_scans,
         "op6_url_filters": op6_url_filters,
         "op10_quality_classifier": op10_quality_classifier,
