@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import table
+from factorloom.llm.mixing import mix_sources
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, held_out, score_quality
 from factorloom.llm.secret_scan import scan_secrets
@@ -32,6 +33,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), capacity=2048, end_id=0)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return read_tokens(write_tokens(docs, fresh_folder(docs), default_vocabulary(), end_id=2))
@@ -74,6 +80,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_mix_sources": op3_mix_sources,
         "op5_token_files": op5_token_files,
         "op4_secret_scans": op4_secret_scans,
         "op6_url_filters": op6_url_filters,
