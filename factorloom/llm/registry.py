@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import table
+from factorloom.llm.line_rules import clean_lines
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, held_out, score_quality
@@ -50,6 +51,44 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = clean_lines(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP8_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols FROM docs
+), windows AS (
+  SELECT doc_id, i, list_slice(words, i, i + 4) AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM split)
+), again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n >= 2
+), repeats AS (
+  SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM again) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, unnest(lines) AS line FROM split)
+), judged AS (
+  SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+    (n < 5 AND NOT regexp_matches(line, '[.!?:;,"'')\]…。！？-][\x20\x09-\x0D]*$'))
+    OR (len(regexp_extract_all(line, '[|»›•·]')) >= 2 AND len(regexp_extract_all(line, '[|»›•·]')) * 4 >= n)
+    OR regexp_matches(line, '(?i)(all rights reserved|copyright|licen[cs]ed under|terms of (use|service)|privacy policy|cookie policy|use[sd]? cookies|enable javascript|click here|read more|sign up|log in|subscribe to|share this|skip to (main )?content|back to top|lorem ipsum)')
+    OR len(regexp_extract_all(line, '[#*$%&|<>]{2,}')) * 3 >= n
+    OR len(regexp_extract_all(line, '!!')) * 3 >= n
+    OR (n >= 10 AND len(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) * 3 <= n) AS fails
+  FROM lines WHERE n > 0
+), by_doc AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(chars) FILTER (NOT fails), 0) AS kept_chars FROM judged GROUP BY doc_id
+), counted AS (
+  SELECT s.doc_id, len(words)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars
+  FROM split s LEFT JOIN repeats r USING (doc_id) LEFT JOIN by_doc b USING (doc_id)
+), failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * kept_chars >= 50 * word_chars AS kept FROM failed
+"""
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), use=~held_out())
@@ -84,9 +123,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op4_secret_scans": op4_secret_scans,
         "op6_url_filters": op6_url_filters,
+        "op8_line_rules": op8_line_rules,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL}
+    return {"op6_url_filters": OP6_SQL, "op8_line_rules": OP8_SQL}
