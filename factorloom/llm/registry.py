@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import table
+from factorloom.llm.fingerprint import FIRST, fingerprints, likeness, with_edits
 from factorloom.llm.line_rules import clean_lines
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.packing import pack_documents
@@ -34,6 +35,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), capacity=2048, end_id=0)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, following = with_edits(table(spark, sf_dir, "documents"))
+    rows = rows.select("__key", "text", "edited", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    made = fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint"})
+    after = made.groupBy("__key").agg(F.min("fingerprint").alias("__after")).withColumnRenamed("__key", "__next")
+    pairs = made.join(following.join(after, "__next").select("__key", "__after"), "__key")
+    return pairs.select(
+        F.nullif("__key", F.lit(FIRST)).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("__after")).alias("near_next"),
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -119,6 +137,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_fingerprints": op2_fingerprints,
         "op3_mix_sources": op3_mix_sources,
         "op5_token_files": op5_token_files,
         "op4_secret_scans": op4_secret_scans,
