@@ -14,6 +14,7 @@ from factorloom.llm.mixing import mix_sources
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, held_out, score_quality
 from factorloom.llm.secret_scan import scan_secrets
+from factorloom.llm.substring_dedup import remove_repeats
 from factorloom.llm.token_files import fresh_folder, read_tokens, write_tokens
 from factorloom.llm.tokens import default_vocabulary
 from factorloom.llm.url_filter import Rule, filter_urls
@@ -69,6 +70,17 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), match=50)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = clean_lines(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -142,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op4_secret_scans": op4_secret_scans,
         "op6_url_filters": op6_url_filters,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_line_rules": op8_line_rules,
         "op10_quality_classifier": op10_quality_classifier,
     }
