@@ -1,17 +1,69 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns a
+DataFrame; all but the last return the columns of ``documents``. Null texts count as empty, repeated
+rows stay repeated unless a stage's own rule removes them, and an empty table passes as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factorloom.llm.common import materialize, table
+from factorloom.llm.mixing import mix_sources
+from factorloom.llm.near_dedup import near_duplicates
+from factorloom.llm.packing import pack_documents
+from factorloom.llm.quality_model import fit_quality, score_quality
+from factorloom.llm.registry import QUALITY_CUT
+from factorloom.llm.secret_scan import mask_secrets
+from factorloom.llm.tokens import default_vocabulary
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, out="__score").where(F.col("__score") >= QUALITY_CUT).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    dropped = near_duplicates(docs, percent=75).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return mask_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: 0, 1 or 2 times."""
+    taken = mix_sources(docs, weights=(3, 1, 2), share=1.5, cap=2.0).groupBy("doc_id").agg(F.min("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
+    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    return pack_documents(docs, default_vocabulary(), capacity=2048, end_id=0)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", hide_secrets),
+    ("mixing sources", mix),
+    ("best-fit packing", pack),
+]
 
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the classifier, the sampling or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result is written before the next stage reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
