@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.plans import market  # noqa: F401
+from factorloom.plans.catalog import ORACLES, PLANS
+from factorloom.sources.panel import PanelSource
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return PLANS["panel"](PanelSource(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: lambda spark, sf_dir, plan=plan: plan(PanelSource(spark, sf_dir)) for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
