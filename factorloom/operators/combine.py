@@ -68,7 +68,7 @@ def banded(values: DataFrame, n: int, band: int, score: str = "score") -> DataFr
     past = Window.partitionBy("code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     entered = F.max(F.when(F.col("place") <= n, F.col("trade_date"))).over(past)
     left = F.max(F.when(F.col("place").isNull() | (F.col("place") > n + band), F.col("trade_date"))).over(past)
-    return ranked.where(F.coalesce(entered > left, entered.isNotNull()))
+    return ranked.withColumn("__held", F.coalesce(entered > left, entered.isNotNull())).where("__held").drop("__held")
 
 
 def weigh(picked: DataFrame, how: str, x: str = "score") -> DataFrame:

@@ -11,7 +11,8 @@ RISK_FREE = 0.03
 
 
 def annual_return(ret: Column, periods: int) -> Column:
-    return F.pow(F.product(1 + ret), F.lit(float(periods)) / F.count(ret)) - 1
+    """Compounded to a year; null where everything is lost, as with a spread below -1."""
+    return F.when(F.product(1 + ret) > 0, F.pow(F.product(1 + ret), F.lit(float(periods)) / F.count(ret)) - 1)
 
 
 def drawdown_curve(returns: DataFrame, include_initial: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.plans import market  # noqa: F401
+from factorloom.plans import evaluation, market, strategy  # noqa: F401
 from factorloom.plans.catalog import ORACLES, PLANS
 from factorloom.sources.panel import PanelSource
 
