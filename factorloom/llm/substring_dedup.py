@@ -65,9 +65,13 @@ def _stretch_hashes(eights: np.ndarray, start: np.ndarray, size: np.ndarray, see
 
 
 class Entries:
-    """Columns of index entries: digest, kmer, doc (a row of the batch's documents), start, windows."""
+    """Columns of index entries: digest, kmer, doc (a row of the batch's documents), start, windows.
 
-    NAMES = (("digest", "<u8"), ("kmer", "<u4"), ("doc", "<u4"), ("start", "<u4"), ("windows", "u1"))
+    ``left`` and ``right`` are check values of the k-mer with half of what a window has beside it; a
+    window shares one or the other. They are 0 where no window of the entry reaches so far.
+    """
+
+    NAMES = (("digest", "<u8"), ("kmer", "<u4"), ("doc", "<u4"), ("start", "<u4"), ("windows", "u1"), ("left", "u1"), ("right", "u1"))
 
     def __init__(self, **columns: np.ndarray) -> None:
         self.__dict__.update(columns)
@@ -144,7 +148,14 @@ def sparse_suffixes(data: np.ndarray, bounds: np.ndarray, match: int) -> Entries
     anchor = place[start]
     region = _stretch_hashes(eights, start, windows + match - 1, 1)
     region = _mix(region ^ (anchor - start).astype(np.uint64) * _C[0])
-    return Entries(digest=region, kmer=(hashes[anchor] >> np.uint64(32)).astype("<u4"), doc=doc[start].astype("<u4"), start=(start - bounds[doc[start]]).astype("<u4"), windows=windows.astype("u1"))
+    half = (match - K + 1) // 2
+    sides = {}
+    for side, there, first in (("left", start <= anchor - half, anchor - half), ("right", start + windows - 1 + match >= anchor + K + half, anchor)):
+        value = np.zeros(len(start), "u1")
+        at = first[there]
+        value[there] = _stretch_hashes(eights, at, np.full(len(at), K + half), 4) % np.uint64(255) + np.uint64(1)
+        sides[side] = value
+    return Entries(digest=region, kmer=(hashes[anchor] >> np.uint64(32)).astype("<u4"), doc=doc[start].astype("<u4"), start=(start - bounds[doc[start]]).astype("<u4"), windows=windows.astype("u1"), **sides)
 
 
 def single_windows(data: np.ndarray, start: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,17 +222,23 @@ class Family:
         return Level(*(c[order] for c in columns))
 
 
-def doubtful(kmer: np.ndarray, digest: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Entries whose k-mer occurs in other regions of other documents, too."""
-    if not len(kmer):
-        return np.zeros(0, bool)
-    order = np.argsort(kmer, kind="stable")
-    new = np.flatnonzero(np.diff(kmer[order].astype(np.int64), prepend=-1))
-    varied = np.ones(len(new), bool)
-    for column in (digest[order], ids[order]):
-        varied &= np.minimum.reduceat(column, new) != np.maximum.reduceat(column, new)
-    out = np.zeros(len(order), bool)
-    out[order] = np.repeat(varied, np.diff(np.append(new, len(order))))
+def doubtful(entries: Entries, ids: np.ndarray) -> np.ndarray:
+    """Entries that may share a window with another region of another document.
+
+    They agree with it in the k-mer and in what is beside it on the left or on the right.
+    """
+    out = np.zeros(len(entries), bool)
+    for side in (entries.left, entries.right):
+        key = entries.kmer.astype(np.int64) << 8 | side
+        order = np.argsort(key, kind="stable")
+        order = order[side[order] > 0]
+        if not len(order):
+            continue
+        new = np.flatnonzero(np.diff(key[order], prepend=-1))
+        varied = np.ones(len(new), bool)
+        for column in (entries.digest[order], ids[order]):
+            varied &= np.minimum.reduceat(column, new) != np.maximum.reduceat(column, new)
+        out[order] |= np.repeat(varied, np.diff(np.append(new, len(order))))
     return out
 
 
@@ -317,8 +334,8 @@ def _match(ask: bool):
         unsure = np.zeros(int(edges[-1]), bool)
         if ask and batches:
             live = ~family.later
-            column = lambda name: np.concatenate([getattr(e, name) for _, e in batches])[live]
-            unsure[live] = doubtful(column("kmer"), column("digest"), np.concatenate([d.id[e.doc] for d, e in batches])[live])
+            ids = np.concatenate([d.id[e.doc] for d, e in batches])
+            unsure[live] = doubtful(Entries.concat([e for _, e in batches]).take(live), ids[live])
         for (docs, entries), first in zip(batches, edges, strict=False):
             rows += _marks(docs, entries.take(family.later[first : first + len(entries)]))
             if ask:
@@ -358,7 +375,7 @@ def _windows(match: int, buckets: int):
         at = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
         doc = row[which]
         digest, kmer = single_windows(data, edges[doc] + at, match)
-        entries = Entries(digest=digest, kmer=kmer, doc=doc.astype("<u4"), start=at.astype("<u4"), windows=np.ones(len(at), "u1"))
+        entries = Entries(digest=digest, kmer=kmer, doc=doc.astype("<u4"), start=at.astype("<u4"), windows=np.ones(len(at), "u1"), left=np.zeros(len(at), "u1"), right=np.zeros(len(at), "u1"))
         return _rows(_batch(docs, entries, buckets))
 
     return run
