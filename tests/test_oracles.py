@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-NAMES = ["panel", "universe_filter", "factor_momentum20", "clean_pipeline", "monthly_ic_all_dates", "ic_by_industry", "select_top_n", "trades", "nav_fold", "perf_metrics", "daily_alerts"]
+NAMES = ["panel", "universe_filter", "factor_momentum20", "winsorize", "monthly_ic_all_dates", "ic_by_industry", "select_top_n", "trades", "nav_fold", "perf_metrics", "daily_alerts"]
 
 
 @pytest.fixture(scope="module")
