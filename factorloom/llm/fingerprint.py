@@ -104,7 +104,8 @@ def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     following = materialize(_following(lite), "following")
     # both uses have the same columns, so that one exchange serves both
     rows = docs.select(key, text_of().alias("text"))
-    first = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy("text"))).where("__row = 1")
+    # a lag, as a row number would be limited before the exchange, which then could not be shared
+    first = rows.withColumn("__before", F.lag(F.lit(1)).over(Window.partitionBy("__key").orderBy("text"))).where("__before is null")
     first = first.select(F.col("__key").alias("__next"), F.col("text").alias("__text"))
     wanted = following.join(first, "__next").select("__key", F.left("__text", F.floor(F.col("__n") / 2).cast("int")).alias("__start"))
     half = F.floor(F.length("text") / 2).cast("int")
