@@ -62,21 +62,23 @@ def observed_months(lines: DataFrame) -> DataFrame:
     )
 
 
-def densify(cells: DataFrame) -> DataFrame:
-    """A row for every code and month from the first to the last month of the panel.
+def densify(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """A row for every code and month from the first to the last month of the lines.
 
-    Without it a gap would stretch every horizon that counts rows. The two bounds come to the driver.
+    Without it a gap would stretch every horizon that counts rows. Codes and bounds are read from one
+    column of the lines each, not from the aggregated cells; the two bounds come to the driver.
     """
-    low, high = cells.agg(F.min("trade_date"), F.max("trade_date")).first() or (None, None)
+    low, high = lines.agg(F.min("ship"), F.max("ship")).first()
     if low is None:
         return cells
-    calendar = F.explode(F.sequence(F.lit(low), F.lit(high), F.expr("interval 1 month"))).alias("trade_date")
-    return cells.select("code").distinct().select("code", calendar).join(cells, ["code", "trade_date"], "left")
+    months = F.sequence(F.trunc(F.lit(low), "MM"), F.trunc(F.lit(high), "MM"), F.expr("interval 1 month"))
+    return lines.select("code").distinct().select("code", F.explode(months).alias("trade_date")).join(cells, ["code", "trade_date"], "left")
 
 
 def monthly_panel(source: PanelSource) -> DataFrame:
     """All fields of the factor library; null where a security did not trade in the month."""
-    dense = densify(observed_months(source.lines()))
+    lines = source.lines()
+    dense = densify(observed_months(lines), lines)
     listed = F.min(F.when(F.col("lines") > 0, F.col("trade_date"))).over(Window.partitionBy("code"))
     year = by_code().rowsBetween(-11, 0)
     panel = dense.select(
