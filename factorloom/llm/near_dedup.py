@@ -7,9 +7,11 @@ rarest first, and the ``POSTED_MATCHES - 1`` most frequent pairs are skipped: tw
 of their whole signatures, and those above a match threshold are compared on their full sets.
 
 No list is expanded into all its pairs. First each node is compared with the one pivot, among those of
-its lists, that it agrees with most; after the components of these links, only nodes of different
-components remain to be compared, in blocks, and within a list one large component is never paired
-with itself.
+its lists, that it agrees with most; a list's pivot is the node whose coordinate-value pairs are the
+most frequent, so the text that the others were edited from if it is there. After the components of
+these links only nodes of different components remain. They are compared in blocks, each pair in one
+list only, and within a list one large component is never paired with itself. What leaves a block is
+one link for each two components, not its pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ POSTED = 32
 POSTED_MATCHES = 12
 MATCHES = 31
 SHINGLE = 5
-BLOCK = 512
+BLOCK = 256
 SLICE_BYTES = 4_000_000
 FIRST = -(2**63)
 
@@ -154,18 +156,75 @@ def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two blocks of a list: pairs of nodes of different components with enough collisions."""
+    """Of two blocks of a list: the nodes that have a partner of another component across.
+
+    Partners have enough collisions, and no common key that is less than the list's: so each pair is
+    met in one of its lists only.
+    """
     for batch in batches:
         for row in batch.to_pylist():
-            one, two = ((np.frombuffer(b"".join(x[f"{k}_sketches"]), np.uint8).reshape(-1, COORDINATES), x[f"{k}_nodes"], x[f"{k}_labels"]) for x, k in ((row, "a"), (row, "b")))
-            labels = {label: i for i, label in enumerate(dict.fromkeys([*one[2], *two[2]]))}
-            la, lb = (np.array([labels[x] for x in side[2]]) for side in (one, two))
-            found: list[tuple[bytes, bytes]] = []
-            for i in range(len(la)):
-                near = np.flatnonzero((lb != la[i]) & ((two[0] == one[0][i]).sum(1) >= MATCHES))
-                found += [(min(one[1][i], two[1][j]), max(one[1][i], two[1][j])) for j in near.tolist()]
-            pairs = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
+            sides = []
+            for k in "ab":
+                members = row[f"{k}_members"]
+                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, COORDINATES)
+                below = [{x for x in m["keys"] if x < row["key"]} for m in members]
+                sides.append((members, sketch, below))
+            (one, sketch_a, below_a), (two, sketch_b, below_b) = sides
+            names = {label: i for i, label in enumerate(dict.fromkeys(m["label"] for m in [*one, *two]))}
+            label_a, label_b = (np.array([names[m["label"]] for m in side]) for side in (one, two))
+            with_partner: tuple[set[int], set[int]] = (set(), set())
+            for i in range(len(one)):
+                near = np.flatnonzero((label_b != label_a[i]) & ((sketch_b == sketch_a[i]).sum(1) >= MATCHES))
+                mine = [j for j in near.tolist() if below_a[i].isdisjoint(below_b[j])]
+                if mine:
+                    with_partner[0].add(i)
+                    with_partner[1].update(mine)
+            rows = [(f"{row['key']}/{row['a_name']}/{row['b_name']}", k, side[i]["node"], side[i]["label"]) for k, side, chosen in (("a", one, with_partner[0]), ("b", two, with_partner[1])) for i in sorted(chosen)]
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["task", "side", "node", "label"])
+
+
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of the one side shares with each of the other."""
+    flat_a, flat_b = np.concatenate(one), np.concatenate(two)
+    both = np.intersect1d(flat_a, flat_b)
+    rows_a, rows_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (one, two))
+    out = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(both), 4096):  # dense strips of bounded width
+        strip = both[at : at + 4096]
+        dense = []
+        for flat, rows, n in ((flat_a, rows_a, len(one)), (flat_b, rows_b, len(two))):
+            where = np.minimum(np.searchsorted(strip, flat), len(strip) - 1)
+            hit = strip[where] == flat
+            m = np.zeros((n, len(strip)), np.float32)
+            m[rows[hit], where[hit]] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _across(percent: int):
+    """Links between the two sides of a task by their full sets: one for each two components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sides = []
+        for k in "ab":
+            rows = group.filter(pc.equal(group.column("side"), k)).sort_by("node")
+            nodes, labels = rows.column("node").to_pylist(), rows.column("label").to_pylist()
+            sets, sizes = shingle_sets(rows.column("text").combine_chunks() if len(nodes) else pa.array([], pa.string()))
+            sides.append((nodes, labels, np.split(sets, np.cumsum(sizes)[:-1]) if len(nodes) else [], sizes))
+        (a, label_a, sets_a, size_a), (b, label_b, sets_b, size_b) = sides
+        found: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        if a and b:
+            shared = _shared(sets_a, sets_b)
+            linked = np.argwhere(100 * shared >= percent * (size_a[:, None] + size_b[None, :] - shared))
+            for i, j in linked.tolist():
+                if label_a[i] != label_b[j]:
+                    found.setdefault((label_a[i], label_b[j]), (a[i], b[j]))
+        pairs = sorted(found.values())
+        return pa.table([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -237,15 +296,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     held = posted.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
     # the most frequent pairs are skipped; pairs that no other node has were dropped above
     few = F.greatest(F.size("keys") - (POSTED_MATCHES - 1), F.lit(0))
-    rare = held.select("node", F.explode(F.slice("keys", F.lit(1), few)).alias("k")).select("node", "k.key")
-    posts = materialize(rare.join(nodes.select("node", "sketch"), "node"), "posts")
+    central = F.aggregate("keys", F.lit(0).cast("bigint"), lambda total, k: total + k["often"])
+    rare = held.select("node", central.alias("central"), F.transform(F.slice("keys", F.lit(1), few), lambda k: k["key"]).alias("keys")).where("size(keys) > 0")
+    rare = materialize(rare.join(nodes.select("node", "sketch"), "node"), "node-keys")
+    posts = rare.select(F.explode("keys").alias("key"), "node", "central", "sketch")
 
-    pivots = materialize(posts.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("sketch_a")), "pivots")
+    pivots = posts.groupBy("key").agg(F.max(F.struct("central", "node", "sketch")).alias("p"))
+    pivots = materialize(pivots.select("key", F.col("p.node").alias("a"), F.col("p.sketch").alias("sketch_a")), "pivots")
     with_pivot = posts.select("key", F.col("node").alias("b"), F.col("sketch").alias("sketch_b")).join(pivots, "key").where("a != b")
     tried = with_pivot.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_collisions, f"{PAIR}, matches int")
     best = materialize(tried.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "first-pairs")
 
-    wanted = nodes.join(posts.select("node").distinct(), "node").select("id", "node")
+    wanted = nodes.join(rare.select("node"), "node").select("id", "node")
     texts = rows.join(wanted, "id")  # of an id's several rows the one whose set it is is told below
     texts = materialize(texts.groupBy("node", "id").agg(F.collect_set("text").alias("texts")).select("node", F.explode("texts").alias("text")), "node-texts")
 
@@ -258,7 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     labels = components(first, "first")
     # what is left: lists with nodes of several components
     label = F.coalesce("label", "node").alias("label")
-    told = materialize(posts.join(labels, "node", "left").select("key", "node", "sketch", label), "labelled-posts")
+    told = materialize(posts.join(labels, "node", "left").select("key", "node", label), "labelled-posts")
     mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     # the largest component of a list, or one of them, is its main one
     sizes = materialize(told.groupBy("key", "label").count(), "list-components")
@@ -267,13 +329,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     main = materialize(main, "mixed-lists")
     is_main = F.col("label") == F.col("main")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.when(is_main, F.col("in_main")).otherwise(F.col("others")) / BLOCK))
-    dealt = told.join(main, "key").select("key", is_main.alias("is_main"), block.alias("block"), "node", "sketch", "label")
-    blocks = materialize(dealt.groupBy("key", "is_main", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches"), F.collect_list("label").alias("labels")), "list-blocks")
-    side = lambda k: blocks.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("is_main", "block", "nodes", "sketches", "labels")])
+    dealt = told.join(main, "key").select("key", is_main.alias("is_main"), block.alias("block"), "node", "label").join(rare.select("node", "sketch", "keys"), "node")
+    member = F.struct("node", "sketch", "label", "keys")
+    blocks = materialize(dealt.groupBy("key", "is_main", "block").agg(F.collect_list(member).alias("members")), "list-blocks")
+    name = F.concat(F.when(F.col("is_main"), "m").otherwise("o"), F.col("block").cast("string"))
+    side = lambda k: blocks.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("is_main", "block", "members")], name.alias(f"{k}_name"))
     crossed = side("a").where("not a_is_main").join(side("b"), "key").where("b_is_main or a_block <= b_block")
-    crossed = crossed.select("a_nodes", "a_sketches", "a_labels", "b_nodes", "b_sketches", "b_labels")
-    rest = materialize(crossed.mapInArrow(_blocks, PAIR).distinct(), "rest-pairs")
-    second = materialize(confirm(rest), "rest-links")
+    crossed = crossed.select("key", "a_name", "a_members", "b_name", "b_members")
+    tasks = materialize(crossed.mapInArrow(_blocks, "task string, side string, node binary, label binary"), "block-tasks")
+    second = materialize(tasks.join(texts, "node").groupBy("task").applyInArrow(_across(percent), PAIR), "rest-links")
     labels = components(first.unionAll(second), "all") if second.limit(1).count() else labels
 
     placed = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", label)
