@@ -27,7 +27,7 @@ from factorloom.llm.common import materialize, row_groups, text_of
 #: Bytes of the k-mers whose hashes choose the suffixes.
 K = 20
 #: Bytes of text that are hashed at once, and bytes whose entries are one batch.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
 BATCH_BYTES = 32_000_000
 #: Places take the low bits of a sort key, hashes the rest.
 PLACE_BITS = 30
@@ -316,6 +316,15 @@ def _index(match: int, buckets: int):
     return run
 
 
+def _joined(batches: list[tuple[Docs, Entries]]) -> tuple[Docs, Entries]:
+    """All batches as one, so that a bucket has one answer for each partition of documents."""
+    docs = Docs(**{n: np.concatenate([getattr(d, n) for d, _ in batches] or [np.zeros(0, kind)]) for n, kind in Docs.NAMES})
+    entries = Entries.concat([e for _, e in batches])
+    before = np.cumsum([0, *(len(d.id) for d, _ in batches)])[:-1]
+    entries.doc = entries.doc + np.repeat(before, [len(e) for _, e in batches]).astype("<u4")
+    return docs, entries
+
+
 def _match(ask: bool):
     """One bucket: its batches through the family. ``ask``: for the doubtful entries' windows, too."""
 
@@ -336,10 +345,10 @@ def _match(ask: bool):
             live = ~family.later
             ids = np.concatenate([d.id[e.doc] for d, e in batches])
             unsure[live] = doubtful(Entries.concat([e for _, e in batches]).take(live), ids[live])
-        for (docs, entries), first in zip(batches, edges, strict=False):
-            rows += _marks(docs, entries.take(family.later[first : first + len(entries)]))
-            if ask:
-                rows += [(part, "ask", payload) for part, _, payload in _marks(docs, entries.take(unsure[first : first + len(entries)]))]
+        docs, entries = _joined(batches)
+        rows += _marks(docs, entries.take(family.later))
+        if ask:
+            rows += [(part, "ask", payload) for part, _, payload in _marks(docs, entries.take(unsure))]
         return _rows(rows)
 
     return run
@@ -362,6 +371,16 @@ def _located(docs: Docs, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
 
 
+def _slices(texts: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of rows with their bytes and edges, so that work arrays are bounded for any partition."""
+    if not texts.num_rows:
+        return
+    column = texts.column("text").combine_chunks()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for first, last in row_groups(sizes, SLICE_BYTES):
+        yield first, last, *_buffer(column.slice(first, last - first))
+
+
 def _windows(match: int, buckets: int):
     """The windows of the entries asked for, as entries of their own."""
 
@@ -370,13 +389,19 @@ def _windows(match: int, buckets: int):
             return _rows([])
         docs = _doc_columns(texts)
         row, start, windows = _located(docs, asked.column("payload").to_pylist())
-        data, edges = _buffer(texts.column("text").combine_chunks())
-        which = np.repeat(np.arange(len(row)), windows)
-        at = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        doc = row[which]
-        digest, kmer = single_windows(data, edges[doc] + at, match)
-        entries = Entries(digest=digest, kmer=kmer, doc=doc.astype("<u4"), start=at.astype("<u4"), windows=np.ones(len(at), "u1"), left=np.zeros(len(at), "u1"), right=np.zeros(len(at), "u1"))
-        return _rows(_batch(docs, entries, buckets))
+        order = np.argsort(row, kind="stable")
+        row, start, windows = row[order], start[order], windows[order]
+        found = []
+        for first, last, data, edges in _slices(texts):
+            mine = slice(*np.searchsorted(row, [first, last]))
+            count = windows[mine]
+            which = np.repeat(np.arange(len(count)), count)
+            at = start[mine][which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            doc = row[mine][which]
+            digest, kmer = single_windows(data, edges[doc - first] + at, match)
+            one, none = np.ones(len(at), "u1"), np.zeros(len(at), "u1")
+            found.append(Entries(digest=digest, kmer=kmer, doc=doc.astype("<u4"), start=at.astype("<u4"), windows=one, left=none, right=none))
+        return _rows(_batch(docs, Entries.concat(found), buckets))
 
     return run
 
@@ -387,24 +412,24 @@ def _cut(match: int):
     def run(texts: pa.Table, marked: pa.Table) -> pa.Table:
         docs = _doc_columns(texts)
         row, start, windows = _located(docs, marked.column("payload").to_pylist())
-        data, edges = _buffer(texts.column("text").combine_chunks() if texts.num_rows else pa.array([], pa.string()))
-        depth = np.zeros(len(data) + 1, np.int32)
-        np.add.at(depth, edges[row] + start, 1)
-        np.add.at(depth, edges[row] + start + windows - 1 + match, -1)
-        gone = np.cumsum(depth[:-1]) > 0
-        raw, spans, kept = data.tobytes(), [], []
-        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            mask = gone[first:last]
-            if mask.any():
-                turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
-                spans.append([{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2], strict=True)])
-                kept.append(data[first:last][~mask].tobytes())
-            else:
-                spans.append([])
-                kept.append(raw[first:last])
+        order = np.argsort(row, kind="stable")
+        row, start, windows = row[order], start[order], windows[order]
+        sizes, spans, kept = [], [], []
+        for first, last, data, edges in _slices(texts):
+            mine = slice(*np.searchsorted(row, [first, last]))
+            begin = edges[row[mine] - first] + start[mine]
+            depth = np.bincount(begin, minlength=len(data) + 1).astype(np.int32)
+            depth -= np.bincount(begin + windows[mine] - 1 + match, minlength=len(data) + 1).astype(np.int32)
+            gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
+            sizes.append(np.diff(edges))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                mask = gone[a:b]
+                turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist() if mask.any() else []
+                spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+                kept.append(data[a:b][~mask].tobytes() if turn else data[a:b].tobytes())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         doc_id = texts.column("doc_id").combine_chunks() if texts.num_rows else pa.array([], texts.schema.field("doc_id").type)
-        return pa.table([doc_id, pa.array(np.diff(edges), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        return pa.table([doc_id, pa.array(np.concatenate(sizes or [np.zeros(0, np.int64)]), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
@@ -425,7 +450,7 @@ def remove_repeats(docs: DataFrame, match: int = 50) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)))
     repeated = rows.groupBy("__id").count().where("count > 1").limit(1).count()
     row_key = F.xxhash64("__id", "text") if repeated else F.col("__id")
-    rows = rows.withColumn("__row", row_key).withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(2 * parts)).cast("int"))
+    rows = rows.withColumn("__row", row_key).withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(parts)).cast("int"))
     indexed = rows.select("text", "__id", "__row", "__part").mapInArrow(_index(match, parts), OUT)
     first = materialize(indexed.groupBy("bucket").applyInArrow(_match(True), OUT), "repeats")
     texts = rows.select("text", "__id", "__row", "__part").groupBy("__part")
