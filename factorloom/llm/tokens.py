@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 import regex
 
 #: A task remembers so many words; those seen first are mostly the frequent ones.
-MAX_CACHED_WORDS = 1_000_000
+MAX_CACHED_WORDS = 400_000
 #: Bytes of text that are split at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Words that are encoded in one call.
 WORDS_A_CALL = 256
 # Fixed value: the pattern by which the vocabulary's file splits normalised text.
