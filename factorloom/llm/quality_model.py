@@ -79,17 +79,18 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(blocks)[-DICTIONARY_BYTES:]
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one variable by Newton steps, with a weak pull to zero."""
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression on one variable by Newton steps, with a weak pull to zero."""
     if not len(x):
         return 0.0, 0.0
     scale = float(np.std(x)) or 1.0
+    weight = weight * (len(x) / weight.sum())  # the pull stays in proportion to the sample
     a = np.stack([x / scale, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + 0.01 * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2), gradient)
+        gradient = a.T @ (weight * (p - y)) + 0.01 * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2), gradient)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -100,7 +101,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", use:
     """Fit on a bounded sample: the labelled rows with the smallest hashes of ``doc_id``.
 
     Of each class at most ``2 * max_rows`` rows are taken, of texts up to ``max_bytes`` bytes; even
-    hashes build the dictionary, odd ones calibrate. ``use`` says which label rows may be learned
+    hashes build the dictionary, odd ones calibrate. A row that calibrates weighs as many eligible rows
+    as it stands for, so the share of the classes that the scores rest on is that of all eligible rows
+    and does not depend on ``max_rows``. ``use`` says which label rows may be learned
     from. Null ids and labels are skipped, repeated rows count once, a document labelled both ways
     counts in both classes. Without labels every score is 0.5.
     """
@@ -109,6 +112,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", use:
     rows = rows.withColumn("__h", F.xxhash64("doc_id"))
     texts = docs.select("doc_id", text_of().alias("__t")).where((F.octet_length("__t") <= max_bytes) & (F.octet_length("__t") > 0))
     known = rows.join(docs.select("doc_id", F.octet_length(text_of()).alias("__n")).where(f"__n between 1 and {max_bytes}").select("doc_id").distinct(), "doc_id")
+    eligible = {(r["__y"], r["half"]): r["count"] for r in known.groupBy("__y", F.expr("pmod(__h, 2)").alias("half")).count().collect()}
     picked = [known.where(f"__y = {y} and pmod(__h, 2) = {half}").orderBy("__h", "doc_id").limit(max_rows) for y in (0, 1) for half in (0, 1)]
     wanted = picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3])
     # at most 4 * max_rows ids, so the broadcast is bounded
@@ -117,10 +121,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", use:
     build = {y: [t.encode() for h, _, k, t in sample if k == y and h % 2 == 0] for y in (0, 1)}
     model = QualityModel(_dictionary(build[1]), _dictionary(build[0]), 0.0, 0.0)
     scorer = model.scorer()
-    held = [(scorer.difference(t.encode()), y) for h, _, y, t in sample if h % 2]
-    if len({y for _, y in held}) < 2:
-        held = [(scorer.difference(t.encode()), y) for _, _, y, t in sample]
-    slope, intercept = _calibrate(np.array([x for x, _ in held]), np.array([y for _, y in held], float))
+    held = [(scorer.difference(t.encode()), y, h % 2) for h, _, y, t in sample if h % 2]
+    if len({y for _, y, _ in held}) < 2:
+        held = [(scorer.difference(t.encode()), y, h % 2) for h, _, y, t in sample]
+    stands_for = {k: n / min(n, max_rows) for k, n in eligible.items()}
+    weight = np.array([stands_for[y, half] for _, y, half in held])
+    slope, intercept = _calibrate(np.array([x for x, _, _ in held]), np.array([y for _, y, _ in held], float), weight)
     return QualityModel(model.good, model.bad, slope, intercept)
 
 

@@ -471,3 +471,13 @@ def test_quality_without_labels(spark):
     for labels in (spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([(0, 1), (0, 1), (None, 0), (1, None)], "doc_id long, quality int")):
         model = quality_model.fit_quality(docs, labels)
         assert all(0 <= r["score"] <= 1 for r in quality_model.score_quality(docs, model).collect())
+
+
+def test_class_shares_outlast_the_cap(spark):
+    texts = [prose(i, 30) for i in range(420)]
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(len(texts))], "doc_id long, quality int")
+    docs = docs_of(spark, texts)
+    for cap in (10, 2000):  # of about 180 and 30 rows a half
+        model = quality_model.fit_quality(docs, labels, max_rows=cap)
+        scores = [r["score"] for r in quality_model.score_quality(docs, model).select("score").collect()]
+        assert abs(sum(scores) / len(scores) - 6 / 7) < 0.08
