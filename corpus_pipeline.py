@@ -7,12 +7,12 @@ rows stay repeated unless a stage's own rule removes them, and an empty table pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import materialize, table
 from factorloom.llm.mixing import mix_sources
-from factorloom.llm.near_dedup import near_duplicates
+from factorloom.llm.near_dedup import without_near_duplicates
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, score_quality
 from factorloom.llm.registry import QUALITY_CUT
@@ -28,8 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    dropped = near_duplicates(docs, percent=75).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without_near_duplicates(docs, percent=75)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +38,13 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: 0, 1 or 2 times."""
-    taken = mix_sources(docs, weights=(3, 1, 2), share=1.5, cap=2.0).groupBy("doc_id").agg(F.min("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+    # rows may share an id, so a row's key is a hash of all its columns and a number within equal hashes
+    hashed = docs.withColumn("__hash", F.xxhash64(*docs.columns))
+    number = F.row_number().over(Window.partitionBy("__hash").orderBy("doc_id", "text", "source"))
+    keyed = hashed.withColumn("__row", F.concat_ws(":", F.hex("__hash"), number)).drop("__hash")
+    mixed = mix_sources(keyed.select(F.col("__row").alias("doc_id"), "source", "text"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    taken = mixed.where("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"))
+    return keyed.join(taken, "__row").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, row_groups, text_of
+from factorloom.llm.common import WORD, materialize, row_groups, text_of
 
 #: Coordinates of a signature, and how many of them are posted.
 COORDINATES = 64
@@ -36,6 +36,8 @@ SHINGLE = 5
 BLOCK = 256
 SLICE_BYTES = 4_000_000
 FIRST = -(2**63)
+#: A row's key: its id and 128 bits of hash of its text, as rows may share an id.
+KEY = ("id", "text_hash", "text_hash_2")
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,9 +114,9 @@ def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n_shingles, node (the set's digest), posts (coordinate-value pairs), sketch (a byte each)."""
+    """The row's key, n_shingles, node (the set's digest), posts (coordinate-value pairs), sketch (a byte each)."""
     for batch in batches:
-        ids, texts = batch.column("id"), batch.column("text")
+        keys, texts = [batch.column(c) for c in KEY], batch.column("text")
         lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for first, last in row_groups(lengths, SLICE_BYTES):
             sets, sizes = shingle_sets(texts.slice(first, last - first))
@@ -131,13 +133,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             posts[some], sketch[some] = mixed[:, :POSTED], (mixed >> np.uint64(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(first, last - first),
+                    *(k.slice(first, last - first) for k in keys),
                     pa.array(sizes, pa.int64()),
                     pa.array([d.tobytes() for d in digest], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * POSTED), pa.array(posts.ravel().astype(np.int64))),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
                 ],
-                names=["id", "n_shingles", "node", "posts", "sketch"],
+                names=[*KEY, "n_shingles", "node", "posts", "sketch"],
             )
 
 
@@ -277,19 +279,16 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, kept.
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias(KEY[0]), F.xxhash64(text_of()).alias(KEY[1]), F.xxhash64(F.lit(1), text_of()).alias(KEY[2])]
 
-    ``component_id`` is the smallest doc_id reachable by links, ``kept`` tells whether it is its own.
-    Null, empty and white texts have no shingles and stay alone; a null id comes before all others and
-    is returned as null; rows that share an id count as documents of their own under one id; an empty
-    table gives an empty result; other columns are not carried.
-    """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("id"), text_of().alias("text"))
-    signed = materialize(rows.mapInArrow(_signed, "id bigint, n_shingles bigint, node binary, posts array<bigint>, sketch binary"), "signatures")
+
+def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """id, n_shingles, node of each row; and for each node the least row key of its component."""
+    rows = docs.select(*_key(), text_of().alias("text"))
+    signed = materialize(rows.mapInArrow(_signed, "id bigint, text_hash bigint, text_hash_2 bigint, n_shingles bigint, node binary, posts array<bigint>, sketch binary"), "signatures")
     # equal sets first: copies are one node, however many they are
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("posts").alias("posts"), F.first("sketch").alias("sketch"))
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), F.first("posts").alias("posts"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     posted = nodes.select(F.explode("posts").alias("key"), "node")
     often = materialize(posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "frequent-keys")
@@ -307,9 +306,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     tried = with_pivot.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_collisions, f"{PAIR}, matches int")
     best = materialize(tried.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "first-pairs")
 
-    wanted = nodes.join(rare.select("node"), "node").select("id", "node")
-    texts = rows.join(wanted, "id")  # of an id's several rows the one whose set it is is told below
-    texts = materialize(texts.groupBy("node", "id").agg(F.collect_set("text").alias("texts")).select("node", F.explode("texts").alias("text")), "node-texts")
+    wanted = nodes.join(rare.select("node"), "node").select("row.*", "node")
+    # repeated rows have one key and one text: a node gets one text
+    texts = materialize(rows.join(wanted, list(KEY)).groupBy("node").agg(F.first("text").alias("text")), "node-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -340,10 +339,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     second = materialize(tasks.join(texts, "node").groupBy("task").applyInArrow(_across(percent), PAIR), "rest-links")
     labels = components(first.unionAll(second), "all") if second.limit(1).count() else labels
 
-    placed = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", label)
-    least = placed.groupBy("label").agg(F.min("id").alias("component"))
-    named = materialize(placed.join(least, "label").select("node", "component"), "node-components")
-    found = signed.select("id", "n_shingles", "node").join(named, "node", "left")
+    placed = nodes.select("node", "row").join(labels, "node", "left").select("node", "row", label)
+    least = placed.groupBy("label").agg(F.min("row").alias("least"))
+    return signed.select("id", "n_shingles", "node"), materialize(placed.join(least, "label").select("node", "least"), "node-components")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the smallest doc_id reachable by links, ``kept`` tells whether it is its own.
+    Null, empty and white texts have no shingles and stay alone; a null id comes before all others and
+    is returned as null; rows that share an id count as documents of their own under one id; an empty
+    table gives an empty result; other columns are not carried.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    signed, named = _components(docs, percent)
+    found = signed.join(named.select("node", F.col("least.id").alias("component")), "node", "left")
     whole = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     out = lambda c: F.when(c != FIRST, c).cast(id_type)
     return found.select(out(F.col("id")).alias("doc_id"), "n_shingles", out(whole).alias("component_id"), (F.col("id") == whole).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each component, all columns: the one of the smallest doc_id, null being the smallest.
+
+    Of rows that share the id the text decides, so a document stays or goes by its own text only; of
+    rows that agree in both, any one stays. Texts without words are no duplicates: all their rows stay.
+    """
+    _, named = _components(docs, percent)
+    chosen = named.select("least.*").distinct().select(*[F.col(k).alias(f"__{k}") for k in KEY])
+    wordy = text_of().rlike(WORD)
+    keyed = docs.where(wordy).select(F.struct(*docs.columns).alias("__row"), *[c.alias(f"__{k}") for k, c in zip(KEY, _key(), strict=True)])
+    # repeated rows become one where they are read, so no task gets them all
+    single = keyed.groupBy(*[f"__{k}" for k in KEY]).agg(F.first("__row").alias("__row"))
+    return single.join(chosen, [f"__{k}" for k in KEY], "left_semi").select("__row.*").unionByName(docs.where(~wordy))

@@ -481,3 +481,31 @@ def test_class_shares_outlast_the_cap(spark):
         model = quality_model.fit_quality(docs, labels, max_rows=cap)
         scores = [r["score"] for r in quality_model.score_quality(docs, model).select("score").collect()]
         assert abs(sum(scores) / len(scores) - 6 / 7) < 0.08
+
+
+def test_near_duplicates_under_shared_ids(spark):
+    """Ids say nothing about texts: eight originals under null or 99, their copies under ids of their own."""
+    rows, want = [], []
+    for k in range(8):
+        text, shared = prose(500 + k, 60 + k), None if k % 2 else 99
+        rows += [(shared, text), (200 + k, text + " tail"), (shared, prose(600 + k, 30 + k))]
+        want += [(shared, shared), (200 + k, shared), (shared, shared)]
+        if shared == 99:
+            rows.append((k, "head " + text))
+            want += [(k, k)]
+            want[-4:-2] = [(99, k), (200 + k, k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = lambda pairs: sorted(pairs, key=str)
+    assert some((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()) == some(want)
+
+
+def test_no_false_links_under_shared_ids(spark):
+    """A text of similarity 0.7 isn't linked for another text's sake that has the same id."""
+    rows, want = [], []
+    for k in range(4):
+        base = prose(700 + k, 60).split()
+        far = [f"x{k}" if at in (20, 40) else w for at, w in enumerate(base)]
+        rows += [(k, " ".join(base)), (90 + k, " ".join([*base, "tail"])), (90 + k, " ".join(far))]
+        want += [(k, k), (90 + k, k), (90 + k, 90 + k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()) == sorted(want)

@@ -52,3 +52,32 @@ def test_an_empty_table_passes(spark):
 def test_registered():
     assert sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0])) == sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0])) and len(registry.queries()) == 10
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def rows_with_shared_ids(spark):
+    from tests.llm.test_llm import DOCS, prose
+
+    texts = [(None, prose(1, 60)), (None, prose(1, 60) + " tail"), (None, prose(2, 60)), (7, prose(3, 60)), (9, prose(3, 60) + " tail"), (9, prose(4, 60)), (5, prose(5, 60)), (5, prose(5, 60)), (None, ""), (None, "")]
+    return texts, spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in texts], DOCS)
+
+
+def test_near_duplicates_go_by_row(spark):
+    texts, docs = rows_with_shared_ids(spark)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    sure = [texts[i] for i in (2, 3, 5, 6, 8, 9)]
+    assert len(kept) == 7 and sum(t in texts[:2] for t in kept) == 1
+    assert sorted((t for t in kept if t not in texts[:2]), key=str) == sorted(sure, key=str)
+
+
+def test_mix_goes_by_row(spark):
+    from factorloom.llm.mixing import mix_sources
+    from tests.llm.test_llm import DOCS, prose
+
+    rows = [(None if k % 3 else 1, prose(k, 20 + k % 5), "en", f"s{k % 3}", 0) for k in range(120)] + [(None, "one and the same", "en", "s0", 0)] * 9
+    docs = spark.createDataFrame(rows, DOCS)
+    words = lambda df: {r["source"]: r["n"] for r in df.collect()}
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    got = words(mixed.groupBy("source").agg({"text": "count"}).withColumnRenamed("count(text)", "n"))
+    size = words(mixed.selectExpr("source", "size(split(trim(text), '[ \\n]+')) n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n"))
+    target = words(mix_sources(docs).select("source", "target").distinct().withColumnRenamed("target", "n"))
+    assert set(got) == set(target) and all(abs(size[s] - target[s]) <= 30 for s in target)
