@@ -33,7 +33,9 @@ POSTED = 32
 POSTED_MATCHES = 12
 MATCHES = 31
 SHINGLE = 5
+#: Nodes of a block of a list, and blocks that one task takes from either side.
 BLOCK = 256
+STRIPE = 16
 SLICE_BYTES = 4_000_000
 FIRST = -(2**63)
 #: A row's key: its id and 128 bits of hash of its text, as rows may share an id.
@@ -206,7 +208,7 @@ def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 
 
 def _across(percent: int):
-    """Links between the two sides of a task by their full sets: one for each two components."""
+    """Links between the two sides of a task by their full sets: the labels of each two linked components."""
 
     def run(group: pa.Table) -> pa.Table:
         sides = []
@@ -216,14 +218,14 @@ def _across(percent: int):
             sets, sizes = shingle_sets(rows.column("text").combine_chunks() if len(nodes) else pa.array([], pa.string()))
             sides.append((nodes, labels, np.split(sets, np.cumsum(sizes)[:-1]) if len(nodes) else [], sizes))
         (a, label_a, sets_a, size_a), (b, label_b, sets_b, size_b) = sides
-        found: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        found: set[tuple[bytes, bytes]] = set()
         if a and b:
             shared = _shared(sets_a, sets_b)
             linked = np.argwhere(100 * shared >= percent * (size_a[:, None] + size_b[None, :] - shared))
             for i, j in linked.tolist():
                 if label_a[i] != label_b[j]:
-                    found.setdefault((label_a[i], label_b[j]), (a[i], b[j]))
-        pairs = sorted(found.values())
+                    found.add((label_a[i], label_b[j]))
+        pairs = sorted(found)
         return pa.table([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
 
     return run
@@ -261,28 +263,56 @@ PAIR = "a binary, b binary"
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, label: the least node that is reachable, for all nodes with a link.
 
-    Each round takes the least label among the neighbours, then the label of that label. Labels are
-    written to shared storage after each round; nothing but the number of changes comes to the driver.
+    Each round every node points to its least neighbour, if that is less than itself, and from there one
+    step further; links then run between what their ends point to, and those within one are gone. The
+    graph at least halves, so rounds are few, and they go on until no link is left. Pointers are written
+    to shared storage; nothing but whether links are left comes to the driver.
     """
-    edges = materialize(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), f"{name}-0")
-    for step in range(1, 1000):
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        lower = materialize(lower, f"{name}-{step}-near")
-        up = lower.select(F.col("node").alias("up"), F.col("label").alias("far"))
-        jumped = lower.join(up, F.col("label") == F.col("up"), "left").select("node", "before", F.least("label", "far").alias("label"))
-        after = materialize(jumped, f"{name}-{step}")
-        labels = after.select("node", "label")
-        if not after.where("before != label").limit(1).count():
-            break
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges, pointers = materialize(both.where("a != b").distinct(), f"{name}-edges-0"), []
+    while edges.limit(1).count():
+        step = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up"))
+        far = step.select(F.col("node").alias("up"), F.col("up").alias("label"))
+        pointers.append(materialize(step.join(far, "up").select("node", "label"), f"{name}-{len(pointers)}"))
+        end = lambda c: pointers[-1].select(F.col("node").alias(c), F.col("label").alias(f"to_{c}"))
+        moved = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        edges = materialize(moved.where("a != b").distinct(), f"{name}-edges-{len(pointers)}")
+    if not pointers:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = pointers.pop()
+    while pointers:  # from the small graphs back to the large one
+        labels = materialize(relabelled(pointers.pop(), labels), f"{name}-back-{len(pointers)}")
     return labels
 
 
+def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """``labels`` (node, label), where labels that have one of their own in ``further`` are replaced by it."""
+    on = further.select(F.col("node").alias("label"), F.col("label").alias("__further"))
+    return labels.join(on, "label", "left").select("node", F.coalesce("__further", "label").alias("label"))
+
+
 def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias(KEY[0]), F.xxhash64(text_of()).alias(KEY[1]), F.xxhash64(F.lit(1), text_of()).alias(KEY[2])]
 
 
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """The pairs of blocks of a list: no block of the main component with another of it.
+
+    A long list is cut into stripes of blocks, and each two stripes meet under a key of their own, so its
+    pairs spread over tasks of one size, and a block is sent as often as the list has stripes.
+    """
+    count = lambda c: F.ceil(F.ceil(F.col(c) / BLOCK) / STRIPE).cast("int")
+    name = F.concat(F.when(F.col("is_main"), "m").otherwise("o"), F.col("block").cast("string"))
+    cut = blocks.select("key", "is_main", "block", "members", name.alias("name"), F.floor(F.col("block") / STRIPE).cast("int").alias("stripe"), count("in_main").alias("of_main"), count("others").alias("of_others"))
+    partner = lambda is_main, stripes: F.transform(stripes, lambda j: F.struct(F.lit(is_main).alias("is_main"), j.alias("stripe")))
+    partners = F.concat(partner(False, F.sequence("stripe", F.col("of_others") - 1)), partner(True, F.sequence(F.lit(0), F.col("of_main") - 1)))
+    one = cut.where("not is_main").select("key", "stripe", F.explode(partners).alias("partner"), F.col("block").alias("a_block"), F.col("name").alias("a_name"), F.col("members").alias("a_members"))
+    upto = F.when(F.col("is_main"), F.col("of_others") - 1).otherwise(F.col("stripe"))
+    two = cut.select("key", F.explode(F.sequence(F.lit(0), upto)).alias("with"), F.struct("is_main", "stripe").alias("partner"), F.col("block").alias("b_block"), F.col("name").alias("b_name"), F.col("members").alias("b_members"))
+    pairs = one.join(two.withColumnRenamed("with", "stripe"), ["key", "stripe", "partner"]).where("partner.is_main or a_block <= b_block")
+    return pairs.select("key", "a_name", "a_members", "b_name", "b_members")
+
+
 def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """id, n_shingles, node of each row; and for each node the least row key of its component."""
     rows = docs.select(*_key(), text_of().alias("text"))
@@ -331,13 +361,13 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     dealt = told.join(main, "key").select("key", is_main.alias("is_main"), block.alias("block"), "node", "label").join(rare.select("node", "sketch", "keys"), "node")
     member = F.struct("node", "sketch", "label", "keys")
     blocks = materialize(dealt.groupBy("key", "is_main", "block").agg(F.collect_list(member).alias("members")), "list-blocks")
-    name = F.concat(F.when(F.col("is_main"), "m").otherwise("o"), F.col("block").cast("string"))
-    side = lambda k: blocks.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("is_main", "block", "members")], name.alias(f"{k}_name"))
-    crossed = side("a").where("not a_is_main").join(side("b"), "key").where("b_is_main or a_block <= b_block")
-    crossed = crossed.select("key", "a_name", "a_members", "b_name", "b_members")
+    crossed = _block_pairs(blocks.join(main.select("key", "in_main", "others"), "key"))
     tasks = materialize(crossed.mapInArrow(_blocks, "task string, side string, node binary, label binary"), "block-tasks")
     second = materialize(tasks.join(texts, "node").groupBy("task").applyInArrow(_across(percent), PAIR), "rest-links")
-    labels = components(first.unionAll(second), "all") if second.limit(1).count() else labels
+    # nodes that only the second pass links are labels of their own
+    merged = components(second, "rest")
+    alone = merged.join(labels.select("node"), "node", "left_anti")
+    labels = relabelled(labels, merged).unionByName(alone)
 
     placed = nodes.select("node", "row").join(labels, "node", "left").select("node", "row", label)
     least = placed.groupBy("label").agg(F.min("row").alias("least"))

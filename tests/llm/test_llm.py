@@ -416,9 +416,10 @@ def brute_components(texts, percent=75):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_components_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, stripe", [(256, 16), (4, 1), (3, 2)])
+def test_components_against_brute_force(spark, monkeypatch, block, stripe):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "STRIPE", stripe)
     r = random.Random(8)
     texts = [None, "", "a b", "A  b", "b a", "a b c d e", " \n"]
     for g in range(6):
@@ -438,10 +439,23 @@ def test_components_against_brute_force(spark, monkeypatch, block):
 
 
 def test_chain_of_links(spark):
-    n = 30
-    edges = [(bytes([i]), bytes([i + 1])) for i in range(n)] + [(b"\xf0", b"\xf1")]
+    r = random.Random(4)
+    chain = list(range(200))
+    r.shuffle(chain)
+    name = lambda i: i.to_bytes(2)
+    edges = [(name(a), name(b)) for a, b in zip(chain, chain[1:], strict=False)] + [(name(300 + a), name(300 + r.randrange(40))) for a in range(40)] + [(name(999), name(999))]
     got = {r["node"]: r["label"] for r in near_dedup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
-    assert {bytes(k): bytes(v) for k, v in got.items()} == {bytes([i]): b"\x00" for i in range(n + 1)} | {b"\xf0": b"\xf0", b"\xf1": b"\xf0"}
+    root = {name(i): name(i) for i in {int.from_bytes(x) for pair in edges for x in pair}}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert {bytes(k): bytes(v) for k, v in got.items()} == {x: find(x) for x in root if x in {e for p in edges for e in p if p[0] != p[1]}}
 
 
 def test_near_duplicates_in_odd_tables(spark, odd):
