@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import WORD, materialize, text_of
 
 #: Documents of a block, which one task flies at a time.
-BLOCK_DOCS = 20_000
+BLOCK_DOCS = 5_000
+#: Equal rows that one task numbers; more of them are numbered in several tasks.
+EQUAL_ROWS = 100_000
 #: Blocks whose open documents meet in one block of the next level.
 FAN_IN = 4096
 #: Documents of a source that the landing settles at once.
@@ -75,15 +77,47 @@ def _seed(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little")
 
 
+def water_level(weighed: DataFrame, total: float, parts: int) -> float:
+    """The level per weight at which the targets, each no more than its source's ``most``, add up to ``total``.
+
+    Sources fill up in the order of most / weight. These ratios are sorted in ranges, of which sums and
+    the last ratio come to the driver; one task goes through the one range in which the level is.
+    """
+    ratio = F.col("most") / F.col("weight")
+    steps = weighed.groupBy(ratio.alias("ratio")).agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"))
+    ranged = materialize(steps.repartitionByRange(parts, "ratio").withColumn("range", F.spark_partition_id()), "level-ranges")
+    sums = ranged.groupBy("range").agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"), F.max("ratio").alias("last"))
+    full, still_open = 0.0, None
+    rows = sorted(sums.collect(), key=lambda r: r["last"])
+    still_open = sum(r["weight"] for r in rows)
+    for r in rows:
+        if full + r["most"] + r["last"] * (still_open - r["weight"]) >= total:
+            break
+        full, still_open = full + r["most"], still_open - r["weight"]
+    else:
+        return rows[-1]["last"] if rows else 0.0
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.sort_by("ratio")
+        done, left = full, still_open
+        for x, most, weight in zip(*(group.column(c).to_pylist() for c in ("ratio", "most", "weight")), strict=True):
+            if done + x * left >= total:
+                break
+            done, left = done + most, left - weight
+        return pa.table({"level": [(total - done) / left]})
+
+    return ranged.where(F.col("range") == r["range"]).groupBy("range").applyInArrow(search, "level double").first()["level"]
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """source, docs, source_size, target. Sources by code point, null last, take the weights in turn.
 
-    Targets stop at ``cap`` times the source's size. What is over goes to the others by weight: the
-    water level per weight rises until no further source is above its cap, each step one aggregate.
+    ``sized`` has source, size and ``n``, how many rows are like this. Targets stop at ``cap`` times the
+    source's size, and what is over goes to the others by weight, up to one level for all.
     """
     spark = sized.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    totals = materialize(sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")), "sources")
+    totals = materialize(sized.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
 
     def number(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("__last", "ascending"), ("__key", "ascending")])
@@ -102,16 +136,23 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap
     placed = ranged.groupBy("__range").applyInArrow(number, fields)
     start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__range"))
     turn = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("__place") + start, F.lit(len(weights))) + 1).cast("int"))
-    weighed = materialize(placed.select("source", "docs", "source_size", turn.cast("double").alias("weight")), "weighed-sources")
-    total = share * (weighed.agg(F.sum("source_size")).first()[0] or 0)
-    most, level = F.col("source_size") * cap, 0.0
-    while True:
-        capped = most <= F.col("weight") * level if level else F.lit(False)
-        row = weighed.agg(F.coalesce(F.sum(F.when(capped, most)), F.lit(0.0)).alias("full"), F.sum(F.when(~capped, F.col("weight"))).alias("open")).first()
-        if not row["open"] or (higher := (total - row["full"]) / row["open"]) <= level:
-            break
-        level = higher
-    return weighed.select("source", "docs", "source_size", F.least(most, F.col("weight") * level).alias("target"))
+    most = (F.col("source_size") * cap).cast("double").alias("most")
+    weighed = materialize(placed.select("source", "docs", "source_size", turn.cast("double").alias("weight"), most), "weighed-sources")
+    level = water_level(weighed, share * (weighed.agg(F.sum("source_size")).first()[0] or 0), parts)
+    return weighed.select("source", "docs", "source_size", F.least(F.col("most"), F.col("weight") * level).alias("target"))
+
+
+def numbered(counted: DataFrame, equal_rows: int = EQUAL_ROWS) -> DataFrame:
+    """A row for each of the ``n`` equal ones, told apart by ``copy``, from 0.
+
+    Rows that are more than a task should make are cut into shares first, and the shares dealt out.
+    """
+    few = counted.where(F.col("n") <= equal_rows).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    share = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / equal_rows)))
+    many = counted.where(F.col("n") > equal_rows).withColumn("share", share).repartition(*counted.columns, "share")
+    first = F.col("share") * equal_rows
+    many = many.withColumn("copy", F.explode(F.sequence(first, F.least(first + equal_rows, F.col("n")) - 1))).drop("share")
+    return few.unionByName(many).drop("n")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -120,24 +161,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     Null and empty texts have size 0, and are taken like others of their source, with no words; null
     is a source of its own; repeated rows are documents of their own; an empty table gives an empty
     result. No document has more than ``ceil(cap)`` copies, and a source's words miss its target by at
-    most one of its documents. Blocks are chosen by hash and seeded by their own names, so reruns agree.
+    most one of its documents. Blocks are chosen by a hash of the id, the text and the number among equal
+    rows, so null or repeated ids and rows spread as others do; blocks are seeded by their own names, so
+    reruns agree.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("size"))
-    sized = materialize(sized, "sized-documents")
-    targets = materialize(source_targets(sized, weights, share, cap), "targets")
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text_of()).alias("text_hash"))
+    # equal rows are counted where they are read, and come apart again by number
+    counted = materialize(sized.groupBy(*sized.columns).agg(F.count("*").alias("n")), "sized-documents")
+    targets = materialize(source_targets(counted, weights, share, cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.ceil(F.col("docs") / block_docs).cast("bigint")
     many = targets.select(F.col("source").alias("__source"), "source_size", "target", ratio.alias("__ratio"), blocks.alias("__blocks"))
-    rows = sized.join(many, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rows = numbered(counted).join(many, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     whole = F.floor(F.col("__ratio") + EPS).cast("int")
     rows = rows.withColumn("copies", whole).withColumn("chance", F.greatest(F.lit(0.0), F.col("__ratio") - whole))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("__blocks"))).drop("__ratio")
-    fields = f"doc_id {id_type}, source string, size bigint, source_size bigint, target double, __blocks bigint, copies int, chance double, block bigint"
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.col("__blocks"))).drop("__ratio")
+    fields = f"doc_id {id_type}, source string, size bigint, text_hash bigint, copy bigint, source_size bigint, target double, __blocks bigint, copies int, chance double, block bigint"
 
     def fly(level: int, last: bool):
         def run(group: pa.Table) -> pa.Table:
-            group = group.sort_by([(c, "ascending") for c in ("doc_id", "size")])
+            group = group.sort_by([(c, "ascending") for c in ("doc_id", "text_hash", "copy")])
             name = (group.column("source")[0].as_py(), level, group.column("block")[0].as_py())
             sizes, order = group.column("size").to_pylist(), list(range(group.num_rows))
             random.Random(_seed("order", *name)).shuffle(order)
