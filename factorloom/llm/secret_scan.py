@@ -2,7 +2,9 @@
 
 The value after a credential word is cut into words, dates, repeats, keyboard walks and brute-force
 spans so that the product of the guesses for the parts is least. A value whose cheapest cut still
-takes many guesses is a secret; one that a guesser reaches soon ("password: password1") is not.
+takes many guesses is a secret; one that a guesser reaches soon ("password: password1") is not. Words
+cost their rank: the frequent words of the corpus itself are counted first, so that ordinary prose
+after a credential word is cheap.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The base patterns, and how many characters a match needs at least.
@@ -24,17 +27,29 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 BASE_KINDS = ("assign", "access", "hex")
 
-#: Further credential words; their values are kept only if they are costly to guess.
+#: Further credential words; what follows them is looked at, and kept only if it is costly to guess. They
+#: begin where a word or a capital in a word begins. The value is only looked ahead at, as it may itself
+#: be such a word ("auth token: ..."). Group 1 is the separator, if there is one.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer|signature)["']?(?:\x20*[:=]+>?\x20*|\x20+(?:is\x20+)?)(?:bearer\x20+)?["']?([!-&(-~]{6,})""",
-    re.ASCII | re.IGNORECASE,
+    r"""(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))(?i:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]?key)?|token|(?:api|access|private)[_-]?key|credentials?|auth(?:orization)?|bearer|signature)"""
+    r"""(?=["']?(?:(\x20*[:=]+>?\x20*)|\x20+(?:(?i:is)\x20+)?)(?:(?i:bearer)\x20+)?["']?([!-&(-~]{6,}))""",
+    re.ASCII,
 )
+#: Without a separator words alone are prose; hyphens and the like join them.
+PROSE = re.compile(r"[A-Za-z]+(?:[-'./_,;:&][A-Za-z]+)*")
 ANY_ASSIGN = r"(?i)password|passwd|secret|token|api_?key"
 ANY_CONTEXT = r"(?i)pass(word|wd|phrase|code)|pwd|secret|token|[_-]?key|credential|auth|bearer|signature"
 
 #: A value is a secret if its cheapest cut takes at least 10 to this many guesses.
 MIN_LOG10_GUESSES = 10.0
 
+#: Ranked words of the corpus: at most so many, each seen so often, of so many letters.
+MAX_WORDS = 50_000
+MIN_WORD_COUNT = 5
+WORD_LETTERS = (3, 20)
+#: Distinct words that a task counts before it hands them on.
+COUNTED_AT_ONCE = 200_000
+
 # Common words of passwords and identifiers in order of how soon they are guessed.
 WORDS = (
     "password pass word secret token key api admin user login root test demo example sample changeme default "
@@ -47,11 +62,12 @@ WORDS = (
     "january february march april june july august september october november december"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST_WORD = max(map(len, WORDS))
 #: Letters that digits and signs stand in for.
 LEET = str.maketrans("0134578@$!", "oleastbasi")
-KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-NEXT_KEY = {pair for row in KEY_ROWS for line in (row, row[::-1]) for pair in zip(line, line[1:], strict=False)}
+KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
+#: Where a key is, in half widths: each row is shifted against the one above.
+PLACE = {key: (row, 2 * column + shift) for row, (keys, shift) in enumerate(zip(KEY_ROWS, (0, 3, 4, 5), strict=True)) for column, key in enumerate(keys)}
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 
 
@@ -59,36 +75,54 @@ def _brute(ch: str) -> float:
     return 1.0 if ch.isdigit() else math.log10(26) if ch.isalpha() else math.log10(33)
 
 
-def _parts(value: str) -> list[list[tuple[int, float]]]:
+def direction(a: str, b: str) -> tuple[int, int] | None:
+    """The step from one key to a neighbour in any of six directions, or to the next letter; else None."""
+    if a.isalpha() and b.isalpha() and abs(ord(b) - ord(a)) == 1:
+        return (9, ord(b) - ord(a))
+    if a not in PLACE or b not in PLACE:
+        return None
+    step = PLACE[b][0] - PLACE[a][0], PLACE[b][1] - PLACE[a][1]
+    near = abs(step[1]) == 2 if step[0] == 0 else abs(step[0]) == 1 and abs(step[1]) <= 2
+    return step if near else None
+
+
+def _walks(keys: str) -> Iterator[tuple[int, int, float]]:
+    """Walks over the keyboard, or along the alphabet, with their cost: where they start, how long they are, turns."""
+    i = 0
+    while i < len(keys) - 1:
+        j, turns, last = i + 1, 0, None
+        while j < len(keys) and (step := direction(keys[j - 1], keys[j])) is not None:
+            turns, last = turns + (last is not None and step != last), step
+            j += 1
+        if j - i >= 3:
+            yield i, j, math.log10(len(PLACE) * (j - i)) + turns * math.log10(6)
+        i = max(j - 1, i + 1)
+
+
+def _parts(value: str, ranks: dict[str, int]) -> list[list[tuple[int, float]]]:
     """For each end: the starts of parts that end there, with log10 of the guesses for each."""
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j])
-            swapped = rank is None and (rank := RANK.get(plain[i:j])) is not None
+        for j in range(i + WORD_LETTERS[0], min(n, i + WORD_LETTERS[1]) + 1):
+            rank = ranks.get(low[i:j])
+            swapped = rank is None and (rank := ranks.get(plain[i:j])) is not None
             if rank is not None:
                 cased = 0.0 if value[i:j] == low[i:j] else math.log10(2 if value[i + 1 : j] == low[i + 1 : j] else j - i)
                 ends[j].append((i, math.log10(rank) + cased + (math.log10(4) if swapped else 0.0)))
         if (found := DATE.match(low, i)) is not None:
             ends[found.end()].append((i, math.log10(120 * (365 if found.end() - i > 4 else 1))))
     i = 0
-    while i < n:  # runs of one character, and walks along a row of keys: each part is maximal
+    while i < n:  # runs of one character, each as long as it is
         j = i + 1
         while j < n and low[j] == low[i]:
             j += 1
         if j - i >= 3:
             ends[j].append((i, _brute(low[i]) + math.log10(j - i)))
         i = j
-    i = 0
-    while i < n - 1:
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEXT_KEY:
-            j += 1
-        if j - i >= 3:
-            ends[j].append((i, math.log10(len(KEY_ROWS) * 10 * (j - i))))
-        i = max(j - 1, i + 1)
+    for i, j, cost in _walks(low.translate(SHIFTED)):
+        ends[j].append((i, cost))
     for size in range(2, min(16, n // 2) + 1):  # blocks that repeat at once
         i = 0
         while i + 2 * size <= n:
@@ -103,17 +137,47 @@ def _parts(value: str) -> list[list[tuple[int, float]]]:
     return ends
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest cut of the whole value; linear in its length.
 
     Parts next to each other multiply; characters outside any part are brute force, each of its kind.
     """
-    ends, best = _parts(value), [0.0]
+    ends, best = _parts(value, ranks), [0.0]
     for j in range(1, len(value) + 1):
         best.append(min([best[j - 1] + _brute(value[j - 1]), *(best[i] + cost for i, cost in ends[j])]))
     return best[-1]
 
 
+def word_ranks(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
+    """Words of letters by how often they are in all texts, after the fixed ones; 1 is guessed first.
+
+    Tasks count their own words, which are then added up; only the ``most`` frequent ones come to the
+    driver, so what is broadcast is bounded. Words of equal counts go by letters, so reruns agree.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            seen = pc.value_counts(pc.ascii_split_whitespace(texts).flatten())
+            words, counts = pc.ascii_trim(pc.ascii_lower(seen.field(0)), characters="\"'`.,:;!?()[]{}<>*_-"), seen.field(1)
+            size = pc.binary_length(words)
+            fits = pc.and_(pc.and_(pc.greater_equal(size, WORD_LETTERS[0]), pc.less_equal(size, WORD_LETTERS[1])), pc.match_substring_regex(words, "^[a-z]+$"))
+            more = pa.table({"word": words.filter(fits).cast(pa.string()), "n": counts.filter(fits)})
+            held = more if held is None else pa.concat_tables([held, more])
+            if held.num_rows > COUNTED_AT_ONCE:
+                held = held.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                if held.num_rows > COUNTED_AT_ONCE // 2:
+                    yield from held.to_batches()
+                    held = None
+        if held is not None:
+            yield from held.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
+
+    counted = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WORD_COUNT)
+    frequent = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return {w: i + 1 for i, w in reversed(list(enumerate([*WORDS, *frequent])))}
+
+
 def base_spans(text: str, assign: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns; ``assign`` False if no such keyword is in the text."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_MIN] if assign else []
@@ -127,14 +191,18 @@ _LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_MIN - 4))
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_MIN)
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, str]], threshold: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, str]]:
+def guessed_spans(text: str, base: list[tuple[int, int, str]], threshold: float = MIN_LOG10_GUESSES, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     """Values in a credential context that cost at least ``threshold`` and lie in no base span."""
-    out = []
+    out: list[tuple[int, int, str]] = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(2)
         while end > start and text[end - 1] in "\"'`,;.)]}>":
             end -= 1
-        if end - start >= 6 and not any(s <= start and end <= e for s, e, _ in base) and guess_cost(text[start:end]) >= threshold:
+        if end - start < 6 or (m[1] is None and PROSE.fullmatch(text, start, end)):
+            continue
+        if any(s <= start and end <= e for s, e, _ in [*base, *out[-1:]]):
+            continue
+        if guess_cost(text[start:end], ranks) >= threshold:
             out.append((start, end, "guess"))
     return out
 
@@ -143,34 +211,36 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def find_spans(text: str, assign: bool = True, context: bool = True) -> tuple[list, list]:
+def find_spans(text: str, assign: bool = True, context: bool = True, ranks: dict[str, int] = RANK) -> tuple[list, list]:
     """The base spans, and all spans; by start, then base kinds as listed, then guessed values."""
     base = base_spans(text, assign)
-    more = guessed_spans(text, base) if context else []
+    more = guessed_spans(text, base, ranks=ranks) if context else []
     return base, sorted(base + more, key=lambda s: (s[0], (*BASE_KINDS, "guess").index(s[2])))
 
 
-def _scanned(texts: pa.Array) -> Iterator[tuple[str, list, list]]:
+def _scanned(texts: pa.Array, ranks: dict[str, int]) -> Iterator[tuple[str, list, list]]:
     """Text by text; the rare keywords are looked for in the whole batch first."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     assign, context = (pc.match_substring_regex(texts, p).to_pylist() for p in (ANY_ASSIGN, ANY_CONTEXT))
     for i in range(len(texts)):
         text = texts[i].as_py()
-        yield (text, *find_spans(text, assign[i], context[i]))
+        yield (text, *find_spans(text, assign[i], context[i], ranks))
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
+def scan_secrets(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """doc_id, ``base`` and ``spans`` of every row: arrays of (start, end, kind) in code points.
 
-    Null text counts as empty and has no spans; repeated rows are scanned alike; an empty table gives
-    an empty result; other columns are not carried. Texts are scanned whole, however long.
+    ``ranks`` are those of ``word_ranks`` over ``docs`` unless given. Null text counts as empty and has
+    no spans; repeated rows are scanned alike; an empty table gives an empty result; other columns are
+    not carried. Texts are scanned whole, however long.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs) if ranks is None else ranks)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     as_rows = lambda spans: [{"start": s, "end": e, "kind": k} for s, e, k in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(as_rows(base), as_rows(spans)) for _, base, spans in _scanned(batch.column("text"))]
+            found = [(as_rows(base), as_rows(spans)) for _, base, spans in _scanned(batch.column("text"), shared.value)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b for b, _ in found], span), pa.array([s for _, s in found], span)], names=["doc_id", "base", "spans"])
 
     array = "array<struct<start:bigint,end:bigint,kind:string>>"
@@ -187,17 +257,19 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame) -> DataFrame:
+def mask_secrets(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """The same rows and columns with secrets masked in ``text`` and ``n_chars`` counted anew.
 
-    Null text stays null; texts without secrets are unchanged; every row is kept.
+    ``ranks`` as in ``scan_secrets``. Null text stays null; texts without secrets are unchanged; every
+    row is kept.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs) if ranks is None else ranks)
     schema = T.StructType(list(docs.schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column("text")
-            new = [masked(text, spans) if spans else text for text, _, spans in _scanned(old)]
+            new = [masked(text, spans) if spans else text for text, _, spans in _scanned(old, shared.value)]
             new = [text if old[i].is_valid else None for i, text in enumerate(new)]
             columns = {name: batch.column(name) for name in schema.names} | {"text": pa.array(new, old.type)}
             if "n_chars" in columns:
