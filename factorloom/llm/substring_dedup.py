@@ -29,6 +29,8 @@ K = 20
 #: Bytes of text that are hashed at once, and bytes whose entries are one batch.
 SLICE_BYTES = 2_000_000
 BATCH_BYTES = 32_000_000
+#: Bytes of text whose entries are one bucket, and of one partition of texts, on average.
+BUCKET_BYTES = 48_000_000
 #: Places take the low bits of a sort key, hashes the rest.
 PLACE_BITS = 30
 #: A null id stands before all others.
@@ -446,8 +448,10 @@ def remove_repeats(docs: DataFrame, match: int = 50) -> DataFrame:
     if match < K + 8 or match - K + 1 > 200:
         raise ValueError(f"match must be from {K + 8} to {K + 199}")
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)))
+    # the share of a task does not grow with the table
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     repeated = rows.groupBy("__id").count().where("count > 1").limit(1).count()
     row_key = F.xxhash64("__id", "text") if repeated else F.col("__id")
     rows = rows.withColumn("__row", row_key).withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(parts)).cast("int"))
