@@ -18,19 +18,25 @@ def forward_return(panel: DataFrame, horizon: int = 1, out: str = "fwd") -> Data
 def asof_return(prices: DataFrame, periods: DataFrame) -> DataFrame:
     """period, code, ret: first close at or after each period's start to the last at or before its end.
 
-    ``prices`` is trade_date, code, close; ``periods`` is start, end. Both ends of all periods are found
-    in one pass; fewer than two prices give no row.
+    ``prices`` is trade_date, code, close; ``periods`` is start, end, which do not overlap. Only the
+    calendar meets the periods by range; prices then find their period by date, and both ends of all
+    periods are found in one pass. Fewer than two prices give no row.
     """
-    inside = prices.join(periods, (F.col("trade_date") >= F.col("start")) & (F.col("trade_date") <= F.col("end"))).where("close is not null")
+    known = prices.where("close is not null")
+    dates = known.select("trade_date").distinct().join(F.broadcast(periods), F.col("trade_date").between(F.col("start"), F.col("end")))
+    inside = known.join(dates.select("trade_date", "start"), "trade_date")
     ends = inside.groupBy("start", "code").agg(F.min_by("close", "trade_date").alias("first"), F.max_by("close", "trade_date").alias("last"), F.count("*").alias("n"))
     return ends.where("n >= 2").select("start", "code", (safe_div(F.col("last"), F.col("first")) - 1).alias("ret"))
 
 
 def rank_ic(values: DataFrame, factor: str, label: str = "fwd", keys: tuple[str, ...] = ("trade_date",), min_names: int = MIN_NAMES) -> DataFrame:
-    """``keys``, ic, n: Spearman's correlation in each group of more than ``min_names`` pairs."""
+    """``keys``, ic, n: Spearman's correlation in each group of more than ``min_names`` pairs.
+
+    It is rounded to twelve digits, so that a correlation of none is 0 and not a positive or negative trace.
+    """
     pairs = values.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
     ranked = pairs.withColumns({"__f": average_rank(F.col(factor), *keys), "__r": average_rank(F.col(label), *keys)})
-    return ranked.groupBy(*keys).agg(correlation(F.col("__f"), F.col("__r")).alias("ic"), F.count("*").alias("n")).where(F.col("n") > min_names)
+    return ranked.groupBy(*keys).agg((F.round(correlation(F.col("__f"), F.col("__r")), 12) + 0.0).alias("ic"), F.count("*").alias("n")).where(F.col("n") > min_names)
 
 
 def ic_stats(series: DataFrame, *keys: str) -> DataFrame:
@@ -69,14 +75,34 @@ def monotonicity(layered: DataFrame, groups: int = 5) -> DataFrame:
     return ranked.agg(((up == groups - 1) | (down == groups - 1)).alias("strict"), rho.alias("rho"), (F.abs(rho) >= 0.8).alias("approximate"))
 
 
-def streaks(series: DataFrame) -> DataFrame:
+def streaks(series: DataFrame, *keys: str) -> DataFrame:
     """Runs of negative ICs: first and last date, length, and the sum of the ICs in the run."""
     marked = series.where("ic is not null").withColumn("neg", F.col("ic") < 0)
-    island = F.row_number().over(Window.orderBy("trade_date")) - F.row_number().over(Window.partitionBy("neg").orderBy("trade_date"))
-    runs = marked.withColumn("island", island).where("neg").groupBy("island")
+    island = F.row_number().over(Window.partitionBy(*keys).orderBy("trade_date")) - F.row_number().over(Window.partitionBy(*keys, "neg").orderBy("trade_date"))
+    runs = marked.withColumn("island", island).where("neg").groupBy(*keys, "island")
     return runs.agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"), F.count("*").alias("length"), F.sum("ic").alias("total")).drop("island")
 
 
+def signs(series: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, sign: -1 where the mean IC is negative, so that a flipped factor is expected to be good."""
+    return series.groupBy(*keys).agg(F.when(F.avg("ic") < 0, -1.0).otherwise(1.0).alias("sign"))
+
+
+def membership_change(members: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, turnover: the mean share of a date's names that were not members a month before."""
+    before = F.lag("trade_date").over(Window.partitionBy(*keys, "code").orderBy("trade_date"))
+    first = F.min("trade_date").over(Window.partitionBy(*keys))
+    marked = members.select(*keys, "trade_date", F.coalesce(before == F.add_months("trade_date", -1), F.lit(False)).alias("stays"), first.alias("first"))
+    dates = marked.where("trade_date > first").groupBy(*keys, "trade_date").agg(F.avg(F.when(F.col("stays"), 0.0).otherwise(1.0)).alias("new"))
+    return dates.groupBy(*keys).agg(F.avg("new").alias("turnover"))
+
+
+def agreement(series: DataFrame, part: str, *keys: str) -> DataFrame:
+    """``keys``, share: of the values of ``part``, the share whose mean IC is positive."""
+    means = series.groupBy(*keys, part).agg(F.avg("ic").alias("mean")).where("mean is not null")
+    return means.groupBy(*keys).agg(F.avg(F.when(F.round("mean", 9) > 0, 1.0).otherwise(0.0)).alias("share"))
+
+
 def rolling_ic(series: DataFrame, rows: int = 12) -> DataFrame:
     """Rolling mean over full windows, the expanding mean and deviation, and the alarm two deviations below."""
     w = Window.orderBy("trade_date")
@@ -132,5 +158,3 @@ def points(metric: Column, acceptable: float, excellent: float) -> Column:
 
 def grade(metric: Column, acceptable: float, excellent: float) -> Column:
     return F.when(metric > excellent, "excellent").when(metric > acceptable, "pass").otherwise("fail")
-
-

@@ -10,19 +10,16 @@ from factorloom.operators.evaluate import (
     bucketed,
     factor_correlation,
     forward_return,
-    grade,
     ic_stats,
     layer_returns,
     layers,
     long_short,
     monotonicity,
-    points,
     rank_ic,
     rolling_ic,
     streaks,
     switch,
 )
-from factorloom.operators.factors import long_form
 from factorloom.operators.monitor import welch_t
 from factorloom.operators.performance import metrics
 from factorloom.plans import sql
@@ -121,9 +118,11 @@ def by_size(source):
     return ic_stats(rank_ic(cut, "mom", keys=("trade_date", "size_group")), "size_group")
 
 
-@register("ic_by_industry", sql.query(sql.ic("ics", "mom", keys="trade_date, region", at_least=5), f"SELECT region, {STATS} FROM ics WHERE ic IS NOT NULL GROUP BY region"))
-def by_industry(source):
-    return ic_stats(rank_ic(labelled(source), "mom", keys=("trade_date", "region"), min_names=5), "region")
+for _dimension, _least in (("industry", 2), ("region", 5)):  # an industry has few names on a date
+
+    @register(f"ic_by_{_dimension}", sql.query(sql.ic("ics", "mom", keys=f"trade_date, {_dimension}", at_least=_least), f"SELECT {_dimension}, {STATS} FROM ics WHERE ic IS NOT NULL GROUP BY {_dimension}"))
+    def _by_dimension(source, dimension=_dimension, least=_least):
+        return ic_stats(rank_ic(labelled(source), "mom", keys=("trade_date", dimension), min_names=least), dimension)
 
 
 @register("ic_by_regime", sql.query(IC, "b AS (SELECT DISTINCT trade_date, bench FROM lab)", f"SELECT CASE WHEN bench > 0.02 THEN 'up' WHEN bench < -0.02 THEN 'down' ELSE 'flat' END AS regime, {STATS} FROM ics JOIN b USING (trade_date) WHERE ic IS NOT NULL GROUP BY 1"))
@@ -146,6 +145,14 @@ def decay(source):
     return ic_stats(rank_ic(long, "mom", "fh", ("trade_date", "horizon")), "horizon")
 
 
+@register("ic_half_life", sql.query(_DECAY, sql.ic("ics", "mom", "h", "fh", "trade_date, horizon"), "dc AS (SELECT horizon::DOUBLE AS x, ln(nullif(abs(avg(ic)), 0)) AS y FROM ics WHERE ic IS NOT NULL GROUP BY horizon)", "SELECT regr_slope(y, x) AS slope, CASE WHEN regr_slope(y, x) < 0 THEN -ln(2) / regr_slope(y, x) END AS half_life FROM dc"))
+def half_life(source):
+    """Months in which the mean IC falls by half, by a straight line through its logarithm over the horizons."""
+    means = decay(source).select(F.col("horizon").cast("double").alias("x"), F.log(F.nullif(F.abs("ic_mean"), F.lit(0.0))).alias("y"))
+    slope = F.regr_slope("y", "x")
+    return means.agg(slope.alias("slope"), F.when(slope < 0, -F.log(F.lit(2.0)) / slope).alias("half_life"))
+
+
 @register("quantile_groups", sql.query(sql.groups("cut", "mom", 5), 'SELECT trade_date, code, grp AS "group" FROM cut'))
 def quantile(source):
     return layers(labelled(source).where("mom is not null"), "mom").select("trade_date", "code", "group")
@@ -224,70 +231,3 @@ def corr_drift(source):
 def redundant(source):
     rho = F.abs("rho")
     return factor_correlation(labelled(source), ["ep", "mom", "vol"]).select("first", "second", (rho > 0.7).alias("redundant"), (rho < 0.5).alias("combinable"))
-
-
-_TIDY = "tidy AS (" + " UNION ALL ".join(f"SELECT trade_date, code, '{f}' AS factor_name, {f} AS factor, fwd FROM lab WHERE {f} IS NOT NULL AND fwd IS NOT NULL" for f in ("ep", "mom", "vol")) + ")"
-_CUT = sql.groups("tcut", "factor", 5, "tidy", keys="trade_date, factor_name") + ', tlay AS (SELECT trade_date, factor_name, grp, avg(fwd) AS ret FROM tcut WHERE grp IS NOT NULL GROUP BY ALL), tls AS (SELECT trade_date, factor_name, max(CASE WHEN grp = 5 THEN ret END) - max(CASE WHEN grp = 1 THEN ret END) AS ret FROM tlay GROUP BY ALL)'
-_SCREEN = """st AS (SELECT factor_name, {stats} FROM tics WHERE ic IS NOT NULL GROUP BY factor_name),
-lss AS (SELECT factor_name, {perf} AS long_short_return, (({perf}) - 0.03) / nullif(stddev_samp(ret) * sqrt(12), 0) AS long_short_sharpe FROM tls GROUP BY factor_name),
-ml AS (SELECT factor_name, grp, avg(ret) AS mean FROM tlay GROUP BY factor_name, grp),
-mono AS (SELECT factor_name, abs({rho}) AS monotonicity FROM (SELECT factor_name, grp::DOUBLE AS g, rank() OVER (PARTITION BY factor_name ORDER BY mean)::DOUBLE AS r FROM ml) GROUP BY factor_name),
-screen AS (SELECT factor_name, ic_mean, icir, win_rate, long_short_return, long_short_sharpe, monotonicity FROM st JOIN lss USING (factor_name) JOIN mono USING (factor_name))""".format(stats=STATS, perf=_PERF, rho=sql.corr("g", "r"))
-TICS = sql.ic("tics", "factor", "tidy", keys="trade_date, factor_name")
-# metric, weight, acceptable and excellent value
-SCORES = (("ic_mean", 0.25, 0.03, 0.05), ("icir", 0.25, 0.3, 0.5), ("win_rate", 0.15, 0.5, 0.55), ("long_short_return", 0.10, 0.08, 0.15), ("long_short_sharpe", 0.10, 0.5, 1.0), ("monotonicity", 0.15, 0.8, 1.0))
-
-
-def screening(source) -> DataFrame:
-    """A row for each factor, all of them in one job over the long form."""
-    rows = labelled(source)
-    tidy = long_form(rows.select("trade_date", "code", "ep", "mom", "vol"), ["ep", "mom", "vol"]).join(rows.select("trade_date", "code", "fwd"), ["trade_date", "code"])
-    keys = ("trade_date", "factor_name")
-    stats = ic_stats(rank_ic(tidy, "factor", keys=keys), "factor_name")
-    layered = layer_returns(tidy, "factor", keys=keys)
-    spreads = metrics(long_short(layered, keys=keys).withColumn("bench_ret", F.lit(0.0)), 12, keys=("factor_name",))
-    means = layered.groupBy("factor_name", "group").agg(F.avg("ret").alias("mean")).withColumn("r", F.rank().over(Window.partitionBy("factor_name").orderBy("mean")).cast("double"))
-    mono = means.groupBy("factor_name").agg(F.abs(correlation(F.col("group").cast("double"), F.col("r"))).alias("monotonicity"))
-    spreads = spreads.select("factor_name", F.col("annual_return").alias("long_short_return"), F.col("sharpe").alias("long_short_sharpe"))
-    return stats.join(spreads, "factor_name").join(mono, "factor_name").select("factor_name", "ic_mean", "icir", "win_rate", "long_short_return", "long_short_sharpe", "monotonicity")
-
-
-def _points_sql(m: str, low: float, high: float) -> str:
-    return f"CASE WHEN {m} IS NOT NULL THEN greatest(0.0::DOUBLE, least(10.0::DOUBLE, CASE WHEN {m} >= {low} THEN 6 + 4 * ({m} - {low}) / ({high} - {low}) ELSE 6 * {m} / {low} END)) END"
-
-
-_SCORE = " + ".join(f"{10 * w} * coalesce({_points_sql(m, low, high)}, 0.0)" for m, w, low, high in SCORES)
-_CORE = f"{_points_sql('icir', 0.3, 0.5)} >= 6 AND {_points_sql('monotonicity', 0.8, 1.0)} >= 6"
-
-
-def scored(source) -> DataFrame:
-    rows = screening(source)
-    parts = [F.lit(10 * w) * F.coalesce(points(F.col(m), low, high), F.lit(0.0)) for m, w, low, high in SCORES]
-    score = sum(parts[1:], parts[0])  # an unknown metric gives no points
-    core = (points(F.col("icir"), 0.3, 0.5) >= 6) & (points(F.col("monotonicity"), 0.8, 1.0) >= 6)
-    return rows.withColumn("score", score).withColumn("pass_simple", F.col("score") >= 70).withColumn("pass", (F.col("score") >= 70) & core)
-
-
-@register("screening", sql.query(_TIDY, TICS, _CUT, _SCREEN, f"SELECT * FROM (SELECT *, {_SCORE} AS score, {_SCORE} >= 70 AS pass_simple, {_SCORE} >= 70 AND {_CORE} AS pass FROM screen) ORDER BY score DESC"))
-def screened(source):
-    return scored(source).orderBy(F.desc_nulls_last("score"))
-
-
-@register("best_factors", sql.query(_TIDY, TICS, _CUT, _SCREEN, f"SELECT factor_name FROM screen ORDER BY {_SCORE} DESC NULLS LAST, factor_name LIMIT 2"))
-def best(source):
-    return scored(source).orderBy(F.desc_nulls_last("score"), "factor_name").limit(2).select("factor_name")
-
-
-def _grade_sql(m: str, low: float, high: float) -> str:
-    return f"CASE WHEN {m} > {high} THEN 'excellent' WHEN {m} > {low} THEN 'pass' ELSE 'fail' END AS {m}_grade"
-
-
-@register("scorecard", sql.query(_TIDY, TICS, _CUT, _SCREEN, "SELECT factor_name, " + ", ".join(_grade_sql(m, low, high) for m, _, low, high in SCORES) + " FROM screen"))
-def scorecard(source):
-    return screening(source).select("factor_name", *[grade(F.col(m), low, high).alias(f"{m}_grade") for m, _, low, high in SCORES])
-
-
-@register("checklist", sql.query(_TIDY, TICS, _CUT, _SCREEN, "SELECT factor_name, abs(ic_mean) > 0.03 AS ic_ok, abs(icir) > 0.3 AS icir_ok, greatest(win_rate, 1 - win_rate) > 0.5 AS win_ok, abs(long_short_return) > 0.08 AS spread_ok, monotonicity >= 0.8 AS monotone_ok, (abs(ic_mean) > 0.03)::INT + (abs(icir) > 0.3)::INT + (greatest(win_rate, 1 - win_rate) > 0.5)::INT + (abs(long_short_return) > 0.08)::INT + (monotonicity >= 0.8)::INT AS passed FROM screen"))
-def checklist(source):
-    items = {"ic_ok": F.abs("ic_mean") > 0.03, "icir_ok": F.abs("icir") > 0.3, "win_ok": F.greatest(F.col("win_rate"), 1 - F.col("win_rate")) > 0.5, "spread_ok": F.abs("long_short_return") > 0.08, "monotone_ok": F.col("monotonicity") >= 0.8}
-    return screening(source).select("factor_name", *[c.alias(n) for n, c in items.items()], sum((c.cast("int") for c in items.values()), F.lit(0)).alias("passed"))

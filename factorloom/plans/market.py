@@ -9,20 +9,25 @@ from factorloom.functions.expressions import average_rank, by_date, clip, safe_d
 from factorloom.operators.clean import clean, neutralize, standardize, winsorize
 from factorloom.operators.combine import size_floor, universe
 from factorloom.operators.evaluate import asof_return, forward_return, histogram, moments
-from factorloom.operators.factors import LIBRARY, calc_factors, long_form, momentum, volatility, with_market
+from factorloom.operators.factors import LIBRARY, Factor, calc_factors, long_form, momentum, volatility, with_market
 from factorloom.operators.backtest import rebalance_dates
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
-from factorloom.sources.panel import PanelSource, monthly_panel
+from factorloom.sources.panel import PanelSource, daily_closes, monthly_panel
 
 
 def labelled(source: PanelSource) -> DataFrame:
-    """The panel with returns, the benchmark, the label and three factors."""
-    rows = forward_return(with_market(monthly_panel(source)))
-    return rows.withColumns({"mom": momentum(3)(), "ep": safe_div(F.lit(1.0), F.col("pe_ratio")), "vol": volatility(6)()})
+    """The panel with returns, the benchmark, the label and three factors; written, as most plans branch from it."""
+
+    def build() -> DataFrame:
+        rows = forward_return(with_market(monthly_panel(source)))
+        return rows.withColumns({"mom": momentum(3)(), "ep": safe_div(F.lit(1.0), F.col("pe_ratio")), "vol": volatility(6)()})
+
+    return source.once("labelled", build)
 
 
 ID = "trade_date, code"
+MOM3 = Factor("mom", ("close",), momentum(3), 4, family="momentum")
 
 
 @register("panel", sql.query(f"SELECT {ID}, open, high, low, close, volume, amount, pe_ratio, roe, market_cap, is_st, is_suspend, list_days, industry FROM panel"))
@@ -50,9 +55,14 @@ def biweekly_ends(source):
     return rebalance_dates(source.lines().select(F.col("ship").alias("trade_date")), "biweekly")
 
 
-@register("universe_filter", sql.query(f"SELECT {ID} FROM panel WHERE NOT is_st AND list_days >= 60 AND NOT is_suspend AND trade_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))
+@register("universe_filter", sql.query(f"SELECT {ID} FROM panel WHERE NOT is_st AND list_days >= 60 AND NOT is_suspend"))
 def universe_filter(source):
-    return universe(monthly_panel(source)).where("trade_date between '1996-01-01' and '1999-12-31'").select("trade_date", "code")
+    return universe(monthly_panel(source)).select("trade_date", "code")
+
+
+@register("date_range", sql.query(f"SELECT {ID}, close FROM panel WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))
+def date_range(source):
+    return monthly_panel(source).where("trade_date between '1996-01-01' and '1999-12-31'").select("trade_date", "code", "close")
 
 
 @register("st_filter", sql.query(f"SELECT {ID} FROM panel WHERE NOT is_st"))
@@ -90,14 +100,13 @@ q AS (SELECT DISTINCT date_trunc('quarter', trade_date)::DATE AS s FROM px)
 SELECT s AS start, code, arg_max(close, trade_date) / nullif(arg_min(close, trade_date), 0) - 1 AS ret FROM px JOIN q ON trade_date >= s AND trade_date < s + INTERVAL 3 MONTH GROUP BY s, code HAVING count(*) >= 2""",
 )
 def asof(source):
-    total = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
-    prices = source.lines().groupBy("code", F.col("ship").alias("trade_date")).agg(safe_div(total("extendedprice"), total("quantity")).alias("close"))
-    starts = source.lines().select(F.trunc("ship", "quarter").alias("start")).distinct()
+    prices = source.once("days", lambda: daily_closes(source))
+    starts = prices.select(F.trunc("trade_date", "quarter").alias("start")).distinct()
     periods = starts.select("start", F.date_sub(F.add_months("start", 3), 1).alias("end"))
     return asof_return(prices, periods)
 
 
-_FACTOR_SQL = {
+FACTOR_SQL = {
     "mas5": "CASE WHEN count(close) OVER w5 = 5 THEN avg(close) OVER w5 END",
     "intraday": "close / nullif(open, 0) - 1",
     "ep": "1.0 / nullif(pe_ratio, 0)",
@@ -122,14 +131,14 @@ _FACTOR_SQL = {
     "revenue_growth": "amount / nullif(lag(amount, 12) OVER w, 0) - 1",
     "profit_growth": "(net_profit - lag(net_profit, 12) OVER w) / nullif(abs(lag(net_profit, 12) OVER w), 0)",
 }
-_WINDOWS = "WINDOW w AS (PARTITION BY code ORDER BY trade_date)" + "".join(f", w{n} AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 12, 20))
+FACTOR_WINDOWS = "WINDOW w AS (PARTITION BY code ORDER BY trade_date)" + "".join(f", w{n} AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 12, 20))
 _IDIO = """SELECT trade_date, code, CASE WHEN n = 20 THEN -sqrt(greatest(0.0, (vy - cov * cov / nullif(vx, 0)) * n / (n - 2))) END AS idio_vol FROM (
 SELECT trade_date, code, count(y) OVER w AS n, var_pop(y) OVER w AS vy, covar_pop(y, x) OVER w AS cov, var_pop(x) OVER w AS vx FROM (
 SELECT trade_date, code, CASE WHEN bench IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL THEN bench END AS x FROM lab)
 WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 
 for _name in LIBRARY.factors:
-    _text = sql.query(_IDIO) if _name == "idio_vol" else sql.query(f"SELECT {ID}, {_FACTOR_SQL[_name]} AS {_name} FROM rets {_WINDOWS}")
+    _text = sql.query(_IDIO) if _name == "idio_vol" else sql.query(f"SELECT {ID}, {FACTOR_SQL[_name]} AS {_name} FROM rets {FACTOR_WINDOWS}")
 
     @register(f"factor_{_name}", _text)
     def _one(source, name=_name):
@@ -145,15 +154,50 @@ def ep_classical(source):
     return standardize(winsorize(rows, "ep", 0.01, 0.99), "ep")
 
 
-@register("calc_factors", sql.query(f"SELECT * FROM (SELECT {ID}, {_FACTOR_SQL['ep']} AS ep, {_FACTOR_SQL['roe']} AS roe, {_FACTOR_SQL['momentum20']} AS momentum20 FROM rets {_WINDOWS}) WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'"))
+@register("calc_factors", sql.query(f"SELECT * FROM (SELECT {ID}, {FACTOR_SQL['ep']} AS ep, {FACTOR_SQL['roe']} AS roe, {FACTOR_SQL['momentum20']} AS momentum20 FROM rets {FACTOR_WINDOWS}) WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'"))
 def several(source):
     return calc_factors(monthly_panel(source), [LIBRARY[n] for n in ("ep", "roe", "momentum20")], start="1998-01-01", end="2000-12-31")
 
 
+# the factors of the sources with their cleaning: winsorized, neutral to industry (and size), standardized
+_WINSORED = "wz AS (SELECT *, CASE WHEN f IS NOT NULL THEN greatest(quantile_cont(f, 0.025) OVER w, least(quantile_cont(f, 0.975) OVER w, f)) END AS x FROM fa WINDOW w AS (PARTITION BY trade_date))"
+_BY_INDUSTRY = "nz AS (SELECT *, CASE WHEN industry IS NOT NULL THEN x - avg(x) OVER (PARTITION BY trade_date, industry) END AS y FROM wz)"
+_BY_BOTH = """sz AS (SELECT *, CASE WHEN x IS NOT NULL AND market_cap IS NOT NULL AND industry IS NOT NULL THEN x END AS x1, CASE WHEN x IS NOT NULL AND market_cap IS NOT NULL AND industry IS NOT NULL THEN {size} END AS z1 FROM wz),
+dm AS (SELECT *, x1 - avg(x1) OVER w AS xd, z1 - avg(z1) OVER w AS zd FROM sz WINDOW w AS (PARTITION BY trade_date, industry)),
+nz AS (SELECT *, xd - coalesce(sum(xd * zd) OVER w / nullif(sum(zd * zd) OVER w, 0), 0.0) * zd AS y FROM dm WINDOW w AS (PARTITION BY trade_date))"""
+# residuals of 0 leave traces, so scores are rounded
+_SCORED = "round((y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0), 9) + 0.0"
+
+
+def cleaned_sql(name: str, size: str = "market_cap") -> tuple[str, ...]:
+    neutral = _BY_BOTH.format(size=size) if LIBRARY[name].neutralize == ("industry", "market_cap") else _BY_INDUSTRY
+    return f"fa AS (SELECT trade_date, code, industry, market_cap, fwd, {FACTOR_SQL[name]} AS f FROM lab {FACTOR_WINDOWS})", _WINSORED, neutral
+
+
+for _name in ("intraday", "ep", "roe", "momentum20", "enhanced_ep", "gap", "volatility20"):
+
+    @register(f"clean_{_name}", sql.query(*cleaned_sql(_name), f"SELECT {ID}, {_SCORED} AS {_name} FROM nz WINDOW w AS (PARTITION BY trade_date)"))
+    def _clean(source, name=_name):
+        return calc_factors(monthly_panel(source), [LIBRARY[name]], cleaned=True).select("trade_date", "code", (F.round(name, 9) + 0.0).alias(name))
+
+
+@register("clean_log_size", sql.query(*cleaned_sql("gap", "ln(market_cap)"), f"SELECT {ID}, {_SCORED} AS gap FROM nz WINDOW w AS (PARTITION BY trade_date)"))
+def clean_log_size(source):
+    rows = monthly_panel(source)
+    made = rows.select("trade_date", "code", "industry", "market_cap", LIBRARY["gap"].calc().alias("gap"))
+    return standardize(neutralize(winsorize(made, "gap"), "gap", ("industry", "market_cap"), log_size=True), "gap").select("trade_date", "code", (F.round("gap", 9) + 0.0).alias("gap"))
+
+
+@register("factors_adjusted", sql.query(f"SELECT {ID}, close * factor / nullif(lag(close * factor, 3) OVER w, 0) - 1 AS mom FROM (SELECT *, CASE WHEN trade_date < DATE '1996-01-01' THEN 0.5 ELSE 1.0 END AS factor FROM panel) WINDOW w AS (PARTITION BY code ORDER BY trade_date)"))
+def adjusted(source):
+    """Prices times an adjustment factor, here that of a split of each share into two."""
+    rows = monthly_panel(source).withColumn("factor", F.when(F.col("trade_date") < "1996-01-01", 0.5).otherwise(1.0))
+    return calc_factors(rows, [MOM3], adjust="factor")
+
+
 @register("factors_skip_paused", sql.query(f"SELECT {ID}, close / nullif(lag(close, 3) OVER w, 0) - 1 AS mom FROM panel WHERE NOT is_suspend WINDOW w AS (PARTITION BY code ORDER BY trade_date)"))
 def skip_paused(source):
-    rows = monthly_panel(source).where("not is_suspend")
-    return rows.select("trade_date", "code", momentum(3)().alias("mom"))
+    return calc_factors(monthly_panel(source), [MOM3], skip_paused=True)
 
 
 @register("factors_long", sql.query(f"SELECT {ID}, 'ep' AS factor_name, ep AS factor FROM lab UNION ALL SELECT {ID}, 'mom', mom FROM lab UNION ALL SELECT {ID}, 'vol', vol FROM lab"))
@@ -207,7 +251,7 @@ def listing_age(source):
     return monthly_panel(source).groupBy("code").agg(F.max("list_days").alias("age"), F.sum(F.col("is_suspend").cast("int")).alias("suspended"))
 
 
-@register("size_neutral_extremes", sql.query(f"SELECT {ID}, mom FROM (SELECT *, max(mom) OVER w AS hi, min(mom) OVER w AS lo FROM lab WINDOW w AS (PARTITION BY trade_date, industry)) WHERE mom = hi OR mom = lo"))
+@register("industry_extremes", sql.query(f"SELECT {ID}, mom FROM (SELECT *, max(mom) OVER w AS hi, min(mom) OVER w AS lo FROM lab WINDOW w AS (PARTITION BY trade_date, industry)) WHERE mom = hi OR mom = lo"))
 def extremes(source):
     w = by_date("industry")
     rows = labelled(source).withColumns({"hi": F.max("mom").over(w), "lo": F.min("mom").over(w)})

@@ -45,7 +45,7 @@ def corr(x: str, y: str) -> str:
 def ic(name: str, factor: str, source: str = "lab", label: str = "fwd", keys: str = "trade_date", at_least: int = 20) -> str:
     """A table of rank ICs by ``keys``."""
     return (
-        f"{name} AS (SELECT {keys}, {corr('f', 'r')} AS ic, count(*) AS n FROM (SELECT {keys}, {rank(factor, keys)} AS f, {rank(label, keys)} AS r "
+        f"{name} AS (SELECT {keys}, round({corr('f', 'r')}, 12) + 0.0 AS ic, count(*) AS n FROM (SELECT {keys}, {rank(factor, keys)} AS f, {rank(label, keys)} AS r "
         f"FROM {source} WHERE {factor} IS NOT NULL AND {label} IS NOT NULL) GROUP BY {keys} HAVING count(*) > {at_least})"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.expressions import correlation, safe_div
 from factorloom.operators.backtest import nav_fold, nav_proportional, period_returns, stop_losses, stopped_nav, trade_cost, trades, turnover, vol_target
 from factorloom.operators.combine import banded, composite, dynamic_weights, ranks, select_by_size, top_n, universe, weigh, with_inertia, with_penalty
-from factorloom.operators.evaluate import ic_stats, rank_ic, rolling_ic
+from factorloom.operators.evaluate import rank_ic
 from factorloom.operators.monitor import ALERTS, DIAGNOSIS, VERSION_SCHEMA, breaches, version_steps
 from factorloom.operators.performance import calendar_returns, drawdown_curve, metrics, recovery, report
 from factorloom.plans import sql
@@ -41,7 +41,8 @@ def scored(source) -> DataFrame:
 
 
 def picked(source) -> DataFrame:
-    return top_n(universe(scored(source)), N)
+    """The holdings: a few names of each date, written as every plan on them branches."""
+    return source.once("picked", lambda: top_n(universe(scored(source)), N))
 
 
 def book(source) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -64,28 +65,74 @@ def composite_equal(source):
 
 
 _ICS = sql.ic("ea", "ep") + ", " + sql.ic("eb", "vol")
-for _name, _w in (("composite_ic", "abs(avg(ic))"), ("composite_icir", "abs(avg(ic) / nullif(stddev_samp(ic), 0))")):
+# a date's IC is known when its label is, a date later: weights of a date rest on the ICs before it
+_PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_KNOWN = """kn AS (SELECT trade_date, {0} OVER w AS a, {1} OVER w AS b FROM (SELECT DISTINCT trade_date FROM lab) LEFT JOIN (SELECT trade_date, ic AS ia FROM ea) USING (trade_date) LEFT JOIN (SELECT trade_date, ic AS ib FROM eb) USING (trade_date) WINDOW w AS (ORDER BY trade_date {2}))"""
 
-    @register(_name, sql.query(BOTH, _ICS, f"ws AS (SELECT (SELECT {_w} FROM ea) AS a, (SELECT {_w} FROM eb) AS b)", "SELECT trade_date, code, (ep_rank * a + vol_rank * b) / nullif(a + b, 0) AS score FROM rk, ws"))
-    def _weighted(source, by="ic_mean" if _name == "composite_ic" else "icir"):
-        rows = labelled(source)
-        stat = lambda f: ic_stats(rank_ic(rows, f)).select(F.abs(by).alias(f"{f}_w"))
-        one_row = stat("ep").join(F.broadcast(stat("vol")))
-        both = ranks(rows.where("ep is not null and vol is not null"), "ep", "vol").join(F.broadcast(one_row))
-        return composite(both, {"ep_rank": F.col("ep_w"), "vol_rank": F.col("vol_w")}).select("trade_date", "code", "score")
 
+def known_ics(source) -> DataFrame:
+    """A row for each date: the ICs of both factors, null where there are too few names."""
+    rows = labelled(source)
+    dates = rows.select("trade_date").distinct()
+    for factor, name in (("ep", "ic_a"), ("vol", "ic_b")):
+        dates = dates.join(rank_ic(rows, factor).select("trade_date", F.col("ic").alias(name)), "trade_date", "left")
+    return dates
 
-_ROLL = "ra AS (SELECT trade_date, CASE WHEN count(ic) OVER r = 12 THEN avg(ic) OVER r END AS a FROM ea WINDOW r AS (ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), rb AS (SELECT trade_date, CASE WHEN count(ic) OVER r = 12 THEN avg(ic) OVER r END AS b FROM eb WINDOW r AS (ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"
 
+def weighted(source, weights: DataFrame) -> DataFrame:
+    """The composite of both ranks under a date's weights ``a`` and ``b``; null where they are not known."""
+    both = ranks(labelled(source).where("ep is not null and vol is not null"), "ep", "vol").join(F.broadcast(weights), "trade_date")  # a row for each date
+    return both.select("trade_date", "code", safe_div(F.col("ep_rank") * F.col("a") + F.col("vol_rank") * F.col("b"), F.abs("a") + F.abs("b")).alias("score"))
 
-@register("composite_dynamic", sql.query(_ICS, _ROLL, "SELECT trade_date, CASE WHEN greatest(a, 0) + greatest(b, 0) = 0 THEN 0.5 ELSE greatest(a, 0) / nullif(greatest(a, 0) + greatest(b, 0), 0) END AS a_weight, CASE WHEN greatest(a, 0) + greatest(b, 0) = 0 THEN 0.5 ELSE greatest(b, 0) / nullif(greatest(a, 0) + greatest(b, 0), 0) END AS b_weight FROM ra JOIN rb USING (trade_date) WHERE a IS NOT NULL AND b IS NOT NULL"))
-def composite_dynamic(source):
-    rows = labelled(source)
-    roll = lambda f, n: rolling_ic(rank_ic(rows, f)).select("trade_date", F.col("rolling_ic").alias(n))
-    both = roll("ep", "a").join(roll("vol", "b"), "trade_date").where("a is not null and b is not null")
+
+for _name, _w in (("composite_ic", "avg({0})"), ("composite_icir", "avg({0}) OVER w / nullif(stddev_samp({0}) OVER w, 0)")):
+    _a, _b = (_w.format(x).removesuffix(" OVER w") for x in ("ia", "ib"))
+    _known = _KNOWN.format(_a, _b, _PAST) if _name == "composite_ic" else _KNOWN.replace("{0} OVER w", _a).replace("{1} OVER w", _b).replace("{2}", _PAST)
+
+    @register(_name, sql.query(BOTH, _ICS, _known, "SELECT trade_date, code, (ep_rank * a + vol_rank * b) / nullif(abs(a) + abs(b), 0) AS score FROM rk JOIN kn USING (trade_date)"))
+    def _weighted(source, ratio=_name == "composite_icir"):
+        """Expanding means (or their ratio to the deviation) of the ICs known on the date, with their sign."""
+        past = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+        stat = lambda c: safe_div(F.avg(c).over(past), F.stddev_samp(c).over(past)) if ratio else F.avg(c).over(past)
+        return weighted(source, known_ics(source).select("trade_date", stat("ic_a").alias("a"), stat("ic_b").alias("b")))
+
+
+_TWELVE = "ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING"
+_ROLL = _KNOWN.replace("{0} OVER w", "CASE WHEN count(ia) OVER w = 12 THEN avg(ia) OVER w END").replace("{1} OVER w", "CASE WHEN count(ib) OVER w = 12 THEN avg(ib) OVER w END").replace("{2}", _TWELVE)
+_DYNAMIC = "dw AS (SELECT trade_date, CASE WHEN greatest(a, 0) + greatest(b, 0) = 0 THEN 0.5 ELSE greatest(a, 0) / nullif(greatest(a, 0) + greatest(b, 0), 0) END AS a_weight, CASE WHEN greatest(a, 0) + greatest(b, 0) = 0 THEN 0.5 ELSE greatest(b, 0) / nullif(greatest(a, 0) + greatest(b, 0), 0) END AS b_weight FROM kn WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+def rolled_weights(source) -> DataFrame:
+    w = Window.orderBy("trade_date").rowsBetween(-12, -1)
+    roll = lambda c: F.when(F.count(c).over(w) == 12, F.avg(c).over(w))
+    both = known_ics(source).select("trade_date", roll("ic_a").alias("a"), roll("ic_b").alias("b")).where("a is not null and b is not null")
     return dynamic_weights(both, "a", "b").select("trade_date", "a_weight", "b_weight")
 
 
+@register("dynamic_weights", sql.query(_ICS, _ROLL, _DYNAMIC, "SELECT * FROM dw"))
+def dynamic(source):
+    return rolled_weights(source)
+
+
+@register("composite_dynamic", sql.query(BOTH, _ICS, _ROLL, _DYNAMIC, "SELECT trade_date, code, ep_rank * a_weight + vol_rank * b_weight AS score FROM rk JOIN dw USING (trade_date)"))
+def composite_dynamic(source):
+    return weighted(source, rolled_weights(source).select("trade_date", F.col("a_weight").alias("a"), F.col("b_weight").alias("b")))
+
+
+_ON = """ro AS (SELECT trade_date, CASE WHEN count(ia) OVER w = 12 THEN avg(ia) OVER w END AS ra, CASE WHEN count(ib) OVER w = 12 THEN avg(ib) OVER w END AS rb FROM (SELECT DISTINCT trade_date FROM lab) LEFT JOIN (SELECT trade_date, ic AS ia FROM ea) USING (trade_date) LEFT JOIN (SELECT trade_date, ic AS ib FROM eb) USING (trade_date) WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+sw AS (SELECT trade_date, CASE WHEN count(ra) OVER t = 3 AND sum(ra) OVER t < 0 THEN 0.0 ELSE 1.0 END AS a, CASE WHEN count(rb) OVER t = 3 AND sum(rb) OVER t < 0 THEN 0.0 ELSE 1.0 END AS b FROM ro WINDOW t AS (ORDER BY trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+
+
+@register("composite_switched", sql.query(BOTH, _ICS, _ON, "SELECT trade_date, code, (ep_rank * a + vol_rank * b) / nullif(a + b, 0)::DOUBLE AS score FROM rk JOIN sw USING (trade_date)"))
+def composite_switched(source):
+    """Equal weights of the factors that are on: those whose last three rolling ICs don't add up below 0."""
+    w, t = Window.orderBy("trade_date").rowsBetween(-12, -1), Window.orderBy("trade_date").rowsBetween(-2, 0)
+    roll = lambda c: F.when(F.count(c).over(w) == 12, F.avg(c).over(w))
+    rolled = known_ics(source).select("trade_date", roll("ic_a").alias("ra"), roll("ic_b").alias("rb"))
+    on = lambda c: F.when((F.count(c).over(t) == 3) & (F.sum(c).over(t) < 0), 0.0).otherwise(1.0)
+    return weighted(source, rolled.select("trade_date", on("ra").alias("a"), on("rb").alias("b")))
+
+
 @register("select_top_n", sql.query(BOTH, SCORED, OK, PICKED, "SELECT trade_date, code, score, place::INT AS place FROM pk"))
 def select_top(source):
     return picked(source).select("trade_date", "code", "score", "place")
@@ -352,6 +399,6 @@ def bootstrap(source):
     return paths.where("size(rets) > 0").select("path", (growth - 1).alias("annual_return"))
 
 
-@register("regime_correlation", sql.query("b AS (SELECT code, ret, bench FROM lab WHERE ret IS NOT NULL AND bench IS NOT NULL)", f"SELECT code, {sql.corr('ret', 'bench')} AS rho FROM b GROUP BY code"))
+@register("market_correlation", sql.query("b AS (SELECT code, ret, bench FROM lab WHERE ret IS NOT NULL AND bench IS NOT NULL)", f"SELECT code, {sql.corr('ret', 'bench')} AS rho FROM b GROUP BY code"))
 def market_correlation(source):
     return labelled(source).groupBy("code").agg(correlation(F.col("ret"), F.col("bench")).alias("rho"))

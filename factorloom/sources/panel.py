@@ -1,17 +1,20 @@
 """Security panels: one row for each date and code, from Parquet tables.
 
-``monthly_panel`` derives a month-by-security panel from order lines: a supplier stands for a security,
-a month for a trading day. Amounts are summed as decimals, so they are the same in any order.
+``monthly_panel`` derives a month-by-security panel from order lines, and ``daily_prices`` a daily one: a
+supplier stands for a security. Amounts are summed as decimals, so they are the same in any order. The
+lines are scanned once: their cells, one for each code and month with trades, are a written table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.expressions import by_code, safe_div
+from factorloom.sources.scratch import written
 
 #: Share of returned lines above which a name is flagged as under special treatment.
 ST_SHARE = 0.5
@@ -19,10 +22,17 @@ ST_SHARE = 0.5
 
 @dataclass(frozen=True)
 class PanelSource:
-    """Where the tables of a panel are; ``key`` is the column that names the security."""
+    """Where the tables of a panel are, and what a query has written so far."""
 
     spark: SparkSession
     sf_dir: str
+    held: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table of this name, which is written when it is first asked for."""
+        if name not in self.held:
+            self.held[name] = written(build(), name)
+        return self.held[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -62,23 +72,19 @@ def observed_months(lines: DataFrame) -> DataFrame:
     )
 
 
-def densify(cells: DataFrame, lines: DataFrame) -> DataFrame:
-    """A row for every code and month from the first to the last month of the lines.
+def densify(cells: DataFrame) -> DataFrame:
+    """A row for every code and month from the first to the last month that any code has.
 
-    Without it a gap would stretch every horizon that counts rows. Codes and bounds are read from one
-    column of the lines each, not from the aggregated cells; the two bounds come to the driver.
+    Without it a gap would stretch every horizon that counts rows. The bounds are one row of the plan.
     """
-    low, high = lines.agg(F.min("ship"), F.max("ship")).first()
-    if low is None:
-        return cells
-    months = F.sequence(F.trunc(F.lit(low), "MM"), F.trunc(F.lit(high), "MM"), F.expr("interval 1 month"))
-    return lines.select("code").distinct().select("code", F.explode(months).alias("trade_date")).join(cells, ["code", "trade_date"], "left")
+    bounds = cells.agg(F.sequence(F.min("trade_date"), F.max("trade_date"), F.expr("interval 1 month")).alias("months")).where("months is not null")
+    grid = cells.select("code").distinct().join(F.broadcast(bounds)).select("code", F.explode("months").alias("trade_date"))
+    return grid.join(cells, ["code", "trade_date"], "left")
 
 
 def monthly_panel(source: PanelSource) -> DataFrame:
     """All fields of the factor library; null where a security did not trade in the month."""
-    lines = source.lines()
-    dense = densify(observed_months(lines), lines)
+    dense = densify(source.once("cells", lambda: observed_months(source.lines())))
     listed = F.min(F.when(F.col("lines") > 0, F.col("trade_date"))).over(Window.partitionBy("code"))
     year = by_code().rowsBetween(-11, 0)
     panel = dense.select(
@@ -109,8 +115,18 @@ def calendar(panel: DataFrame) -> DataFrame:
     return dates.select("trade_date", F.lead("trade_date").over(Window.orderBy("trade_date")).alias("next_date"))
 
 
-def market(panel: DataFrame) -> DataFrame:
-    """trade_date and the equal-weight mean return of all securities."""
-    from factorloom.functions.expressions import change
+def daily_closes(source: PanelSource) -> DataFrame:
+    """trade_date, code, close, volume, amount: a day's mean price of the days with trades."""
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
+    days = source.lines().groupBy("code", F.col("ship").alias("trade_date")).agg(total("extendedprice").alias("amount"), total("quantity").alias("volume"))
+    return days.select("trade_date", "code", safe_div(F.col("amount"), F.col("volume")).alias("close"), "volume", "amount")
+
 
-    return panel.select("trade_date", "code", change(F.col("close")).alias("ret")).groupBy("trade_date").agg(F.avg("ret").alias("bench"))
+def daily_prices(source: PanelSource) -> DataFrame:
+    """The dense daily panel: trade_date, code, close (the last known), traded (whether on this day)."""
+    cells = source.once("days", lambda: daily_closes(source))
+    days = cells.agg(F.array_sort(F.collect_set("trade_date")).alias("days"))  # as many as the calendar has
+    grid = cells.select("code").distinct().join(F.broadcast(days)).select("code", F.explode("days").alias("trade_date"))
+    past = by_code().rowsBetween(Window.unboundedPreceding, 0)
+    dense = grid.join(cells, ["code", "trade_date"], "left")
+    return dense.select("trade_date", "code", F.last("close", ignorenulls=True).over(past).alias("close"), F.col("close").isNotNull().alias("traded"), "amount")
