@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.expressions import safe_div
+from factorloom.operators.combine import top_n, weigh
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,8 @@ class Costs:
 
 @dataclass(frozen=True)
 class BacktestConfig:
+    """Dates are inclusive; ``rebalance_freq`` is week, biweekly, month or quarter."""
+
     start_date: str | None = None
     end_date: str | None = None
     initial_capital: float = 10_000_000.0
@@ -35,6 +38,16 @@ class BacktestConfig:
     costs: Costs = Costs()
 
 
+class Strategy:
+    """What to hold on a date: ``signals`` scores names, ``weights`` turns scores into weights."""
+
+    def signals(self, panel: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def weights(self, signals: DataFrame, config: BacktestConfig) -> DataFrame:
+        return weigh(top_n(signals, config.max_holding), "equal").select("trade_date", "code", "weight")
+
+
 def trade_cost(value: Column, is_buy: Column, costs: Costs = Costs()) -> Column:
     """Of one trade: commission with its minimum, slippage, and tax on sales."""
     v = F.abs(value)
@@ -119,3 +132,49 @@ def stop_losses(holdings: DataFrame, limit: float = 0.10) -> DataFrame:
 def vol_target(vol: Column, threshold: float, base: float = 1.0) -> Column:
     """The position falls in proportion when volatility is above the threshold."""
     return F.when(vol > threshold, base * threshold / vol).otherwise(base)
+
+
+def backtest(strategy: Strategy, panel: DataFrame, prices: DataFrame, config: BacktestConfig) -> tuple[DataFrame, DataFrame]:
+    """(nav by day, trades): a strategy on monthly signals, held over daily prices.
+
+    ``panel`` has a row for each month and code, dated by the month's first day and known at its end;
+    ``prices`` is trade_date, code, close and dense. On a rebalancing day, the last of its unit, the
+    weights of the last month that has ended are bought at the day's close. In between they drift. Costs are
+    rates on the traded share of the value, so the value is a running product; minimum fees are
+    ``nav_fold``'s. nav has trade_date, nav, drawdown; trades have trade_date, code, change, cost.
+    """
+    span = prices.where(F.col("trade_date") >= config.start_date) if config.start_date else prices
+    span = span.where(F.col("trade_date") <= config.end_date) if config.end_date else span
+    weights = strategy.weights(strategy.signals(panel), config)
+
+    # calendars: a row for each day, month or rebalancing, so windows over all of them are small
+    every = Window.orderBy("trade_date")
+    days = span.select("trade_date").distinct()
+    ends = days.groupBy(F.trunc("trade_date", "MM").alias("month")).agg(F.max("trade_date").alias("trade_date"))
+    turns = rebalance_dates(days, config.rebalance_freq).withColumn("turn", F.lit(True))
+    known = F.last("month", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.last(F.when(F.col("turn"), F.col("trade_date")), ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, -1))
+    marked = days.join(turns, "trade_date", "left").join(ends, "trade_date", "left")
+    marked = marked.select("trade_date", F.coalesce("turn", F.lit(False)).alias("turn"), known.alias("month"), before.alias("bought"))
+
+    at_turn = marked.where("turn").select(F.col("trade_date").alias("bought"), "month")
+    held = at_turn.join(weights.withColumnRenamed("trade_date", "month"), "month").select("bought", "code", "weight")
+    held = held.join(span.select(F.col("trade_date").alias("bought"), "code", F.col("close").alias("cost")), ["bought", "code"], "left")
+    path = marked.where("bought is not null").select("trade_date", "bought", "turn").join(held, "bought").join(span.select("trade_date", "code", "close"), ["trade_date", "code"], "left")
+    path = path.withColumn("value", F.col("weight") * F.coalesce(safe_div(F.col("close"), F.col("cost")), F.lit(1.0)))
+    growth = path.groupBy("bought", "trade_date", "turn").agg(F.sum("value").alias("growth"))
+
+    drifted = path.where("turn").select("trade_date", "code", safe_div(F.col("value"), F.sum("value").over(Window.partitionBy("trade_date"))).alias("drifted"))
+    both = held.select(F.col("bought").alias("trade_date"), "code", "weight").join(drifted, ["trade_date", "code"], "full_outer")
+    rates = config.costs
+    change = F.coalesce("weight", F.lit(0.0)) - F.coalesce("drifted", F.lit(0.0))
+    traded = both.select("trade_date", "code", change.alias("change"))
+    rate = rates.commission * rates.sides + rates.slippage + F.when(F.col("change") < 0, rates.tax).otherwise(0.0)
+    traded = traded.withColumn("cost", F.abs("change") * rate)
+
+    kept = traded.groupBy("trade_date").agg((1 - F.sum("cost")).alias("kept"))
+    ended = growth.where("turn").select("trade_date", F.col("growth").alias("ended"))
+    base = kept.join(ended, "trade_date", "left").withColumn("base", F.product(F.col("kept") * F.coalesce("ended", F.lit(1.0))).over(every.rowsBetween(Window.unboundedPreceding, 0)))
+    nav = growth.join(base.select(F.col("trade_date").alias("bought"), "base"), "bought").select("trade_date", (F.lit(config.initial_capital) * F.col("base") * F.col("growth")).alias("nav"))
+    peak = F.max("nav").over(every.rowsBetween(Window.unboundedPreceding, 0))
+    return nav.withColumn("drawdown", (F.col("nav") - peak) / peak), traded

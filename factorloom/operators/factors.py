@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +95,9 @@ INTRADAY = _factor("intraday", "open close", lambda: safe_div(c("close"), c("ope
 EP = _factor("ep", "pe_ratio", lambda: safe_div(F.lit(1.0), c("pe_ratio")), family="value")
 BP = _factor("bp", "pb_ratio", lambda: safe_div(F.lit(1.0), c("pb_ratio")), family="value")
 SP = _factor("sp", "amount market_cap", lambda: safe_div(c("amount"), c("market_cap")), family="value")
+DP = _factor("dp", "dividends market_cap", lambda: safe_div(c("dividends"), c("market_cap")), family="value")
+EP_EX = _factor("ep_ex_items", "profit_ex_items amount", lambda: safe_div(c("profit_ex_items"), c("amount")), family="value")
+GROSS_MARGIN = _factor("gross_margin", "amount operating_cash_flow", lambda: safe_div(c("amount") - c("operating_cash_flow"), c("amount")), family="quality")
 ROE = _factor("roe", "roe", lambda: c("roe"), family="quality")
 ROA = _factor("roa", "net_profit amount", lambda: safe_div(c("net_profit"), c("amount")), family="quality")
 CASH_QUALITY = _factor("cash_quality", "operating_cash_flow net_profit", lambda: safe_div(c("operating_cash_flow"), c("net_profit")), family="quality")
@@ -150,6 +154,20 @@ def long_form(values: DataFrame, names: list[str]) -> DataFrame:
     return values.unpivot(["trade_date", "code"], names, "factor_name", "factor")
 
 
+def pandas_factor(panel: DataFrame, name: str, calc: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """trade_date, code, value: for a factor that no column expression gives. ``calc`` gets a security's rows by date.
+
+    A security's history is one group; nothing else is. Built-in expressions are the way wherever they will do.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("trade_date")
+        return rows[["trade_date", "code"]].assign(**{name: calc(rows).astype(float)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in panel.schema}
+    return panel.groupBy("code").applyInPandas(run, f"trade_date {kinds['trade_date']}, code {kinds['code']}, {name} double")
+
+
 def wide_view(values: DataFrame, name: str) -> DataFrame:
     """A row for each date and a column for each code; for sinks only."""
     return values.groupBy("trade_date").pivot("code").agg(F.first(name))

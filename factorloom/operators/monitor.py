@@ -8,20 +8,14 @@ from pyspark.sql import functions as F
 from factorloom.functions.expressions import safe_div
 
 # Symptom, metric, comparison, limit.
-DIAGNOSIS = (
-    ("low return", "annual_return", "<", 0.05),
-    ("high volatility", "annual_vol", ">", 0.25),
-    ("deep drawdown", "max_drawdown", "<", -0.30),
-    ("low sharpe", "sharpe", "<", 0.5),
-    ("high turnover", "turnover", ">", 0.80),
-    ("high cost share", "cost_share", ">", 0.30),
-)
 ALERTS = (
     ("month ic", "ic", "<", 0.0),
     ("turnover", "turnover", ">", 0.60),
     ("drawdown", "drawdown", "<", -0.15),
     ("concentration", "top5", ">", 0.40),
 )
+DAILY_ALERTS = (("day loss", "day_return", "<", -0.03), ("drawdown", "drawdown", "<", -0.15))
+WEEKLY_ALERTS = (("week loss", "week_return", "<", -0.05),)
 
 
 def breaches(rows: DataFrame, rules: tuple[tuple[str, str, str, float], ...], *keep: str) -> DataFrame:

@@ -112,6 +112,9 @@ FACTOR_SQL = {
     "ep": "1.0 / nullif(pe_ratio, 0)",
     "bp": "1.0 / nullif(pb_ratio, 0)",
     "sp": "amount / nullif(market_cap, 0)",
+    "dp": "dividends / nullif(market_cap, 0)",
+    "ep_ex_items": "profit_ex_items / nullif(amount, 0)",
+    "gross_margin": "(amount - operating_cash_flow) / nullif(amount, 0)",
     "roe": "roe",
     "roa": "net_profit / nullif(amount, 0)",
     "cash_quality": "operating_cash_flow / nullif(net_profit, 0)",

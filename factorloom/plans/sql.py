@@ -8,11 +8,12 @@ li AS (SELECT l_suppkey AS code, date_trunc('month', l_shipdate)::DATE AS trade_
 cells AS (SELECT code, trade_date, first(p / q ORDER BY ship, l_orderkey, l_linenumber) AS open, max(p / q) AS high, min(p / q) AS low,
   sum(p::DECIMAL(18,4))::DOUBLE AS amount, sum(q::DECIMAL(18,4))::DOUBLE AS volume, sum(d::DECIMAL(18,4))::DOUBLE AS discounts,
   sum((p * (d - t))::DECIMAL(18,4))::DOUBLE AS net_profit, sum((p * d)::DECIMAL(18,4))::DOUBLE AS operating_cash_flow,
+  sum((p * t)::DECIMAL(18,4))::DOUBLE AS dividends, sum((CASE WHEN rf <> 'R' THEN p * (d - t) ELSE 0.0 END)::DECIMAL(18,4))::DOUBLE AS profit_ex_items,
   count(*) AS lines, sum((rf = 'R')::INT) AS returned FROM li GROUP BY code, trade_date),
 cal AS (SELECT unnest(generate_series(min(trade_date)::TIMESTAMP, max(trade_date)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS trade_date FROM cells),
 dense AS (SELECT c.code, k.trade_date, x.* EXCLUDE (code, trade_date) FROM (SELECT DISTINCT code FROM cells) c CROSS JOIN cal k
   LEFT JOIN cells x ON x.code = c.code AND x.trade_date = k.trade_date),
-panel AS (SELECT trade_date, d.code, open, high, low, amount / nullif(volume, 0) AS close, volume, amount, net_profit, operating_cash_flow,
+panel AS (SELECT trade_date, d.code, open, high, low, amount / nullif(volume, 0) AS close, volume, amount, net_profit, operating_cash_flow, dividends, profit_ex_items,
   amount / nullif(net_profit, 0) AS pe_ratio, amount / nullif(operating_cash_flow + net_profit, 0) AS pb_ratio, discounts / nullif(lines, 0) AS roe,
   sum(amount) OVER (PARTITION BY d.code ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS market_cap,
   coalesce(returned::DOUBLE / nullif(lines, 0) > 0.5, false) AS is_st, lines IS NULL AS is_suspend,

@@ -9,7 +9,7 @@ from factorloom.functions.expressions import correlation, safe_div
 from factorloom.operators.backtest import nav_fold, nav_proportional, period_returns, stop_losses, stopped_nav, trade_cost, trades, turnover, vol_target
 from factorloom.operators.combine import banded, composite, dynamic_weights, ranks, select_by_size, top_n, universe, weigh, with_inertia, with_penalty
 from factorloom.operators.evaluate import rank_ic
-from factorloom.operators.monitor import ALERTS, DIAGNOSIS, VERSION_SCHEMA, breaches, version_steps
+from factorloom.operators.monitor import ALERTS, VERSION_SCHEMA, breaches, version_steps
 from factorloom.operators.performance import calendar_returns, drawdown_curve, metrics, recovery, report
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
@@ -257,21 +257,6 @@ def target_vol(source):
     return bench.select("trade_date", vol.alias("vol")).withColumn("position", vol_target(F.col("vol"), 0.1))
 
 
-_GRID = "gd AS (SELECT n, how FROM (VALUES (10), (20), (30)) a(n), (VALUES ('equal'), ('cap')) b(how)), pr AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC NULLS LAST, code) AS place FROM ok), gw AS (SELECT n, how, trade_date, fwd, CASE how WHEN 'equal' THEN 1.0 ELSE market_cap END AS raw FROM pr JOIN gd ON place <= n), gg AS (SELECT n, how, trade_date, sum(raw * coalesce(fwd, 0.0)) / sum(raw) AS ret FROM gw GROUP BY ALL)"
-
-
-@register("param_grid", sql.query(BOTH, SCORED, OK, _GRID, "SELECT n::INT AS top, how, power(product(1 + ret), 12.0 / count(ret)) - 1 AS annual_return, stddev_samp(ret) * sqrt(12) AS annual_vol FROM gg GROUP BY n, how"))
-def grid(source):
-    """All combinations in one job: each held name carries the parameter sets that it is held under."""
-    place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc_nulls_last("score"), "code"))
-    rows = universe(scored(source)).withColumn("place", place).where("place <= 30")
-    sets = F.array(*[F.struct(F.lit(n).alias("top"), F.lit(how).alias("how")) for n in (10, 20, 30) for how in ("equal", "cap")])
-    held_in = rows.select("trade_date", "fwd", "market_cap", F.explode(F.filter(sets, lambda s: s["top"] >= F.col("place"))).alias("s")).select("*", "s.*")
-    raw = F.when(F.col("how") == "equal", 1.0).otherwise(F.col("market_cap"))
-    gross = held_in.groupBy("top", "how", "trade_date").agg(safe_div(F.sum(raw * F.coalesce("fwd", F.lit(0.0))), F.sum(raw)).alias("ret"))
-    return metrics(gross.withColumn("bench_ret", F.lit(0.0)), 12, keys=("top", "how")).select("top", "how", "annual_return", "annual_vol")
-
-
 _M = "n, cumulative, annual_return, bench_annual, annual_vol, downside_vol, upside_vol, information_ratio, max_drawdown, win_rate, profit_loss"
 _CURVE = "nv AS (SELECT *, product(1 + ret) OVER (ORDER BY trade_date) AS nav FROM rt), dd AS (SELECT *, max(nav) OVER (ORDER BY trade_date) AS peak, (nav - max(nav) OVER (ORDER BY trade_date)) / max(nav) OVER (ORDER BY trade_date) AS drawdown FROM nv)"
 _METRICS = """mt AS (SELECT count(*) AS n, product(1 + ret) - 1 AS cumulative, power(product(1 + ret), 12.0 / count(ret)) - 1 AS annual_return, power(product(1 + bench_ret), 12.0 / count(bench_ret)) - 1 AS bench_annual,
@@ -356,12 +341,6 @@ def alerts(source):
     return breaches(live(source), ALERTS, "trade_date")
 
 
-@register("diagnosis", sql.query(*PERF, "dg AS (SELECT mr.*, (SELECT avg(x) FROM (SELECT 0.5 * sum(abs(change)) AS x FROM td GROUP BY trade_date)) AS turnover, (SELECT sum(cost) / nullif(sum(gross), 0) FROM nt JOIN gr USING (trade_date)) AS cost_share FROM mr)", _rules_sql(DIAGNOSIS, "dg")))
-def diagnosis(source):
-    one_row = metrics(strategy_returns(source), 12).join(F.broadcast(turned(source).agg(F.avg("turnover").alias("turnover")))).join(F.broadcast(share(source)))
-    return breaches(one_row, DIAGNOSIS)
-
-
 @register("daily_alerts", "SELECT user_id, ts::DATE AS day, sum(value) AS total FROM events GROUP BY ALL HAVING sum(value) > 100")
 def event_alerts(source):
     return daily_alerts(source.table("events").withColumn("ts", F.col("ts").cast("timestamp")), 100.0)

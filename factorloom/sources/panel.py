@@ -40,7 +40,7 @@ class PanelSource:
     def lines(self) -> DataFrame:
         """Only the columns that a panel needs reach the scan."""
         return self.table("lineitem").select(
-            F.col("l_suppkey").alias("code"), "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", F.to_date("l_shipdate").alias("ship"),
+            F.col("l_suppkey").alias("code"), "l_partkey", "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("returnflag"), F.to_date("l_shipdate").alias("ship"),
             *[F.col(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "discount", "tax")],
         )
 
@@ -67,8 +67,10 @@ def observed_months(lines: DataFrame) -> DataFrame:
         _exact(F.col("discount")).alias("discounts"),
         _exact(gross * (F.col("discount") - F.col("tax"))).alias("net_profit"),
         _exact(gross * F.col("discount")).alias("operating_cash_flow"),
+        _exact(gross * F.col("tax")).alias("dividends"),
+        _exact(F.when(F.col("returnflag") != "R", gross * (F.col("discount") - F.col("tax"))).otherwise(0.0)).alias("profit_ex_items"),
         F.count("*").alias("lines"),
-        F.sum((F.col("l_returnflag") == "R").cast("int")).alias("returned"),
+        F.sum((F.col("returnflag") == "R").cast("int")).alias("returned"),
     )
 
 
@@ -98,6 +100,8 @@ def monthly_panel(source: PanelSource) -> DataFrame:
         "amount",
         "net_profit",
         "operating_cash_flow",
+        "dividends",
+        "profit_ex_items",
         safe_div(F.col("amount"), F.col("net_profit")).alias("pe_ratio"),
         safe_div(F.col("amount"), F.col("operating_cash_flow") + F.col("net_profit")).alias("pb_ratio"),
         safe_div(F.col("discounts"), F.col("lines")).alias("roe"),

@@ -190,3 +190,64 @@ def test_shared_expressions(spark):
     assert [r[0] for r in rows.select(average_rank(F.col("x"), "k").alias("r")).orderBy(F.asc_nulls_first("r")).collect()] == [None, 1.0, 2.5, 2.5]
     assert one(rows.agg(correlation(F.col("x"), F.col("x")).alias("c")))["c"] == pytest.approx(1)
     assert quantile_group is not None
+
+
+def test_no_composite_looks_ahead(spark, tmp_path):
+    """Without the lines of the last two years the scores of all earlier months are the same."""
+    from pyspark.sql import functions as F
+
+    from factorloom.plans.catalog import PLANS
+    from factorloom.sources.panel import PanelSource
+
+    sf = "/root/testdata/sf0.01"
+    for t in ("supplier", "nation"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.where(F.col("l_shipdate") < "1997-01-01").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("composite_ic", "composite_icir", "composite_dynamic", "composite_switched"):
+        full, cut = (PLANS[name](PanelSource(spark, d)).where("trade_date < '1997-01-01'").toPandas() for d in (sf, str(tmp_path)))
+        full, cut = (x.sort_values(["trade_date", "code"]).reset_index(drop=True) for x in (full, cut))
+        assert len(cut) > 500 and full[["trade_date", "code"]].equals(cut[["trade_date", "code"]])
+        assert (full.score.isna() == cut.score.isna()).all() and (full.score - cut.score).abs().max() < 1e-9
+
+
+def test_as_of_takes_the_last_published(spark):
+    from factorloom.sources.point_in_time import as_of, members_at
+
+    rows = spark.createDataFrame([(d, c) for d in range(1, 7) for c in "ab"], "trade_date int, code string")
+    figures = spark.createDataFrame([(2, "a", 10), (4, "a", None), (4, "b", 7)], "published int, code string, x int")
+    got = {(r["trade_date"], r["code"]): (r["published"], r["x"]) for r in as_of(rows, figures, "published").collect()}
+    assert got == {(d, c): ((None, None) if (c == "b" and d < 4) or d < 2 else ((4, None) if c == "a" else (4, 7)) if d >= 4 else (2, 10)) for d in range(1, 7) for c in "ab"}
+    spans = spark.createDataFrame([("a", 2, 3), ("a", 5, 5), ("b", 9, 9)], "code string, from int, to int")
+    assert sorted(tuple(r) for r in members_at(rows, spans).collect()) == [(2, "a"), (3, "a"), (5, "a")]
+
+
+def test_backtest_by_hand(spark):
+    """Two names, four days, rebalancing weekly: the first week's drift, then half sold at its costs."""
+    from datetime import date
+
+    from factorloom.operators.backtest import BacktestConfig, Costs, Strategy, backtest
+
+    class Both(Strategy):
+        def signals(self, panel):
+            return panel.selectExpr("trade_date", "code", "1.0 as score")
+
+    days = [date(2024, 1, 30), date(2024, 1, 31), date(2024, 2, 1), date(2024, 2, 2), date(2024, 2, 5), date(2024, 2, 9)]
+    close = {"a": [1, 1, 2, 4, 4, 8], "b": [1, 1, 1, 1, 1, 1]}
+    prices = spark.createDataFrame([(d, c, float(v)) for c, values in close.items() for d, v in zip(days, values, strict=True)], "trade_date date, code string, close double")
+    panel = spark.createDataFrame([(date(2024, 1, 1), "a"), (date(2024, 1, 1), "b")], "trade_date date, code string")
+    free = Costs(commission=0.0, minimum=0.0, slippage=0.0, tax=0.0)
+    nav, traded = backtest(Both(), panel, prices, BacktestConfig(initial_capital=100.0, rebalance_freq="week", max_holding=2, costs=free))
+    assert [(r["trade_date"], r["nav"], r["drawdown"]) for r in nav.orderBy("trade_date").collect()] == [(days[4], 100.0, 0.0), (days[5], 150.0, 0.0)]
+    nav, traded = backtest(Both(), panel, prices, BacktestConfig(initial_capital=100.0, rebalance_freq="week", max_holding=2, costs=Costs(commission=0.01, minimum=0.0, slippage=0.0, tax=0.0, sides=1)))
+    assert [round(r["nav"], 9) for r in nav.orderBy("trade_date").collect()] == [99.0, 148.5]
+    assert round(traded.where("trade_date = '2024-02-09'").agg({"change": "sum"}).first()[0], 9) == -1.0  # no signal of February: all is sold
+
+
+def test_pandas_factor_and_wide_view(spark):
+    from factorloom.operators.factors import pandas_factor, wide_view
+
+    panel = spark.createDataFrame([(d, c, float(d * (c == "a"))) for d in range(1, 4) for c in "ab"], "trade_date int, code string, close double")
+    made = pandas_factor(panel, "total", lambda rows: rows["close"].cumsum())
+    assert {(r["trade_date"], r["code"]): r["total"] for r in made.collect()} == {(d, c): (d * (d + 1) / 2 if c == "a" else 0.0) for d in range(1, 4) for c in "ab"}
+    assert [tuple(r) for r in wide_view(made, "total").orderBy("trade_date").collect()] == [(1, 1.0, 0.0), (2, 3.0, 0.0), (3, 6.0, 0.0)]
