@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +31,15 @@ def text_of(column: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none, as in local tests, a temporary folder is set once per session.
+    Where a local session has none, as in tests, a temporary folder is set once per session. On a
+    cluster that would be a folder of one machine, so there the setting must be made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='factorloom-')}")
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -60,6 +66,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Rows of ``groups`` groups dealt by key for work that is heavy though its rows are light.
+
+    Partitions of light rows would be coalesced by their bytes, and the groups done one after another.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(groups, parts)), *keys)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays alive between tasks, and its heap with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # where the C library has it
+        trim(0)
+
+
 def row_groups(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Consecutive ranges of rows whose lengths add up to about ``most``; a longer row is alone."""
     if not len(lengths):

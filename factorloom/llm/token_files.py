@@ -42,11 +42,11 @@ class CorruptFile(ValueError):
 
 
 class Writer:
-    """Appends documents; ``close`` writes the table and the footer and gives the file its name."""
+    """Appends documents; ``close`` writes the table and the footer, without which no reader opens the file."""
 
-    def __init__(self, system: fs.FileSystem, path: str, attempt: str, width: int) -> None:
-        self.system, self.path, self.draft, self.width = system, path, f"{path}.{attempt}.tmp", width
-        self.sink = system.open_output_stream(self.draft)
+    def __init__(self, system: fs.FileSystem, path: str, width: int) -> None:
+        self.system, self.path, self.width = system, path, width
+        self.sink = system.open_output_stream(path)
         self.sink.write(MAGIC)
         self.at, self.ids = len(MAGIC), 0
         self.frames: list[tuple[int, ...]] = []
@@ -85,7 +85,10 @@ class Writer:
         self.sink.write(table)
         self.sink.write(FOOTER.pack(self.at + 8, len(table), xxhash.xxh64_intdigest(table), MAGIC))
         self.sink.close()
-        self.system.move(self.draft, self.path)  # a repeated attempt replaces the file by an equal one
+
+    def abort(self) -> None:
+        self.sink.close()
+        self.system.delete_file(self.path)
 
 
 class Reader:
@@ -147,35 +150,42 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fil
 
     Null and empty texts are the end id alone; null ids come first; rows of one id go by text, so
     that repeated rows are written as often as they occur; an empty table writes no file; other
-    columns are not written. A partition writes its own files under names that depend on its place
-    alone and moves them there when complete, so a repeated task changes nothing.
+    columns are not written. Each attempt of a task writes files of its own name, and only those of the
+    attempt that Spark commits are in the list of files, so a repeated task needs no rename and changes
+    nothing; what a failing attempt has begun it deletes, and files of a lost one are in no list.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, context = encoder(vocabulary), TaskContext.get()
-        part = context.partitionId()
+        context = TaskContext.get()
+        part, attempt = context.partitionId(), context.taskAttemptId()
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
-        width = 2 if len(coder.ends_piece) <= 1 << 16 else 4
         writer, done = None, []
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for first, last in slices(texts):
-                ids, counts = coder.encode(texts.slice(first, last - first))
-                ends = np.cumsum(counts)
-                for i, (end, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-                    if writer is None:
-                        writer = Writer(system, f"{root}/part-{part:06d}-{len(done):06d}.fltok", f"{context.taskAttemptId()}", width)
-                    writer.add(doc_ids[first + i], np.append(ids[end - count : end], np.uint32(end_id)))
-                    if writer.ids >= file_ids:
-                        writer.close()
-                        done.append(writer)
-                        writer = None
-        if writer is not None:
-            writer.close()
-            done.append(writer)
+        try:
+            with encoder(vocabulary) as coder:
+                width = 2 if len(coder.ends_piece) <= 1 << 16 else 4
+                for batch in batches:
+                    doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+                    for first, last in slices(texts):
+                        ids, counts = coder.encode(texts.slice(first, last - first))
+                        ends = np.cumsum(counts)
+                        for i, (end, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
+                            if writer is None:
+                                writer = Writer(system, f"{root}/part-{part:06d}-{len(done):06d}-{attempt}.fltok", width)
+                            writer.add(doc_ids[first + i], np.append(ids[end - count : end], np.uint32(end_id)))
+                            if writer.ids >= file_ids:
+                                writer.close()
+                                done.append(writer)
+                                writer = None
+            if writer is not None:
+                writer.close()
+                done.append(writer)
+        except BaseException:
+            for begun in [*done, *([writer] if writer is not None and writer not in done else [])]:
+                begun.abort()
+            raise
         rows = [{"part": part, "seq": k, "path": w.path, "docs": len(w.sizes), "ids": w.ids} for k, w in enumerate(done)]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 

@@ -2,26 +2,35 @@
 
 The tokenizer splits at white space before anything else, so the ids of a text are those of its words
 one after another. A batch of texts is split at ASCII white space by Arrow, each distinct word is
-encoded once per task, and the ids are put together with array operations.
+encoded once, and the ids are put together with array operations. The words that are remembered are
+bounded in number and in bytes, and are forgotten soon after the last task that needed them.
 """
 
 from __future__ import annotations
 
 import os
+import threading
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: A task remembers so many words; those seen first are mostly the frequent ones.
-MAX_CACHED_WORDS = 400_000
+from factorloom.llm.common import give_back, row_groups
+
+#: So many words are remembered, and no more when they have so many bytes; the first are mostly frequent ones.
+MAX_CACHED_WORDS = 100_000
+MAX_CACHED_BYTES = 4_000_000
+#: An encoder that no task has used for so long is given up.
+IDLE_SECONDS = 5.0
 #: Bytes of text that are split at once.
-SLICE_BYTES = 4_000_000
-#: Words that are encoded in one call.
+SLICE_BYTES = 2_000_000
+#: Words that are encoded as one text, and texts that are encoded in one call.
 WORDS_A_CALL = 256
+CALLS_AT_ONCE = 16
 # Fixed value: the pattern by which the vocabulary's file splits normalised text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -42,6 +51,9 @@ class Coded:
     def __init__(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.words, self.ids, self.sizes = words, ids, sizes
 
+    def first(self, n: int) -> Coded:
+        return Coded(self.words.slice(0, n), self.ids[: self.sizes[:n].sum()], self.sizes[:n])
+
     def plus(self, other: Coded) -> Coded:
         return Coded(pa.concat_arrays([self.words, other.words]), np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
 
@@ -83,10 +95,8 @@ class WordEncoder:
         pieces = pc.count_substring_regex(pc.ascii_lower(words), PIECES).to_numpy(zero_copy_only=False).astype(np.int64)
         for i in np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)):  # Arrow counts these by bytes
             pieces[i] = len(_PIECES.findall(unicodedata.normalize("NFC", plain[i]).lower()))
-        calls = range(0, len(plain), WORDS_A_CALL)
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        together = ["\n".join(plain[i : i + WORDS_A_CALL]) for i in calls]
-        for i, found in zip(calls, self.tokenizer.encode_batch_fast(together, add_special_tokens=False), strict=True):
+        for i, found in self._together(plain):
             got, count = np.array(found.ids, np.uint32), pieces[i : i + WORDS_A_CALL]
             ends = np.flatnonzero(self.ends_piece[got]) + 1
             if len(ends) == count.sum() and count.all() and (not len(got) or ends[-1] == len(got)):
@@ -99,6 +109,13 @@ class WordEncoder:
             sizes.append(size)
         return Coded(words, np.concatenate(ids), np.concatenate(sizes))
 
+    def _together(self, plain: list[str]) -> Iterator[tuple[int, object]]:
+        """Some words at a time with the place of the first; few encodings are held at once."""
+        step = WORDS_A_CALL * CALLS_AT_ONCE
+        for first in range(0, len(plain), step):
+            calls = range(first, min(first + step, len(plain)), WORDS_A_CALL)
+            yield from zip(calls, self.tokenizer.encode_batch_fast(["\n".join(plain[i : i + WORDS_A_CALL]) for i in calls], add_special_tokens=False), strict=True)
+
     def _encode_words(self, words: pa.Array) -> Coded:
         """Letters with marks after them are two pieces, which many words share; others go whole."""
         low = pc.ascii_lower(words)
@@ -129,8 +146,8 @@ class WordEncoder:
         where = at.to_numpy(zero_copy_only=False).copy()
         where[np.isnan(where)] = len(self.known.words) + np.arange(len(new.words))
         coded = self.known.plus(new)
-        if len(coded.words) <= MAX_CACHED_WORDS:
-            self.known = coded
+        if self.known.words.nbytes < MAX_CACHED_BYTES and len(self.known.words) < MAX_CACHED_WORDS:
+            self.known = coded.first(MAX_CACHED_WORDS)
         return coded, where.astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,15 +169,34 @@ class WordEncoder:
         return gather(coded, which), before[ends[1:]] - before[ends[:-1]]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each task process and vocabulary."""
-    return WordEncoder(path)
+_held: dict[str, WordEncoder] = {}
+_idle: list[threading.Timer] = []
+
+
+def _forget() -> None:
+    _held.clear()
+    give_back()
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[WordEncoder]:
+    """The process's encoder for a vocabulary.
+
+    Python workers outlive tasks: the next task finds the encoder with the words it has met, and if
+    none comes for some seconds, what it held goes back to the system.
+    """
+    while _idle:
+        _idle.pop().cancel()
+    coder = _held[path] = _held.get(path) or WordEncoder(path)
+    try:
+        yield coder
+    finally:
+        _idle.append(threading.Timer(IDLE_SECONDS, _forget))
+        _idle[-1].daemon = True
+        _idle[-1].start()
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> list[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes of text each."""
-    from factorloom.llm.common import row_groups
-
     sizes = pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0)
     return row_groups(sizes.to_numpy(zero_copy_only=False).astype(np.int64), most)
