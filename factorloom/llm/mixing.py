@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WORD, materialize, text_of
+from factorloom.llm.common import WORD, materialize, spread, text_of
 
 #: Documents of a block, which one task flies at a time.
 BLOCK_DOCS = 5_000
@@ -199,15 +199,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
         return run
 
-    widest = targets.agg(F.max(blocks)).first()[0] or 1
+    widest, groups = targets.agg(F.max(blocks), F.sum(blocks)).first()
+    widest, groups = widest or 1, groups or 1
     done, level = None, 0
     while True:
         last = widest <= 1
-        flown = materialize(rows.groupBy("source", "block").applyInArrow(fly(level, last), fields), f"flown-{level}")
+        flown = materialize(spread(rows, groups, "source", "block").groupBy("source", "block").applyInArrow(fly(level, last), fields), f"flown-{level}")
         settled = flown if last else flown.where("chance = 0")
         done = settled if done is None else done.unionByName(settled)
         if last:
             break
         rows = flown.where("chance > 0").withColumn("block", F.floor(F.col("block") / FAN_IN).cast("bigint"))
-        level, widest = level + 1, -(-widest // FAN_IN)
+        level, widest, groups = level + 1, -(-widest // FAN_IN), -(-groups // FAN_IN) + 1
     return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
