@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factorloom.llm.common import materialize
+
 # The base patterns, and how many characters a match needs at least.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -151,8 +153,9 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
 def word_ranks(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
     """Words of letters by how often they are in all texts, after the fixed ones; 1 is guessed first.
 
-    Tasks count their own words, which are then added up; only the ``most`` frequent ones come to the
-    driver, so what is broadcast is bounded. Words of equal counts go by letters, so reruns agree.
+    Tasks count their own words, which are then added up. How many words are how frequent is looked at
+    first, so that no more than ``most`` come to the driver, and no other words: those above a frequency.
+    Words of equal counts go by letters, so reruns agree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,16 @@ def word_ranks(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
             yield from held.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
 
     counted = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WORD_COUNT)
-    frequent = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = materialize(counted, "words")
+    # a step is a hundredth of a power of two, so there are a few thousand steps at most
+    step = F.floor(100 * F.log2("n")).alias("step")
+    least, seen = None, 0
+    for r in sorted(counted.groupBy(step).count().collect(), key=lambda r: -r["step"]):
+        if (seen := seen + r["count"]) > most:
+            break
+        least = r["step"]
+    rows = [] if least is None else counted.where(step >= least).collect()
+    frequent = [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
     return {w: i + 1 for i, w in reversed(list(enumerate([*WORDS, *frequent])))}
 
 
