@@ -9,6 +9,9 @@ hence the order by digest and not by letter.
 
 Most matches cover the whole region of an entry. Where regions differ though their k-mers agree, as at
 the ends of a passage, the windows of these entries are compared one by one in a second, equal pass.
+
+The family can be kept in a folder. A later run then adds its batches to the levels that are there, and
+only its own documents are cut.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import materialize, row_groups, text_of
@@ -27,7 +30,7 @@ from factorloom.llm.common import materialize, row_groups, text_of
 #: Bytes of the k-mers whose hashes choose the suffixes.
 K = 20
 #: Bytes of text that are hashed at once, and bytes whose entries are one batch.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 BATCH_BYTES = 32_000_000
 #: Bytes of text whose entries are one bucket, and of one partition of texts, on average.
 BUCKET_BYTES = 48_000_000
@@ -196,13 +199,17 @@ class Family:
         self.later = np.zeros(total, bool)
         self.levels: list[Level] = []
 
+    def hold(self, digest: np.ndarray, kmer: np.ndarray, ids: np.ndarray, first: int) -> Level:
+        """A level of an earlier run, whose entries are numbered from ``first``."""
+        order = np.argsort(digest, kind="stable")
+        self.levels.append(Level(digest[order], kmer[order], ids[order], first + order))
+        return self.levels[-1]
+
     def add(self, digest: np.ndarray, kmer: np.ndarray, ids: np.ndarray, first: int) -> None:
         """A batch, whose entries are numbered from ``first``, and of which equal ones share their id."""
-        order = np.argsort(digest, kind="stable")
-        new = Level(digest[order], kmer[order], ids[order], first + order)
-        for level in self.levels:
+        new = self.hold(digest, kmer, ids, first)
+        for level in self.levels[:-1]:
             self._scan(new, level)
-        self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
             self.levels.append(self._merge(a, b))
@@ -327,30 +334,40 @@ def _joined(batches: list[tuple[Docs, Entries]]) -> tuple[Docs, Entries]:
     return docs, entries
 
 
-def _match(ask: bool):
-    """One bucket: its batches through the family. ``ask``: for the doubtful entries' windows, too."""
+def _match(ask: bool, keep: bool = False):
+    """One bucket: its batches through the family. ``ask``: for the doubtful entries' windows, too.
+
+    ``keep``: the levels go into the answer, for a later run.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        rows, batches = [], []
+        rows, levels, batches = [], [], []
         for bucket, kind, payload in zip(*(group.column(n).to_pylist() for n in ("bucket", "kind", "payload")), strict=True):
             if kind == "entries":
                 batches.append(payload)
+            elif kind == "level":
+                levels.append(payload)
             else:
                 rows.append((bucket, kind.removeprefix("settled-"), payload))
-        batches = [_unpacked(p) for p in sorted(batches)]  # whatever order they came in
-        edges = np.cumsum([0, *(len(e) for _, e in batches)])
+        # whatever order they came in: large levels first, then the batches
+        parts = [_unpacked(p) for p in [*sorted(levels, key=lambda p: (-len(p), p)), *sorted(batches)]]
+        edges = np.cumsum([0, *(len(e) for _, e in parts)])
         family = Family(int(edges[-1]))
-        for (docs, entries), first in zip(batches, edges, strict=False):
-            family.add(entries.digest, entries.kmer, docs.id[entries.doc], int(first))
+        for k, ((docs, entries), first) in enumerate(zip(parts, edges, strict=False)):
+            step = family.hold if k < len(levels) else family.add
+            step(entries.digest, entries.kmer, docs.id[entries.doc], int(first))
         unsure = np.zeros(int(edges[-1]), bool)
-        if ask and batches:
+        if ask and parts:
             live = ~family.later
-            ids = np.concatenate([d.id[e.doc] for d, e in batches])
-            unsure[live] = doubtful(Entries.concat([e for _, e in batches]).take(live), ids[live])
-        docs, entries = _joined(batches)
+            ids = np.concatenate([d.id[e.doc] for d, e in parts])
+            unsure[live] = doubtful(Entries.concat([e for _, e in parts]).take(live), ids[live])
+        docs, entries = _joined(parts)
         rows += _marks(docs, entries.take(family.later))
         if ask:
             rows += [(part, "ask", payload) for part, _, payload in _marks(docs, entries.take(unsure))]
+        if keep and parts:
+            bucket = group.column("bucket")[0].as_py()
+            rows += [(bucket, "level", _packed(docs, entries.take(level.number[~family.later[level.number]]))) for level in family.levels]
         return _rows(rows)
 
     return run
@@ -436,7 +453,44 @@ def _cut(match: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, match: int = 50) -> DataFrame:
+class PassageIndex:
+    """A family of levels in a shared folder, with the texts that its entries stand for.
+
+    The number of buckets is that of the first run. Each run writes a generation of levels of its own,
+    and a generation counts once its list is written, so a run that fails leaves the one before.
+    """
+
+    LEVELS, TEXTS = "bucket int, payload binary", "text string, __id bigint, __row bigint, __part int"
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        runs = spark.createDataFrame([], "generation int, buckets int") if not self._exists("runs") else spark.read.parquet(f"{self.folder}/runs")
+        last = runs.orderBy(F.desc("generation")).first()
+        self.generation, self.buckets = (last["generation"], last["buckets"]) if last else (0, None)
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+    def _read(self, name: str, schema: str, generations: range) -> DataFrame:
+        paths = [f"{self.folder}/{name}/{g}" for g in generations]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def levels(self) -> DataFrame:
+        return self._read("levels", self.LEVELS, range(self.generation, self.generation + 1) if self.generation else range(0))
+
+    def texts(self) -> DataFrame:
+        return self._read("texts", self.TEXTS, range(1, self.generation + 1))
+
+    def append(self, levels: DataFrame, texts: DataFrame, buckets: int) -> None:
+        new = self.generation + 1
+        levels.write.mode("overwrite").parquet(f"{self.folder}/levels/{new}")
+        texts.write.mode("overwrite").parquet(f"{self.folder}/texts/{new}")
+        self.spark.createDataFrame([(new, buckets)], "generation int, buckets int").coalesce(1).write.mode("append").parquet(f"{self.folder}/runs")
+        self.generation, self.buckets = new, buckets
+
+
+def remove_repeats(docs: DataFrame, match: int = 50, index: PassageIndex | None = None) -> DataFrame:
     """doc_id, n_bytes, ``spans`` removed (start, end in bytes) and the ``kept`` bytes of each row.
 
     A byte goes if a window of ``match`` bytes over it also starts in a document of smaller id; windows
@@ -444,6 +498,9 @@ def remove_repeats(docs: DataFrame, match: int = 50) -> DataFrame:
     rows that share an id are never removed for each other's sake, and equal rows are cut alike; texts
     shorter than a window stay; an empty table gives an empty result; other columns are not carried.
     A hot passage is one entry a batch and place, as each batch first settles what it can by itself.
+
+    With an ``index`` the documents of earlier runs count as well, those of smaller ids; ``docs`` are added
+    to it. What earlier runs returned stays as it was. Ids are unique over all runs.
     """
     if match < K + 8 or match - K + 1 > 200:
         raise ValueError(f"match must be from {K + 8} to {K + 199}")
@@ -452,14 +509,20 @@ def remove_repeats(docs: DataFrame, match: int = 50) -> DataFrame:
     # the share of a task does not grow with the table
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    parts = index.buckets if index is not None and index.buckets else parts
     repeated = rows.groupBy("__id").count().where("count > 1").limit(1).count()
     row_key = F.xxhash64("__id", "text") if repeated else F.col("__id")
     rows = rows.withColumn("__row", row_key).withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(parts)).cast("int"))
-    indexed = rows.select("text", "__id", "__row", "__part").mapInArrow(_index(match, parts), OUT)
-    first = materialize(indexed.groupBy("bucket").applyInArrow(_match(True), OUT), "repeats")
-    texts = rows.select("text", "__id", "__row", "__part").groupBy("__part")
-    asked = texts.cogroup(first.where("kind = 'ask'").groupBy("bucket")).applyInArrow(_windows(match, parts), OUT)
+    own = texts = rows.select("text", "__id", "__row", "__part")
+    indexed = own.mapInArrow(_index(match, parts), OUT)
+    if index is not None:
+        indexed = indexed.unionByName(index.levels().select("bucket", F.lit("level").alias("kind"), "payload"))
+        texts = texts.unionByName(index.texts())
+    first = materialize(indexed.groupBy("bucket").applyInArrow(_match(True, index is not None), OUT), "repeats")
+    asked = texts.groupBy("__part").cogroup(first.where("kind = 'ask'").groupBy("bucket")).applyInArrow(_windows(match, parts), OUT)
     second = materialize(asked.groupBy("bucket").applyInArrow(_match(False), OUT), "repeated-windows")
+    if index is not None:
+        index.append(first.where("kind = 'level'").select("bucket", "payload"), own, parts)
     marks = first.where("kind = 'mark'").unionByName(second.where("kind = 'mark'"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {id_type}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
