@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm import line_rules, mixing, near_dedup, packing, quality_model, secret_scan, substring_dedup, token_files, tokens, url_filter
+from factorloom.llm import common, line_rules, mixing, near_dedup, packing, quality_model, secret_scan, substring_dedup, token_files, tokens, url_filter
 from factorloom.llm.fingerprint import fingerprints, with_edits
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,6 +44,17 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_a_cluster_needs_a_shared_folder():
+    """The stand-in is a session on a cluster that has no such setting."""
+    from types import SimpleNamespace as Some
+
+    none = Some(isEmpty=lambda: True)
+    context = Some(master="spark://host:7077", _jsc=Some(sc=lambda: Some(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        common.shared_dir(Some(conf=Some(get=lambda *_: None), sparkContext=context))
+    assert common.shared_dir(Some(conf=Some(get=lambda *_: "hdfs://x/y/"))) == "hdfs://x/y"
+
+
 # packing
 
 
@@ -54,30 +65,87 @@ def by_hand(texts, end):
     return [np.array(tk.encode(t or "", add_special_tokens=False).ids + [end], "<u4") for t in texts]
 
 
-def test_words_encode_like_whole_texts():
+def test_words_encode_like_whole_texts(monkeypatch):
     texts = pa.array(["Don't STOP!! £5 naïve", None, "", " \x0b\x1c x\u2003y\u00a0z ", "<|endoftext|> a<|startoftext|>b", "e\u0301 \u0301a 한글 İSTANBUL Σς", "a.b.c... 'll 's", "x" * 3000])
-    coder = tokens.WordEncoder(tokens.default_vocabulary())
-    for _ in range(2):  # the second time from the cache
-        ids, counts = coder.encode(texts)
-        want = [x[:-1] for x in by_hand(texts.to_pylist(), 0)]
-        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x.tolist()]
-
-
-def test_local_search_reaches_the_bound_where_first_fit_does_not():
+    want = [x[:-1] for x in by_hand(texts.to_pylist(), 0)]
+    for most in (tokens.MAX_CACHED_WORDS, 7):
+        monkeypatch.setattr(tokens, "MAX_CACHED_WORDS", most)
+        coder = tokens.WordEncoder(tokens.default_vocabulary())
+        for _ in range(2):  # the second time from the cache
+            ids, counts = coder.encode(texts)
+            assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x.tolist()]
+        assert len(coder.known.words) <= most
+
+
+def test_an_idle_encoder_is_given_up(monkeypatch):
+    import time
+
+    monkeypatch.setattr(tokens, "IDLE_SECONDS", 0.3)
+    with tokens.encoder(tokens.default_vocabulary()) as first:
+        pass
+    with tokens.encoder(tokens.default_vocabulary()) as again:
+        assert again is first
+        time.sleep(0.6)  # in use, it stays
+        assert tokens._held
+    time.sleep(0.6)
+    assert not tokens._held
+
+
+def bins_of(lengths, placed, capacity):
+    bins = {}
+    for (b, at), n in zip(placed, lengths, strict=True):
+        bins.setdefault(b, []).append((at, n))
+    for pieces in bins.values():
+        assert [at for at, _ in sorted(pieces)] == np.cumsum([0] + [n for _, n in sorted(pieces)])[:-1].tolist() and sum(n for _, n in pieces) <= capacity
+    return len(bins)
+
+
+def test_local_search_has_fewer_bins_than_best_fit():
     r = random.Random(5)
     for draw in (lambda: r.randint(1, 100), lambda: r.choice([34, 33, 20, 50, 51, 17]), lambda: r.randint(30, 40)):
         lengths = [draw() for _ in range(300)]
-        placed = packing.pack(lengths, 100)
-        bins = {}
-        for (b, at), n in zip(placed, lengths, strict=True):
-            bins.setdefault(b, []).append((at, n))
-        for pieces in bins.values():
-            assert [at for at, _ in sorted(pieces)] == np.cumsum([0] + [n for _, n in sorted(pieces)])[:-1].tolist() and sum(n for _, n in pieces) <= 100
-        assert packing.lower_bound(lengths, 100) <= len(bins) <= len({b for b, _ in packing.pack(lengths, 100, patience=0)})
-
-
-def test_exchange_empties_a_bin():
-    assert len({b for b, _ in packing.pack([6, 5, 5, 4, 4, 3, 3], 10)}) == 3
+        found, start = (bins_of(lengths, packing.pack(lengths, 100, search), 100) for search in (True, False))
+        assert packing.lower_bound(lengths, 100) <= found < start
+
+
+@pytest.mark.parametrize(
+    "kind, lengths, start, gain",
+    [("move", [6, 3], [[0], [1]], 3), ("1:1", [6, 4, 4], [[0], [1, 2]], 2), ("2:1", [3, 3, 5, 3], [[0, 1], [2, 3]], 1), ("1:2", [7, 3, 3, 2], [[0], [1, 2, 3]], 2)],
+)
+def test_each_kind_of_step(kind, lengths, start, gain):
+    """In bins of ten the one step there is raises the squares, and is of this kind."""
+    search = packing.Search(lengths, [list(b) for b in start], 10)
+    a, b = int(np.argmax(search.free)), int(np.argmin(search.free))
+    room, squares = search.free[b], ((10 - search.free) ** 2).sum()
+    assert search.give(a) and search.steps == dict.fromkeys(search.steps, 0) | {kind: 1}
+    assert search.free[b] == room - gain and ((10 - search.free) ** 2).sum() > squares
+    assert sorted(p for held in search.bins for p in held) == list(range(len(lengths)))
+
+
+def test_no_packing_is_below_the_bound():
+    r = random.Random(9)
+
+    def fewest(lengths, capacity):
+        best = len(lengths)
+
+        def place(i, free):
+            nonlocal best
+            if len(free) >= best:
+                return
+            if i == len(lengths):
+                best = len(free)
+                return
+            for b in range(len(free)):
+                if free[b] >= lengths[i]:
+                    place(i + 1, [f - lengths[i] * (k == b) for k, f in enumerate(free)])
+            place(i + 1, [*free, capacity - lengths[i]])
+
+        place(0, [])
+        return best
+
+    for _ in range(60):
+        lengths = sorted((r.randint(1, 12) for _ in range(8)), reverse=True)
+        assert packing.lower_bound(lengths, 12) <= fewest(lengths, 12) <= len({b for b, _ in packing.pack(lengths, 12)})
 
 
 def test_pack_documents(spark, odd):
@@ -175,6 +243,25 @@ def test_mix_sources(spark, odd):
     assert mixing.mix_sources(odd).count() == len(ODD) + 1 and mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_water_level_of_many_sources(spark):
+    r = random.Random(6)
+    sizes = {f"s{k:03d}": r.choice([0, 1, 5, 40, 40, 900, 5000]) for k in range(90)}
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    for share, cap in ((1.5, 2.0), (0.3, 1.0), (3.0, 2.0)):
+        got = {x["source"]: x["target"] for x in mixing.mix_sources(docs, share=share, cap=cap).collect()}
+        want = water(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(sizes)}, share * sum(sizes.values()), cap)
+        assert got == pytest.approx(want)
+
+
+def test_equal_rows_come_apart_by_number(spark):
+    rows = spark.createDataFrame([(None, "a", 7), (1, "a", 1), (1, "b", 3)], "doc_id long, source string, n long")
+    got = sorted((str(r["doc_id"]), r["source"], r["copy"]) for r in mixing.numbered(rows, 2).collect())
+    assert got == sorted([("None", "a", k) for k in range(7)] + [("1", "a", 0)] + [("1", "b", k) for k in range(3)])
+    same = spark.createDataFrame([(None, "one and the same", "s")] * 200 + [(5, "another text", "s")] * 3, "doc_id long, text string, source string")
+    got = mixing.mix_sources(same, share=1.3, block_docs=20).toPandas()
+    assert len(got) == 203 and abs(got.taken.sum() - got.target.iloc[0]) <= 4 and (got.taken <= 2 * got["size"]).all()
+
+
 def test_fan_in_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", 3)
     docs = docs_of(spark, [prose(k, 20 + k % 9) for k in range(200)], {i: "one" for i in range(200)})
@@ -205,16 +292,50 @@ def test_guess_cost():
     cost = secret_scan.guess_cost
     assert cost("") == 0 and cost("password") == 0 and cost("x7!Kq9#mZ2$w") > 12
     assert cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("abcabcabcabc") < 6 and cost("1999-12-31") < 5
-    assert cost("p4ssw0rd") < 3 and cost("Password1") < 3
-    for v in ("hunter", "zq81", "m!x"):  # against all cuts into characters only
-        assert cost(v) <= sum(map(secret_scan._brute, v)) + 1e-9
+    assert cost("p4ssw0rd") < 3 and cost("Password1") < 3 and cost("1qaz2wsx") < 7 and cost("!QAZ@WSX") < 7 and cost("zxcvfdsa") < 6
     assert cost("k9" * 50_000) < 20
 
 
+def test_the_cheapest_of_all_cuts():
+    """Against every cut of the value: a part costs what it is listed with, a lone character brute force."""
+    r = random.Random(12)
+    bits = ["password", "qwe", "zaq1", "2021", "aaa", "x", "7", "!", "abab", "Key", "k", "9"]
+    for _ in range(60):
+        value = "".join(r.choice(bits) for _ in range(r.randint(1, 5)))[:14]
+        listed = {}
+        for end, parts in enumerate(secret_scan._parts(value, secret_scan.RANK)):
+            for start, c in parts:
+                listed[start, end] = min(c, listed.get((start, end), 99.0))
+        listed |= {(i, i + 1): min(secret_scan._brute(ch), listed.get((i, i + 1), 99.0)) for i, ch in enumerate(value)}
+        n, least = len(value), math.inf
+        for mask in range(1 << (n - 1)):
+            cuts = [0, *(i + 1 for i in range(n - 1) if mask >> i & 1), n]
+            least = min(least, sum(listed.get(part, math.inf) for part in zip(cuts, cuts[1:], strict=False)))
+        assert secret_scan.guess_cost(value) == pytest.approx(least)
+
+
+def guesses(text, **more):
+    return [text[s:e] for s, e, k in secret_scan.find_spans(text, **more)[1] if k == "guess"]
+
+
 def test_guessed_values_are_added():
-    text = "pwd: x7!Kq9#mZ2$w and password is password1 and auth = changeme"
-    _, spans = secret_scan.find_spans(text)
-    assert [(text[s:e], k) for s, e, k in spans if k == "guess"] == [("x7!Kq9#mZ2$w", "guess")]
+    assert guesses("pwd: x7!Kq9#mZ2$w and password is password1 and auth = changeme") == ["x7!Kq9#mZ2$w"]
+    assert guesses("auth token: k#9vQ!2mZx$7Lp, secret password: x7$Rw!2kQz9") == ["k#9vQ!2mZx$7Lp", "x7$Rw!2kQz9"]
+    assert guesses("dbPwd=!k9#vQ2mZx7 and SecretAccessKey => w7#Qz!8mKp2") == ["!k9#vQ2mZx7", "w7#Qz!8mKp2"]
+    assert guesses("secret_key = 'u8!Rk#2vXq'") == ["u8!Rk#2vXq"]
+    for prose_ in ("the secret government documents", "password management is hard", "token generation", "authorization procedures of well-established institutions", "a bearer of questionable/unverified information"):
+        assert guesses(prose_) == []
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    docs = docs_of(spark, ["credentials: Generation, management", None, *["the generation of management."] * 6])
+    ranks = secret_scan.word_ranks(docs)
+    assert ranks["generation"] == len(secret_scan.WORDS) + 1 and ranks["password"] == 1 and "hard" not in ranks
+    assert guesses("credentials: management") and not guesses("credentials: management", ranks=ranks)
+    assert "management" in ranks and "the" in ranks
+    twice = docs.unionAll(docs_of(spark, ["generation"]))  # one word is more frequent than the others
+    assert len(secret_scan.word_ranks(twice, most=1)) == len(set(secret_scan.WORDS)) + 1
+    assert secret_scan.word_ranks(empty(spark)) == secret_scan.RANK
 
 
 def test_scan_and_mask(spark, odd):
@@ -250,7 +371,7 @@ def test_token_files_round_trip(spark, odd):
 def test_damage_is_found(tmp_path):
     system = pa.fs.LocalFileSystem()
     path = str(tmp_path / "x.fltok")
-    w = token_files.Writer(system, path, "0", 2)
+    w = token_files.Writer(system, path, 2)
     for i in range(3):
         w.add(i, np.arange(40_000, dtype=np.uint32) % 500)
     w.close()
@@ -275,16 +396,32 @@ def test_url_rules(spark):
     urls = ["http://Example.COM/en/71?q", "https://x.example.com/en/8", "http://notexample.com/en/7", "http://a.b", "http://q.a.b/x/y/zz#f", "no scheme", None, "", "http://com", "http://com/en", "x://y://com/en/"]
     pages = spark.createDataFrame([(i, u, "keep") for i, u in enumerate(urls)], "page_id long, url string, host string")
 
-    def plain(u):
-        host, path = url_filter.split_url(u)
+    def plain(u, first=lambda fit: fit):
+        rest = (u or "").partition("://")[2]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
         fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         best = max(fit, key=lambda r: (len(r.name), len(r.host)), default=None)
         return (host, path, best and best.name, best.action if best else "allow")
 
-    for most in (10**6, 5):  # one trie, and a trie for each rule
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules, max_trie_chars=most).collect()}
-        assert got == {i: plain(u) for i, u in enumerate(urls)}
-    assert url_filter.filter_urls(pages.where("false"), rules).count() == 0
+    table = spark.createDataFrame([(r.action, r.host.upper(), r.path) for r in rules], "action string, host string, path string")
+    for given in (rules, table):
+        for most in (10**6, 5):  # a trie, and a join
+            got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, given, max_trie_chars=most).collect()}
+            assert got == {i: plain(u) for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(pages.where("false"), rules).count() == 0 and url_filter.filter_urls(pages, []).where("rule is null").count() == len(urls)
+    clash = [R("allow", "com", "/a"), R("block", "com", "/a")]
+    some = spark.createDataFrame([(1, "http://x.com/ab")], "page_id long, url string")
+    for most in (10**6, 1):
+        assert url_filter.filter_urls(some, clash, max_trie_chars=most).first()["verdict"] == "allow"
+        assert url_filter.filter_urls(some, clash[::-1], max_trie_chars=most).first()["verdict"] == "block"
+
+
+def test_many_rules_under_one_host():
+    """As many rules as there are take time in proportion; the longest prefix within a segment wins."""
+    rules = [url_filter.Rule("block" if k % 2 else "allow", "com", "/p" + str(k)) for k in range(30_000)]
+    trie = url_filter.RuleTrie(rules)
+    assert trie.find("a.com", "/p29999x/y").name == "com/p29999" and trie.find("com", "/p1/").name == "com/p1" and trie.find("com", "/q") is None
 
 
 # passages
@@ -349,6 +486,29 @@ def test_family_in_any_order():
     assert len(family.levels) <= 10
 
 
+def test_an_index_outlives_the_run(spark, monkeypatch, tmp_path):
+    """Three batches, one after another, are cut as all of them at once would be, as far as each knows them."""
+    r = random.Random(21)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 700)
+    passages = ["".join(r.choice("ab cé") for _ in range(n)) for n in (50, 51, 70, 120)]
+    own = lambda: "".join(r.choice("abcdefgh é") for _ in range(r.randint(0, 50)))
+    rows = [(i, own() + "".join(r.choice(passages) + own() for _ in range(r.randint(0, 3)))) for i in range(90)] + [(90, None), (91, "")]
+    r.shuffle(rows)
+    seen, where = [], f"file://{tmp_path}/passages"
+    for batch in (rows[:40], rows[40:41], rows[41:]):
+        seen += [(i, t or "") for i, t in batch]
+        index = substring_dedup.PassageIndex(spark, where)  # as another session would open it
+        got = substring_dedup.remove_repeats(spark.createDataFrame(batch, "doc_id long, text string"), 50, index)
+        have = sorted((x["doc_id"], x["h"]) for x in got.select("doc_id", F.sha2("kept", 256).alias("h")).collect())
+        ids = {i for i, _ in batch}
+        assert have == [x for x in brute_cut(seen, 50) if x[0] in ids]
+    index = substring_dedup.PassageIndex(spark, where)
+    assert index.generation == 3 and index.texts().count() == len(rows)
+    live = {k: [len(substring_dedup._unpacked(bytes(x["payload"]))[1]) for x in index.levels().where(f"bucket = {k}").collect()] for k in range(index.buckets)}
+    assert sum(map(sum, live.values())) > 0 and all(len(sizes) <= 12 for sizes in live.values())
+
+
 def test_repeats_in_odd_tables(spark, odd):
     assert substring_dedup.remove_repeats(odd).count() == len(ODD) + 1
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
@@ -487,6 +647,41 @@ def test_quality_without_labels(spark):
         assert all(0 <= r["score"] <= 1 for r in quality_model.score_quality(docs, model).collect())
 
 
+def test_every_part_of_a_long_text_can_be_learned(spark):
+    """Whole texts of 300 kB are the only ones labelled good; what the model knows is not their beginning."""
+    long = [prose(900 + k, 55_000) for k in range(8)]
+    bad = ["buy now cheap pills click here win money " * 30 + str(k) for k in range(60)]
+    docs = docs_of(spark, [*long, *bad])
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(68)], "doc_id long, quality int")
+    model = quality_model.fit_quality(docs, labels)
+    assert len(model.good) > 10_000
+    scores = {r["doc_id"]: r["score"] for r in quality_model.score_quality(docs, model).collect()}
+    assert min(scores[i] for i in range(8)) > max(scores[i] for i in range(8, 68))
+    sample = pa.RecordBatch.from_pydict({"__y": pa.array([1] * 2, pa.int32()), "__h": [5, 6], "__t": long[:2]})
+    blocks = next(quality_model._sampled_blocks(100)(iter([sample]))).column("block").to_pylist()
+    places = sorted(long[0].encode().find(b) for b in blocks)
+    assert len(blocks) == 100 and places[-1] > 200_000 and sum(p >= 0 for p in places) > 20
+
+
+def test_difference_is_that_of_compressed_sizes():
+    import zstandard
+
+    good, bad = prose(1, 4000).encode(), ("click here to win " * 900).encode()
+    model = quality_model.QualityModel(good[:50_000], bad[:50_000], 3.0, -1.0)
+    scorer = model.scorer()
+
+    def size(dictionary, text):
+        kind = zstandard.ZstdCompressionDict(dictionary)
+        params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_dict_id=False)
+        return sum(len(zstandard.ZstdCompressor(compression_params=params, dict_data=kind).compress(text[k : k + 1024])) for k in range(0, len(text), 1024))
+
+    for text in (prose(2, 700).encode(), b"click here to win " * 200, b"x", "é\u3000 q".encode()):
+        want = (size(bad[:50_000], text) - size(good[:50_000], text)) / (size(bad[:50_000], text) + size(good[:50_000], text))
+        assert scorer.difference(text) == pytest.approx(want, abs=0.03)
+        assert scorer.score(text) == pytest.approx(1 / (1 + math.exp(-(3 * scorer.difference(text) - 1))))
+    assert scorer.difference(b"") == 0
+
+
 def test_class_shares_outlast_the_cap(spark):
     texts = [prose(i, 30) for i in range(420)]
     labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(len(texts))], "doc_id long, quality int")
@@ -523,3 +718,114 @@ def test_no_false_links_under_shared_ids(spark):
         want += [(k, k), (90 + k, k), (90 + k, 90 + k)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()) == sorted(want)
+
+
+# the registered queries, on a small folder of tables
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Tables with a null, empty, repeated and long texts; ids are unique, as in the real ones."""
+    path = tmp_path_factory.mktemp("tables")
+    r = random.Random(77)
+    texts = [*ODD[:8], prose(2, 4000), "pwd: x7!Kq9#mZ2$w token=abcdef0123", "e\u0301 \u00e9", *[prose(40 + k, r.randint(8, 120)) for k in range(60)]]
+    texts += [texts[20] + " " + prose(1, 3), "buy now click here " * 40, *["click here to win money now " * r.randint(5, 30) + str(k) for k in range(25)]]
+    rows = [(3 * i, t, "en", None if i == 9 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(i, int("click" not in (t or ""))) for i, t, *_ in rows], "doc_id long, quality int").write.parquet(str(path / "labels.parquet"))
+    spark.createDataFrame([(1, "http://Example.com/en/71"), (2, None)], "page_id long, url string").write.parquet(str(path / "pages.parquet"))
+    return str(path), {i: t for i, t, *_ in rows}, {i: s for i, _, _, s, _ in rows}
+
+
+def registered(spark, folder, n):
+    from factorloom.llm import registry
+
+    name = next(q for q in registry.queries() if q.startswith(f"op{n}_"))
+    return registry.queries()[name](spark, folder[0]).toPandas()
+
+
+def test_op1_columns(spark, folder):
+    got = registered(spark, folder, 1)
+    want = [(i, k // 2048, k, len(x[k : k + 2048]), zlib.crc32(x[k : k + 2048].tobytes())) for i, x in zip(folder[1], by_hand(folder[1].values(), 0), strict=True) for k in range(0, len(x), 2048)]
+    assert sorted(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == sorted(want)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+
+
+def test_op2_columns(spark, folder):
+    got, texts = registered(spark, folder, 2).set_index("doc_id"), {i: t or "" for i, t in folder[1].items()}
+    ids = sorted(texts)
+    assert sorted(got.index) == ids
+    for k, i in enumerate(ids):
+        t, after = texts[i], texts[ids[(k + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        row = got.loc[i]
+        assert (row.n_chars, row.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert row.near_edited == float(canon(t) == canon(edited)) and row.near_next == float(canon(t) == canon(after))
+    canons = {i: canon(t) for i, t in texts.items()}
+    assert all((got.loc[a].fingerprint == got.loc[b].fingerprint) == (canons[a] == canons[b]) for a in ids[:20] for b in ids)
+
+
+def test_op3_columns(spark, folder):
+    got = registered(spark, folder, 3)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in folder[1].items()}
+    assert dict(zip(got.doc_id, got["size"], strict=True)) == size and (got.taken <= 2 * got["size"]).all()
+    of = folder[2]
+    sums = {s: sum(n for i, n in size.items() if of[i] == s) for s in ("s0", "s1", "s2", None)}
+    want = water(sums, dict(zip(sums, (3, 1, 2, 3), strict=True)), 1.5 * sum(size.values()), 2.0)
+    for s in sums:
+        mine = got[[of[i] == s for i in got.doc_id]]
+        assert set(mine.source_size) == {sums[s]} and mine.target.iloc[0] == pytest.approx(want[s])
+        assert abs(mine.taken.sum() - want[s]) <= mine["size"].max()
+
+
+def test_op4_columns(spark, folder):
+    got = registered(spark, folder, 4).set_index("doc_id")
+    for i, t in folder[1].items():
+        base = plain_base(t or "")
+        kinds = [k for _, _, k in base]
+        row = got.loc[i]
+        assert [row.n_assign, row.n_access, row.n_hex] == [kinds.count(k) for k in ("assign", "access", "hex")]
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+        assert {f"{k}:{s}:{e}" for s, e, k in base} <= set(row.spans.split(","))
+    assert got.loc[27].spans == "guess:5:17,assign:18:34"
+
+
+def test_op5_columns(spark, folder):
+    got, start = registered(spark, folder, 5).set_index("doc_id"), 0
+    for i, x in sorted(zip(folder[1], by_hand(folder[1].values(), 2), strict=True), key=lambda p: p[0]):
+        assert tuple(got.loc[i]) == (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+
+
+def test_op6_columns(spark, folder):
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in registered(spark, folder, 6).itertuples()}
+    assert got == {1: ("example.com", "/en/71", "example.com/en/7", "allow"), 2: ("", "", None, "allow")}
+
+
+def test_op7_columns(spark, folder):
+    got, texts = registered(spark, folder, 7).set_index("doc_id"), {i: t or "" for i, t in folder[1].items()}
+    assert sorted(zip(got.index, got.kept_sha256, strict=True)) == brute_cut(list(texts.items()), 50)
+    for i, t in texts.items():
+        assert got.loc[i].n_bytes == len(t.encode()) and (got.loc[i].n_removed > 0) == (got.loc[i].n_spans > 0)
+
+
+def test_op8_columns(spark, folder):
+    got = registered(spark, folder, 8).set_index("doc_id")
+    for i, t in folder[1].items():
+        want = plain_counts(t)
+        assert tuple(got.loc[i][["n_words", "word_chars", "n_symbols", "n_dup_lines"]]) == want[:4]
+        assert not (got.loc[i].base_failed and got.loc[i].kept)
+
+
+def test_op9_columns(spark, folder):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in registered(spark, folder, 9).itertuples()}
+    assert got == brute_components(list(folder[1].items()))
+
+
+def test_op10_columns(spark, folder):
+    got = registered(spark, folder, 10)
+    assert [bool(h) for h in got.held_out] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]
+    assert ((got.score >= 0.3).astype(int) == got.predicted).all() and got.score.between(0, 1).all()
+    bad = [("click" in (folder[1][i] or "")) for i in got.doc_id]
+    assert got.score[bad].mean() < got.score[[not b for b in bad]].mean()

@@ -50,8 +50,45 @@ def test_an_empty_table_passes(spark):
 
 
 def test_registered():
-    assert sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0])) == sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0])) and len(registry.queries()) == 10
-    assert set(registry.oracle_sql()) <= set(registry.queries())
+    import __spark_entry__
+
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert set(registry.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
+    assert set(registry.oracle_sql()) == {"op6_url_filters", "op8_line_rules", "op9_near_dedup"}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "secret scans", "mixing sources", "best-fit packing"]
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, sources and texts, empty, long and repeated ones: each stage against what it should do, by hand."""
+    from collections import Counter
+
+    from factorloom.llm.secret_scan import find_spans, masked, word_ranks
+    from factorloom.llm.tokens import default_vocabulary
+    from tests.llm.test_llm import DOCS, brute_components, by_hand, prose
+
+    texts = [prose(k, 30 + k) for k in range(12)]
+    rows = [(k, t, "en", f"s{k % 2}", len(t)) for k, t in enumerate(texts)]
+    rows += [(None, None, None, None, None), (None, "", "en", None, 0), (3, prose(50, 3000), "en", "s0", 9), (40, texts[2] + " tail", "en", "s1", 9), (41, texts[2], "en", "s1", 9), (41, texts[2], "en", "s1", 9), (50, "a token=abcdef0123 b " + prose(60, 20), "en", "s0", 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    named = list(enumerate(t for _, t, *_ in rows))
+    whole = {root for i, (n, root) in brute_components(named).items() if n} | {i for i, t in named if not t}
+    assert Counter(r["text"] for r in kept) == Counter(rows[i][1] for i in whole)
+
+    hidden = corpus_pipeline.hide_secrets(spark, docs, SF).collect()
+    ranks = word_ranks(docs)
+    want = [(i, t and masked(t, find_spans(t, ranks=ranks)[1]), s) for i, t, _, s, _ in rows]
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in hidden), key=str) == sorted(want, key=str)
+
+    mixed = corpus_pipeline.mix(spark, docs, SF).collect()
+    have, got = Counter(r[:4] for r in rows), Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in mixed)
+    assert all(got[r] <= 2 * have[r] for r in got)
+
+    packed = Counter((r["doc_id"], r["piece"], r["length"]) for r in corpus_pipeline.pack(spark, docs, SF).collect())
+    cut = Counter((i, k // 2048, len(x[k : k + 2048])) for (i, *_), x in zip(rows, by_hand([t for _, t, *_ in rows], 0), strict=True) for k in range(0, len(x), 2048))
+    assert packed == cut
+    assert corpus_pipeline.keep_quality(spark, docs, SF).columns == docs.columns
 
 
 def rows_with_shared_ids(spark):
