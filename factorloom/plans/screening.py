@@ -33,10 +33,11 @@ SCORES = (
 
 def tidy(source: PanelSource) -> DataFrame:
     """A row for each date, name and factor with a value and a label."""
-    rows = labelled(source).select("trade_date", "code", "industry", "market_cap", "fwd")
+    size = quantile_group(F.col("market_cap"), 3, "trade_date").alias("size_group")
+    rows = labelled(source).select("trade_date", "code", "industry", size, "fwd").where("fwd is not null")
     values = calc_factors(monthly_panel(source), LIBRARY.factors.values()).join(rows, ["trade_date", "code"])
-    long = values.unpivot(["trade_date", "code", "industry", "market_cap", "fwd"], NAMES, "factor_name", "factor")
-    return long.where("factor is not null and fwd is not null")
+    long = values.unpivot(["trade_date", "code", "industry", "size_group", "fwd"], NAMES, "factor_name", "factor")
+    return long.where("factor is not null")
 
 
 def profile(source: PanelSource) -> DataFrame:
@@ -47,8 +48,7 @@ def profile(source: PanelSource) -> DataFrame:
     rows = raw.join(sign, "factor_name").withColumn("factor", F.col("factor") * F.col("sign"))
     ics = raw_ics.join(sign, "factor_name").withColumn("ic", F.col("ic") * F.col("sign"))
     runs = streaks(ics, "factor_name").groupBy("factor_name").agg(F.max("length").alias("longest"), F.max(F.abs("total")).alias("deepest"))
-    by_size = rows.withColumn("size_group", quantile_group(F.col("market_cap"), 3, *KEYS)).where("size_group is not null")
-    sizes = agreement(rank_ic(by_size, "factor", keys=(*KEYS, "size_group"), min_names=5), "size_group", "factor_name").withColumnRenamed("share", "size_share")
+    sizes = agreement(rank_ic(rows.where("size_group is not null"), "factor", keys=(*KEYS, "size_group"), min_names=5), "size_group", "factor_name").withColumnRenamed("share", "size_share")
     trades = agreement(rank_ic(rows.where("industry is not null"), "factor", keys=(*KEYS, "industry"), min_names=2), "industry", "factor_name").withColumnRenamed("share", "industry_share")
 
     cut = source.once("cut", lambda: layers(rows, "factor", keys=KEYS).where("group is not null").select(*KEYS, "code", "group", "fwd"))
@@ -85,8 +85,8 @@ _PROFILE = (
     f"st AS (SELECT factor_name, {STATS} FROM tics WHERE ic IS NOT NULL GROUP BY factor_name)",
     """rn AS (SELECT factor_name, max(length) AS longest, max(abs(total)) AS deepest FROM (SELECT factor_name, count(*) AS length, sum(ic) AS total FROM (
 SELECT *, row_number() OVER (PARTITION BY factor_name ORDER BY trade_date) - row_number() OVER (PARTITION BY factor_name, ic < 0 ORDER BY trade_date) AS island FROM tics WHERE ic IS NOT NULL) WHERE ic < 0 GROUP BY factor_name, island) GROUP BY factor_name)""",
-    sql.groups("csz", "market_cap", 3, "tidy", "size_group", "trade_date, factor_name"),
-    sql.ic("sics", "factor", "(SELECT * FROM csz WHERE size_group IS NOT NULL)", keys="trade_date, factor_name, size_group", at_least=5),
+    sql.groups("csz", "market_cap", 3, out="size_group"),
+    sql.ic("sics", "factor", "(SELECT tidy.*, size_group FROM tidy JOIN (SELECT trade_date, code, size_group FROM csz) USING (trade_date, code) WHERE size_group IS NOT NULL)", keys="trade_date, factor_name, size_group", at_least=5),
     sql.ic("iics", "factor", "(SELECT * FROM tidy WHERE industry IS NOT NULL)", keys="trade_date, factor_name, industry", at_least=2),
     "sz AS (SELECT factor_name, avg((round(m, 9) > 0)::INT) AS size_share FROM (SELECT factor_name, size_group, avg(ic) AS m FROM sics GROUP BY ALL) WHERE m IS NOT NULL GROUP BY factor_name)",
     "ix AS (SELECT factor_name, avg((round(m, 9) > 0)::INT) AS industry_share FROM (SELECT factor_name, industry, avg(ic) AS m FROM iics GROUP BY ALL) WHERE m IS NOT NULL GROUP BY factor_name)",
