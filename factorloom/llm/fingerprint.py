@@ -97,7 +97,7 @@ def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     In ``edited`` the last half of the code points is replaced by the first as many, or all, of the
     document with the next id; after the last comes the first. Of repeated ids the row with the least
-    text is the one that others are edited with.
+    text is the one that others are edited with. Ids are whole numbers; a null id stands first.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("__key")
     lite = docs.select(key, F.length(text_of()).alias("__n")).groupBy("__key").agg(F.max("__n").alias("__n"))

@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable by links, ``kept`` tells whether it is its own.
     Null, empty and white texts have no shingles and stay alone; a null id comes before all others and
     is returned as null; rows that share an id count as documents of their own under one id; an empty
-    table gives an empty result; other columns are not carried.
+    table gives an empty result; other columns are not carried. Ids are whole numbers; others raise.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed, named = _components(docs, percent)

@@ -500,7 +500,7 @@ def remove_repeats(docs: DataFrame, match: int = 50, index: PassageIndex | None
     A hot passage is one entry a batch and place, as each batch first settles what it can by itself.
 
     With an ``index`` the documents of earlier runs count as well, those of smaller ids; ``docs`` are added
-    to it. What earlier runs returned stays as it was. Ids are unique over all runs.
+    to it. What earlier runs returned stays as it was. Ids are whole numbers, and unique over all runs.
     """
     if match < K + 8 or match - K + 1 > 200:
         raise ValueError(f"match must be from {K + 8} to {K + 199}")
