@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, row_groups, text_of
+from factorloom.llm.common import give_back, materialize, row_groups, text_of
 
 #: Bytes of the k-mers whose hashes choose the suffixes.
 K = 20
@@ -319,8 +319,11 @@ def _index(match: int, buckets: int):
                 if held >= BATCH_BYTES:
                     yield from sent()
                     docs, entries, held, n_docs = [], [], 0, 0
+                    give_back()
         if docs:
             yield from sent()
+        docs, entries = [], []
+        give_back()
 
     return run
 
@@ -368,6 +371,8 @@ def _match(ask: bool, keep: bool = False):
         if keep and parts:
             bucket = group.column("bucket")[0].as_py()
             rows += [(bucket, "level", _packed(docs, entries.take(level.number[~family.later[level.number]]))) for level in family.levels]
+        del family, parts, docs, entries, levels, batches
+        give_back()  # before the next bucket
         return _rows(rows)
 
     return run
