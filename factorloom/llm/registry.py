@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import table
+from factorloom.llm.conversations import conversation_digests, repair_conversations
 from factorloom.llm.fingerprint import FIRST, fingerprints, likeness, with_edits
 from factorloom.llm.line_rules import clean_lines
 from factorloom.llm.mixing import mix_sources
@@ -169,6 +170,85 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 """
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """The query's own damage: by the checksum of ``conv_id:turn``, turns go, lose text or stops, come twice, or change role."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))) % 20
+    rows = turns.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), kind.alias("kind")).where("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found, repaired = repair_conversations(damaged(turns))
+    digests = conversation_digests(repaired)
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    rows = ids.join(found, F.col("id").eqNullSafe(found["conv_id"]), "left").drop("conv_id")
+    rows = rows.join(digests, F.col("id").eqNullSafe(digests["conv_id"]), "left").drop("conv_id")
+    none = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(F.col("id").alias("conv_id"), *none, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# Costs from each state to the end, from the last turn to the first; then the least letter of the tight ones, from the first on.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(n))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)) AS b FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295) % 20 AS kind FROM keyed, crc
+), broken AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS again FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM broken)
+), faults AS (
+  SELECT *, CASE WHEN regexp_full_match(text, '[ 	-
+]*') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
+    CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] WHEN role = '' THEN 'e' ELSE 'o' END AS c, lag(CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] WHEN role = '' THEN 'e' ELSE 'o' END) OVER (PARTITION BY conv_id ORDER BY p) AS last FROM placed
+), rows AS (
+  SELECT *, fault NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS x FROM faults
+), totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (last || c NOT IN ('su', 'ua', 'au')) AS illegal, max(p) AS n FROM rows GROUP BY conv_id
+), ahead(conv_id, p, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, 0, 10, 5, 0 FROM totals
+  UNION ALL
+  SELECT conv_id, p, least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2) FROM (
+    SELECT r.conv_id, r.p,
+      least(2 + v0, CASE WHEN free THEN least(x + CASE c WHEN 's' THEN v1 WHEN 'u' THEN v2 WHEN 'e' THEN v0 ELSE 1000000 END, 1 + x + v2) ELSE 1000000 END) AS b0,
+      least(2 + v1, CASE WHEN free THEN least(x + CASE c WHEN 'u' THEN v2 WHEN 'e' THEN v1 ELSE 1000000 END, 1 + x + v2) ELSE 1000000 END) AS b1,
+      least(2 + v2, CASE WHEN free THEN least(x + CASE c WHEN 'a' THEN v3 WHEN 'e' THEN v2 ELSE 1000000 END, 1 + x + v3) ELSE 1000000 END) AS b2,
+      least(2 + v3, CASE WHEN free THEN least(x + CASE c WHEN 'u' THEN v2 WHEN 'e' THEN v3 ELSE 1000000 END, 1 + x + v2) ELSE 1000000 END) AS b3
+    FROM ahead a JOIN rows r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.p = a.p - 1)
+), steps AS (
+  SELECT r.*, [a.v0, a.v1, a.v2, a.v3] AS v, [z.v0, z.v1, z.v2, z.v3] AS w FROM rows r
+  JOIN ahead a ON a.conv_id IS NOT DISTINCT FROM r.conv_id AND a.p = r.p JOIN ahead z ON z.conv_id IS NOT DISTINCT FROM r.conv_id AND z.p = r.p + 1
+), walk(conv_id, p, s, audit, done) AS (
+  SELECT conv_id, 1::BIGINT, 0, '', '' FROM totals
+  UNION ALL
+  SELECT conv_id, p + (e <> 'I')::INT, CASE e WHEN 'D' THEN s WHEN 'K' THEN kept ELSE forced END, audit || e,
+    done || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE forced WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'R' THEN text ELSE '' END END
+  FROM (SELECT *, CASE WHEN p > n THEN 'I' WHEN v[s + 1] = 2 + w[s + 1] THEN 'D' WHEN v[s + 1] = 5 + v[forced + 1] THEN 'I' WHEN free AND kept IS NOT NULL AND v[s + 1] = x + w[kept + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (SELECT k.*, t.n, q.role, q.text, q.free, q.x, q.v, q.w, CASE s WHEN 2 THEN 3 ELSE 2 END AS forced,
+            CASE WHEN c = 'e' THEN s WHEN c = 's' AND s = 0 THEN 1 WHEN c = 'u' AND s <> 2 THEN 2 WHEN c = 'a' AND s = 2 THEN 3 END AS kept
+          FROM walk k JOIN totals t ON t.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN steps q ON q.conv_id IS NOT DISTINCT FROM k.conv_id AND q.p = k.p
+          WHERE k.p <= t.n OR k.s IN (1, 2)))
+), ends AS (
+  SELECT k.conv_id, audit, done FROM walk k JOIN totals t ON t.conv_id IS NOT DISTINCT FROM k.conv_id WHERE k.p > t.n AND k.s IN (0, 3)
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(substr(coalesce(done, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ahead a ON a.conv_id IS NOT DISTINCT FROM i.conv_id AND a.p = 1 LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -181,8 +261,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_rules": op8_line_rules,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL, "op8_line_rules": OP8_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op6_url_filters": OP6_SQL, "op8_line_rules": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL}
