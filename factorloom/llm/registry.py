@@ -16,6 +16,7 @@ from factorloom.llm.near_dedup import near_duplicates
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, held_out, score_quality
 from factorloom.llm.secret_scan import scan_secrets
+from factorloom.llm.spelling import runs, spelling_variants
 from factorloom.llm.substring_dedup import remove_repeats
 from factorloom.llm.token_files import fresh_folder, read_tokens, write_tokens
 from factorloom.llm.tokens import default_vocabulary
@@ -249,6 +250,45 @@ LEFT JOIN ahead a ON a.conv_id IS NOT DISTINCT FROM i.conv_id AND a.p = 1 LEFT J
 """
 
 
+def misspelt(docs: DataFrame, shortest: int) -> DataFrame:
+    """word: the runs of letters, of which the query's own damage takes one code point away where 31 divides the checksum."""
+    rows = runs(docs, shortest).withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return rows.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(misspelt(table(spark, sf_dir, "documents"), 7), shortest=7, at_least=2, ratio=10)
+
+
+# Near words by what is left when a code point goes: at one place of both, or of the longer one.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(n))
+), found AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS raw FROM documents
+), counted AS (
+  SELECT id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM found WHERE length(raw) >= 7 GROUP BY 1, 2
+), bytes AS (
+  SELECT run, n, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END))) AS b FROM counted
+), hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295) AS h FROM bytes, crc
+), broken AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, sum(n)::BIGINT AS n FROM broken WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word
+), best AS (
+  SELECT p.word, count(*) AS n_near, first(struct_pack(near := near, n := w.n) ORDER BY w.n DESC, near) AS b FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.near END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, c.root, f.n, n_near, form_n FROM forms f JOIN chain c ON c.word = f.word WHERE NOT EXISTS (SELECT 1 FROM forms g WHERE g.word = c.root AND g.form IS NOT NULL)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -262,8 +302,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": op9_near_dedup,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_spelling_variants": op12_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL, "op8_line_rules": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL}
+    return {"op6_url_filters": OP6_SQL, "op8_line_rules": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_spelling_variants": OP12_SQL}
