@@ -81,24 +81,24 @@ def _word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, np.diff(np.searchsorted(start, edges))
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles' hashes of each text, sorted, one text after another; and their numbers.
 
-    A text of fewer words than a shingle has is one shingle; one without words has none.
+    A shingle has ``width`` words, at most five. A text of fewer words than a shingle has is one shingle; one without words has none.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
     words, counts = _word_hashes(data, edges - edges[0])
-    padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
+    padded = np.concatenate([words, np.zeros(width, np.uint64)])
     combined = np.zeros(len(words), np.uint64)
-    for j in range(SHINGLE):
+    for j in range(width):
         combined += _mix(padded[j : j + len(words)] + _C[j + 1]) * _C[j]
     combined = _mix(combined)
     sets, sizes, at = [], np.zeros(len(counts), np.int64), 0
     for i, n in enumerate(counts.tolist()):
-        if n >= SHINGLE:
-            sets.append(np.unique(combined[at : at + n - SHINGLE + 1]))
+        if n >= width:
+            sets.append(np.unique(combined[at : at + n - width + 1]))
         elif n:
             few = np.uint64(n)
             for j in range(n):
@@ -207,7 +207,7 @@ def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _across(percent: int):
+def _across(percent: int, width: int = SHINGLE):
     """Links between the two sides of a task by their full sets: the labels of each two linked components."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -215,7 +215,7 @@ def _across(percent: int):
         for k in "ab":
             rows = group.filter(pc.equal(group.column("side"), k)).sort_by("node")
             nodes, labels = rows.column("node").to_pylist(), rows.column("label").to_pylist()
-            sets, sizes = shingle_sets(rows.column("text").combine_chunks() if len(nodes) else pa.array([], pa.string()))
+            sets, sizes = shingle_sets(rows.column("text").combine_chunks() if len(nodes) else pa.array([], pa.string()), width)
             sides.append((nodes, labels, np.split(sets, np.cumsum(sizes)[:-1]) if len(nodes) else [], sizes))
         (a, label_a, sets_a, size_a), (b, label_b, sets_b, size_b) = sides
         found: set[tuple[bytes, bytes]] = set()
@@ -231,7 +231,7 @@ def _across(percent: int):
     return run
 
 
-def _confirmed(percent: int):
+def _confirmed(percent: int, width: int = SHINGLE):
     """Pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +244,7 @@ def _confirmed(percent: int):
                     coded = part.column(k).dictionary_encode()
                     index[k] = coded.indices.to_numpy(zero_copy_only=False)
                     _, where = np.unique(index[k], return_index=True)
-                    sets, sizes = shingle_sets(part.column(f"text_{k}").take(pa.array(where)))
+                    sets, sizes = shingle_sets(part.column(f"text_{k}").take(pa.array(where)), width)
                     sides[k] = np.split(sets, np.cumsum(sizes)[:-1])
                 keep = []
                 for i, j in zip(index["a"].tolist(), index["b"].tolist(), strict=True):

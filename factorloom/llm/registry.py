@@ -13,6 +13,7 @@ from factorloom.llm.fingerprint import FIRST, fingerprints, likeness, with_edits
 from factorloom.llm.line_rules import clean_lines
 from factorloom.llm.mixing import mix_sources
 from factorloom.llm.near_dedup import near_duplicates
+from factorloom.llm.ngram_join import ngram_join
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, held_out, score_quality
 from factorloom.llm.secret_scan import scan_secrets
@@ -289,6 +290,27 @@ SELECT f.word, form, c.root, f.n, n_near, form_n FROM forms f JOIN chain c ON c.
 """
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
+), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -303,8 +325,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_ngram_join": op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL, "op8_line_rules": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_spelling_variants": OP12_SQL}
+    return {"op6_url_filters": OP6_SQL, "op8_line_rules": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_ngram_join": OP13_SQL}
