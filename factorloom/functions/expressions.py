@@ -65,6 +65,19 @@ def percent_rank(x: Column, *keys: str) -> Column:
     return safe_div(average_rank(x, *keys), F.count(x).over(Window.partitionBy(*keys)))
 
 
+def centred_rank(x: Column, *keys: str) -> Column:
+    """Twice the ascending average rank within ``keys``, less its mean: a whole number, and these add up to 0. No x may be null."""
+    ordered = Window.partitionBy(*keys).orderBy(x)
+    peers = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    return 2 * F.rank().over(ordered) + peers - F.count(F.lit(1)).over(Window.partitionBy(*keys)) - 2
+
+
+def rank_correlation(x: Column, y: Column) -> Column:
+    """Of centred ranks; sums of whole numbers, so the result is the same in any order. Null where either is constant."""
+    total = lambda a, b: F.sum((a * b).cast("decimal(20,0)")).cast("double")
+    return safe_div(total(x, y), F.sqrt(total(x, x)) * F.sqrt(total(y, y)))
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's; null, never an error, where either is constant."""
     both = x.isNotNull() & y.isNotNull()

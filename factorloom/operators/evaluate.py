@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.expressions import average_rank, by_code, correlation, quantile_group, safe_div
+from factorloom.functions.expressions import average_rank, by_code, centred_rank, correlation, quantile_group, rank_correlation, safe_div
 
 MIN_NAMES = 20
 
@@ -32,11 +32,11 @@ def asof_return(prices: DataFrame, periods: DataFrame) -> DataFrame:
 def rank_ic(values: DataFrame, factor: str, label: str = "fwd", keys: tuple[str, ...] = ("trade_date",), min_names: int = MIN_NAMES) -> DataFrame:
     """``keys``, ic, n: Spearman's correlation in each group of more than ``min_names`` pairs.
 
-    It is rounded to twelve digits, so that a correlation of none is 0 and not a positive or negative trace.
+    It comes from sums of whole numbers, rounded to twelve digits, so it is the same in any run.
     """
     pairs = values.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
-    ranked = pairs.withColumns({"__f": average_rank(F.col(factor), *keys), "__r": average_rank(F.col(label), *keys)})
-    return ranked.groupBy(*keys).agg((F.round(correlation(F.col("__f"), F.col("__r")), 12) + 0.0).alias("ic"), F.count("*").alias("n")).where(F.col("n") > min_names)
+    ranked = pairs.withColumns({"__f": centred_rank(F.col(factor), *keys), "__r": centred_rank(F.col(label), *keys)})
+    return ranked.groupBy(*keys).agg((F.round(rank_correlation(F.col("__f"), F.col("__r")), 12) + 0.0).alias("ic"), F.count("*").alias("n")).where(F.col("n") > min_names)
 
 
 def ic_stats(series: DataFrame, *keys: str) -> DataFrame:
@@ -98,9 +98,9 @@ def membership_change(members: DataFrame, *keys: str) -> DataFrame:
 
 
 def agreement(series: DataFrame, part: str, *keys: str) -> DataFrame:
-    """``keys``, share: of the values of ``part``, the share whose mean IC is positive."""
+    """``keys``, share: of the values of ``part``, the share whose mean IC is positive. Without keys one row, null if there is no value."""
     means = series.groupBy(*keys, part).agg(F.avg("ic").alias("mean")).where("mean is not null")
-    return means.groupBy(*keys).agg(F.avg(F.when(F.round("mean", 9) > 0, 1.0).otherwise(0.0)).alias("share"))
+    return (means.groupBy(*keys) if keys else means).agg(F.avg(F.when(F.round("mean", 9) > 0, 1.0).otherwise(0.0)).alias("share"))
 
 
 def rolling_ic(series: DataFrame, rows: int = 12) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.expressions import clip, percent_rank, safe_div
+from factorloom.functions.expressions import safe_div
 from factorloom.operators.backtest import BacktestConfig, Strategy, backtest
 from factorloom.operators.combine import composite, ranks, universe, weigh
 from factorloom.operators.evaluate import moments
@@ -15,7 +15,7 @@ from factorloom.operators.performance import drawdown_curve, metrics
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
 from factorloom.plans.market import FACTOR_SQL, FACTOR_WINDOWS, labelled
-from factorloom.plans.strategy import _ICS, _KNOWN, _PAST, BASE, BENCH, BOTH, N, OK, PICKED, RATE, SCORED, book, known_ics, picked, strategy_returns, turned
+from factorloom.plans.strategy import BASE, BENCH, BOTH, N, OK, PICKED, SCORED, book, picked, strategy_returns, turned
 from factorloom.sources.panel import PanelSource, daily_prices, monthly_panel
 from factorloom.sources.point_in_time import as_of, members_at
 
@@ -269,73 +269,6 @@ def report_markdown(source):
     return rows.select(F.concat_ws("\n", F.lit("# Strategy"), F.lit(""), F.lit("| metric | value |"), F.lit("|-|-|"), *lines).alias("report"))
 
 
-# the parameter grid: every set of parameters is a key of one plan
-
-COUNTS, WINSOR, PENALTY = (20, 30, 50, 80, 100), (0.005, 0.01, 0.02, 0.05), 0.05
-_GW = "UNION ALL ".join(f"SELECT {q} AS winsor, trade_date, code, fwd, is_st, list_days, is_suspend, greatest(quantile_cont(ep, {q}) OVER w, least(quantile_cont(ep, {1 - q}) OVER w, ep)) AS x, greatest(quantile_cont(vol, {q}) OVER w, least(quantile_cont(vol, {1 - q}) OVER w, vol)) AS y FROM lab WHERE ep IS NOT NULL AND vol IS NOT NULL WINDOW w AS (PARTITION BY trade_date) " for q in WINSOR)
-_KN2 = _KNOWN.format("avg(ia)", "avg(ib)", _PAST) + ", " + _KNOWN.replace("kn AS", "kr AS").replace("{0} OVER w", "avg(ia) OVER w / nullif(stddev_samp(ia) OVER w, 0)").replace("{1} OVER w", "avg(ib) OVER w / nullif(stddev_samp(ib) OVER w, 0)").replace("{2}", _PAST)
-_GRID = (
-    _ICS, _KN2,
-    f"g1 AS ({_GW})",
-    f"g2 AS (SELECT *, {sql.share_rank('x', 'winsor, trade_date')} AS xr, {sql.share_rank('y', 'winsor, trade_date')} AS yr FROM g1)",
-    "g3 AS (SELECT g2.*, 'equal' AS weighting, (xr + yr) / 2 AS score FROM g2 UNION ALL SELECT g2.*, 'ic', (xr * a + yr * b) / nullif(abs(a) + abs(b), 0) FROM g2 JOIN kn USING (trade_date) UNION ALL SELECT g2.*, 'icir', (xr * a + yr * b) / nullif(abs(a) + abs(b), 0) FROM g2 JOIN kr USING (trade_date))",
-    "g4 AS (SELECT winsor, weighting, trade_date, code, fwd, round(score, 9) AS score, row_number() OVER (PARTITION BY winsor, weighting, trade_date ORDER BY round(score, 9) DESC, code) AS place FROM g3 WHERE score IS NOT NULL AND NOT is_st AND list_days >= 60 AND NOT is_suspend)",
-    "g5 AS (SELECT g4.*, lag(place) OVER w AS last_place, lag(trade_date) OVER w = (trade_date - INTERVAL 1 MONTH)::DATE AS follows FROM g4 WINDOW w AS (PARTITION BY winsor, weighting, code ORDER BY trade_date))",
-    f"g6 AS (SELECT g5.*, n, p AS penalty, row_number() OVER (PARTITION BY winsor, weighting, n, p, trade_date ORDER BY round(score + CASE WHEN p AND follows AND last_place <= n THEN {PENALTY} ELSE 0.0 END, 9) DESC, code) AS r FROM g5, (SELECT unnest([{', '.join(map(str, COUNTS))}]) AS n), (SELECT unnest([false, true]) AS p))",
-    "g7 AS (SELECT winsor, weighting, n, penalty, f AS freq, trade_date, code, 1.0 / count(*) OVER (PARTITION BY winsor, weighting, n, penalty, f, trade_date) AS weight, fwd FROM g6, (SELECT unnest(['month', 'quarter']) AS f) WHERE r <= n AND (f = 'month' OR month(trade_date) % 3 = 0))",
-    "g8 AS (SELECT g7.*, h FROM g7, (SELECT unnest([0, 1, 2]) AS h) WHERE h = 0 OR freq = 'quarter')",
-    "g9 AS (SELECT winsor, weighting, n, penalty, freq, (g8.trade_date + to_months(h))::DATE AS trade_date, g8.trade_date AS bought, g8.code, weight, coalesce(l.fwd, 0.0) AS fwd FROM g8 JOIN lab l ON l.code = g8.code AND l.trade_date = (g8.trade_date + to_months(h))::DATE)",
-    "ga AS (SELECT winsor, weighting, n, penalty, freq, trade_date, bought, sum(weight * fwd) AS gross FROM g9 GROUP BY ALL)",
-    "gb AS (SELECT winsor, weighting, n, penalty, freq, trade_date, sum(abs(d)) AS traded FROM (SELECT winsor, weighting, n, penalty, freq, trade_date, code, sum(d) AS d FROM (SELECT winsor, weighting, n, penalty, freq, trade_date, code, weight AS d FROM g7 UNION ALL SELECT winsor, weighting, n, penalty, freq, (trade_date + to_months(CASE freq WHEN 'month' THEN 1 ELSE 3 END))::DATE, code, -weight FROM g7) GROUP BY ALL) GROUP BY ALL)",
-    f"gc AS (SELECT ga.*, gross - coalesce(traded, 0.0) * {RATE} AS ret, bench_ret FROM ga LEFT JOIN gb ON gb.winsor = ga.winsor AND gb.weighting = ga.weighting AND gb.n = ga.n AND gb.penalty = ga.penalty AND gb.freq = ga.freq AND gb.trade_date = ga.trade_date AND ga.bought = ga.trade_date JOIN (SELECT trade_date, avg(fwd) AS bench_ret FROM lab GROUP BY trade_date) b ON b.trade_date = ga.trade_date WHERE bench_ret IS NOT NULL)",
-    "gd AS (SELECT *, product(1 + ret) OVER w AS nav FROM gc WINDOW w AS (PARTITION BY winsor, weighting, n, penalty, freq ORDER BY trade_date))",
-    "ge AS (SELECT *, (nav - max(nav) OVER w) / max(nav) OVER w AS drawdown FROM gd WINDOW w AS (PARTITION BY winsor, weighting, n, penalty, freq ORDER BY trade_date))",
-)
-SETS = ("winsor", "weighting", "top", "penalty", "freq")
-
-
-@register("param_grid", sql.query(*_GRID, "SELECT winsor::DOUBLE AS winsor, weighting, n::INT AS top, penalty, freq, power(product(1 + ret), 12.0 / count(ret)) - 1 AS annual_return, (power(product(1 + ret), 12.0 / count(ret)) - 1 - 0.03) / nullif(stddev_samp(ret) * sqrt(12), 0) AS sharpe, min(drawdown) AS max_drawdown, avg(ret - bench_ret) / nullif(stddev_samp(ret - bench_ret), 0) * sqrt(12) AS information_ratio FROM ge GROUP BY winsor, weighting, n, penalty, freq"))
-def param_grid(source):
-    """Holding count, weighting, winsorizing, penalty and frequency: 240 sets in one job, after costs.
-
-    A name carries the sets that it is held under. Penalised, a name that its own set did not hold the
-    month before is behind those it held. Quarterly sets hold their names for three months.
-    """
-    rows = labelled(source).where("ep is not null and vol is not null")
-    w = Window.partitionBy("trade_date")
-    cuts = [F.struct(F.lit(q).alias("winsor"), *[clip(F.col(f), F.percentile(f, q).over(w), F.percentile(f, 1 - q).over(w)).alias(n) for f, n in (("ep", "x"), ("vol", "y"))]) for q in WINSOR]
-    long = rows.select("trade_date", "code", "fwd", "is_st", "list_days", "is_suspend", F.array(*cuts).alias("cuts")).select("*", F.inline("cuts")).drop("cuts")
-    long = long.withColumns({f"{c}r": percent_rank(F.col(c), "winsor", "trade_date") for c in ("x", "y")})
-    past = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
-    mean = lambda c: F.avg(c).over(past)
-    ratio = lambda c: safe_div(F.avg(c).over(past), F.stddev_samp(c).over(past))
-    known = known_ics(source).select("trade_date", mean("ic_a").alias("a"), mean("ic_b").alias("b"), ratio("ic_a").alias("ra"), ratio("ic_b").alias("rb"))
-    under = lambda a, b: safe_div(F.col("xr") * F.col(a) + F.col("yr") * F.col(b), F.abs(a) + F.abs(b))
-    kinds = F.array(*[F.struct(F.lit(n).alias("weighting"), F.round(s, 9).alias("score")) for n, s in (("equal", (F.col("xr") + F.col("yr")) / 2), ("ic", under("a", "b")), ("icir", under("ra", "rb")))])
-    scored = universe(long.join(F.broadcast(known), "trade_date")).select("winsor", "trade_date", "code", "fwd", F.inline(kinds)).where("score is not null")
-    scored = scored.withColumn("place", F.row_number().over(Window.partitionBy("winsor", "weighting", "trade_date").orderBy(F.desc("score"), "code")))
-    before = Window.partitionBy("winsor", "weighting", "code").orderBy("trade_date")
-    scored = scored.withColumns({"last_place": F.lag("place").over(before), "follows": F.lag("trade_date").over(before) == F.add_months("trade_date", -1)})
-    sets = F.array(*[F.struct(F.lit(n).alias("top"), F.lit(p).alias("penalty")) for n in COUNTS for p in (False, True)])
-    scored = scored.select("*", F.inline(sets))
-    bonus = F.when(F.col("penalty") & F.col("follows") & (F.col("last_place") <= F.col("top")), PENALTY).otherwise(0.0)
-    r = F.row_number().over(Window.partitionBy("winsor", "weighting", "top", "penalty", "trade_date").orderBy(F.desc(F.round(F.col("score") + bonus, 9)), "code"))
-    held = scored.withColumn("r", r).where("r <= top").withColumn("freq", F.explode(F.array(F.lit("month"), F.lit("quarter")))).where("freq = 'month' or month(trade_date) % 3 = 0")
-    held = held.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy(*SETS, "trade_date"))).select(*SETS, "trade_date", "code", "weight")
-    held = source.once("grid", lambda: held)
-
-    months = F.when(F.col("freq") == "month", F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    earned = held.select(*SETS, F.col("trade_date").alias("bought"), "code", "weight", F.explode(months).alias("h")).withColumn("trade_date", F.add_months("bought", F.col("h")))
-    earned = earned.join(labelled(source).select("trade_date", "code", "fwd"), ["trade_date", "code"])
-    gross = earned.groupBy(*SETS, "trade_date", "bought").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("gross"))
-    left = held.select(*SETS, F.add_months("trade_date", F.when(F.col("freq") == "month", 1).otherwise(3)).alias("trade_date"), "code", (-F.col("weight")).alias("weight"))
-    traded = held.unionByName(left).groupBy(*SETS, "trade_date", "code").agg(F.sum("weight").alias("d")).groupBy(*SETS, "trade_date").agg(F.sum(F.abs("d")).alias("traded"))
-    bench = labelled(source).groupBy("trade_date").agg(F.avg("fwd").alias("bench_ret")).where("bench_ret is not null")
-    cost = F.when(F.col("bought") == F.col("trade_date"), F.coalesce("traded", F.lit(0.0)) * RATE).otherwise(0.0)
-    rets = gross.join(traded, [*SETS, "trade_date"], "left").join(F.broadcast(bench), "trade_date").withColumn("ret", F.col("gross") - cost)
-    return metrics(rets, 12, keys=SETS).select(*SETS, "annual_return", "sharpe", "max_drawdown", "information_ratio")
-
-
 # diagnosis
 
 # Symptom, metric, comparison, limit. Where the sources name a symptom without a figure the limit is ours.
@@ -439,8 +372,8 @@ def diagnosis_questions(source):
     rows = labelled(source)
     ics = source.once("ep-ics", lambda: rank_ic(rows, "ep"))
     recent = ics.withColumn("r", F.row_number().over(Window.orderBy(F.desc("trade_date")))).where("r <= 12").agg(F.avg("ic").alias("recent_ic"))
-    by_industry = rank_ic(rows.where("industry is not null"), "ep", keys=("trade_date", "industry"), min_names=2).withColumn("all", F.lit(1))
-    agree = agreement(by_industry, "industry", "all").select(F.col("share").alias("industry_agreement"))
+    by_industry = rank_ic(rows.where("industry is not null"), "ep", keys=("trade_date", "industry"), min_names=2)
+    agree = agreement(by_industry, "industry").select(F.col("share").alias("industry_agreement"))
     spread = factor_correlation(rows.withColumn("year", F.year("trade_date")), ["ep", "vol"], ("year",)).agg((F.max("rho") - F.min("rho")).alias("correlation_spread"))
     one = symptoms(source)
     for one_row in (ics.agg(F.avg("ic").alias("ic_mean")), recent, agree, spread):

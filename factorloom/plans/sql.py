@@ -43,10 +43,20 @@ def corr(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
 
+def centred(x: str, keys: str) -> str:
+    """Twice the average rank less its mean, a whole number."""
+    return f"(2 * rank() OVER (PARTITION BY {keys} ORDER BY {x}) + count(*) OVER (PARTITION BY {keys}, {x}) - count(*) OVER (PARTITION BY {keys}) - 2)"
+
+
+def rank_corr(x: str, y: str) -> str:
+    """Of centred ranks; sums of whole numbers are the same in any order."""
+    return f"sum(({x} * {y})::HUGEINT)::DOUBLE / nullif(sqrt(sum(({x} * {x})::HUGEINT)::DOUBLE) * sqrt(sum(({y} * {y})::HUGEINT)::DOUBLE), 0)"
+
+
 def ic(name: str, factor: str, source: str = "lab", label: str = "fwd", keys: str = "trade_date", at_least: int = 20) -> str:
     """A table of rank ICs by ``keys``."""
     return (
-        f"{name} AS (SELECT {keys}, round({corr('f', 'r')}, 12) + 0.0 AS ic, count(*) AS n FROM (SELECT {keys}, {rank(factor, keys)} AS f, {rank(label, keys)} AS r "
+        f"{name} AS (SELECT {keys}, round({rank_corr('f', 'r')}, 12) + 0.0 AS ic, count(*) AS n FROM (SELECT {keys}, {centred(factor, keys)} AS f, {centred(label, keys)} AS r "
         f"FROM {source} WHERE {factor} IS NOT NULL AND {label} IS NOT NULL) GROUP BY {keys} HAVING count(*) > {at_least})"
     )
 
