@@ -124,19 +124,6 @@ def bucketed(values: DataFrame, x: str, groups: int, out: str) -> DataFrame:
     return values.withColumn(out, quantile_group(F.col(x), groups, "trade_date"))
 
 
-def factor_correlation(values: DataFrame, names: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """first, second, rho for each pair of factors; pooled, or within ``keys``.
-
-    One pass: each pair is a column pair of the same row, so no rows are paired with rows.
-    """
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("p")
-    long = values.select(*keys, rows).select(*keys, "p.*").where("x is not null and y is not null")
-    by = (*keys, "first", "second")
-    ranked = long.withColumns({"__x": average_rank(F.col("x"), *by), "__y": average_rank(F.col("y"), *by)})
-    return ranked.groupBy(*by).agg(correlation(F.col("__x"), F.col("__y")).alias("rho"), F.count("*").alias("n"))
-
-
 def moments(x: Column) -> dict[str, Column]:
     """Skewness and excess kurtosis, corrected for bias as the sample estimates are."""
     n = F.count(x).cast("double")

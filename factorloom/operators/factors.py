@@ -125,8 +125,8 @@ def with_market(panel: DataFrame) -> DataFrame:
     return panel.withColumn("bench", F.avg("ret").over(Window.partitionBy("trade_date")))
 
 
-def calc_factors(panel: DataFrame, factors: Iterable[Factor], start: str | None = None, end: str | None = None, adjust: str | None = None, skip_paused: bool = False, cleaned: bool = False) -> DataFrame:
-    """trade_date, code and a column for each factor.
+def calc_factors(panel: DataFrame, factors: Iterable[Factor], start: str | None = None, end: str | None = None, adjust: str | None = None, skip_paused: bool = False, cleaned: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """trade_date, code, the columns of the panel that ``keep`` names, and a column for each factor.
 
     Dates before ``start`` only warm up the windows. ``adjust`` names a column of adjustment factors for
     prices; ``skip_paused`` drops suspended rows before any window, so that they count in none.
@@ -141,12 +141,12 @@ def calc_factors(panel: DataFrame, factors: Iterable[Factor], start: str | None
     if adjust:
         rows = rows.withColumns({p: c(p) * c(adjust) for p in ("open", "high", "low", "close") if p in rows.columns})
     rows = with_market(rows) if any({"ret", "bench"} & set(f.dependencies) for f in factors) else rows
-    keep = [k for k in ("industry", "market_cap") if k in rows.columns]
-    made = rows.select("trade_date", "code", *keep, *[f.calc().alias(f"__{f.name}") for f in factors])
+    carried = [k for k in dict.fromkeys([*keep, "industry", "market_cap"]) if k in rows.columns]
+    made = rows.select("trade_date", "code", *carried, *[f.calc().alias(f"__{f.name}") for f in factors])
     made = made.where(f"trade_date >= '{start}'") if start else made
     for f in factors:
         made = clean(made, f"__{f.name}", f.neutralize, out=f"__{f.name}") if cleaned else made
-    return made.select("trade_date", "code", *[c(f"__{f.name}").alias(f.name) for f in factors])
+    return made.select("trade_date", "code", *keep, *[c(f"__{f.name}").alias(f.name) for f in factors])
 
 
 def long_form(values: DataFrame, names: list[str]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from factorloom.functions.expressions import correlation, safe_div
 from factorloom.operators.evaluate import (
     bucketed,
-    factor_correlation,
     forward_return,
     ic_stats,
     layer_returns,
@@ -20,18 +19,21 @@ from factorloom.operators.evaluate import (
     streaks,
     switch,
 )
+from factorloom.operators.correlate import rank_correlations
+from factorloom.operators.factors import LIBRARY, calc_factors
 from factorloom.operators.monitor import welch_t
 from factorloom.operators.performance import metrics
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
-from factorloom.plans.market import labelled
+from factorloom.plans.market import CLEANED, FACTOR_SQL, FACTOR_WINDOWS, IDIO_VOL, cleaned, labelled
 
-IC = sql.ic("ics", "mom")
+IC = CLEANED + ",\n" + sql.ic("ics", "mom", "cl")
 STATS = "count(*) AS months, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS win_rate"
 
 
 def ics(source) -> DataFrame:
-    return rank_ic(labelled(source), "mom")
+    """Of the cleaned factor."""
+    return rank_ic(cleaned(source), "mom")
 
 
 @register("monthly_ic", sql.query(IC, "SELECT * FROM ics"))
@@ -130,7 +132,7 @@ def by_regime(source):
     rows = labelled(source)
     bench = rows.groupBy("trade_date").agg(F.first("bench").alias("bench"))
     regime = F.when(F.col("bench") > 0.02, "up").when(F.col("bench") < -0.02, "down").otherwise("flat")
-    return ic_stats(rank_ic(rows, "mom").join(bench, "trade_date").withColumn("regime", regime), "regime")
+    return ic_stats(ics(source).join(bench, "trade_date").withColumn("regime", regime), "regime")
 
 
 _DECAY = "h AS (" + " UNION ALL ".join(f"SELECT trade_date, code, {h} AS horizon, mom, lead(close, {h}) OVER (PARTITION BY code ORDER BY trade_date) / nullif(close, 0) - 1 AS fh FROM lab" for h in (1, 2, 3)) + ")"
@@ -204,30 +206,51 @@ def top_excess(source):
     return metrics(layer_returns(rows, "mom").where("group = 5").join(bench, "trade_date"), 12).select("excess")
 
 
-_PAIRS = "pr AS (" + " UNION ALL ".join(f"SELECT trade_date, '{a}' AS first, '{b}' AS second, {a} AS x, {b} AS y FROM lab WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in (("ep", "mom"), ("ep", "vol"), ("mom", "vol"))) + ")"
+# correlations of all factors of the library
 
+_CORR_NAMES = list(LIBRARY.factors)
+_FACTORS = f"fl AS (SELECT trade_date, year(trade_date)::INT AS year, code, {', '.join(f'{FACTOR_SQL.get(n, IDIO_VOL)} AS {n}' for n in _CORR_NAMES)} FROM (SELECT *, CASE WHEN bench IS NOT NULL THEN ret END AS iy, CASE WHEN ret IS NOT NULL THEN bench END AS ix FROM lab) {FACTOR_WINDOWS})"
+_LONG = "fr AS (" + " UNION ALL ".join(f"SELECT trade_date, year, code, {i} AS i, '{n}' AS name, {n}::FLOAT AS x FROM fl WHERE {n} IS NOT NULL" for i, n in enumerate(_CORR_NAMES)) + ")"
 
-def _pair_sql(keys: str) -> str:
-    by = f"{keys + ', ' if keys else ''}first, second"
-    return f"rho AS (SELECT {by}, {sql.corr('f', 'g')} AS rho, count(*) AS n FROM (SELECT {by}, {sql.rank('x', by)} AS f, {sql.rank('y', by)} AS g FROM pr) GROUP BY {by})"
 
+def _rho_sql(keys: str) -> tuple[str, ...]:
+    by = f"{keys + ', ' if keys else ''}i"
+    head = f"a.{keys} AS {keys}, " if keys else ""
+    return (
+        _FACTORS,
+        _LONG,
+        f"fk AS (SELECT *, {sql.centred('x', by)}::DOUBLE AS r FROM fr)",
+        f"rho AS (SELECT {head}a.name AS first, b.name AS second, (count(*) * sum(a.r * b.r) - sum(a.r) * sum(b.r)) / nullif(sqrt(greatest(count(*) * sum(a.r * a.r) - sum(a.r) * sum(a.r), 0.0)) * sqrt(greatest(count(*) * sum(b.r * b.r) - sum(b.r) * sum(b.r), 0.0)), 0) AS rho, count(*) AS n FROM fk a JOIN fk b ON a.trade_date = b.trade_date AND a.code = b.code AND a.i < b.i GROUP BY ALL)",
+    )
+
+
+def correlations(source, *keys: str) -> DataFrame:
+    rows = labelled(source)
+    values = calc_factors(rows, LIBRARY.factors.values()).withColumn("year", F.year("trade_date"))
+    return rank_correlations(values, _CORR_NAMES, keys)
 
-@register("factor_corr", sql.query(_PAIRS, _pair_sql(""), "SELECT * FROM rho"))
+
+@register("factor_corr", sql.query(*_rho_sql(""), "SELECT * FROM rho"))
 def corr_matrix(source):
-    return factor_correlation(labelled(source), ["ep", "mom", "vol"])
+    return correlations(source)
 
 
-@register("factor_corr_by_date", sql.query(_PAIRS, _pair_sql("trade_date"), "SELECT first, second, avg(rho) AS rho, count(rho) AS dates FROM rho GROUP BY first, second"))
+@register("factor_corr_by_date", sql.query(*_rho_sql("trade_date"), "SELECT first, second, avg(rho) AS rho, count(rho) AS dates FROM rho GROUP BY first, second"))
 def corr_by_date(source):
-    return factor_correlation(labelled(source), ["ep", "mom", "vol"], ("trade_date",)).groupBy("first", "second").agg(F.avg("rho").alias("rho"), F.count("rho").alias("dates"))
+    return correlations(source, "trade_date").groupBy("first", "second").agg(F.avg("rho").alias("rho"), F.count("rho").alias("dates"))
+
+
+@register("factor_corr_by_year", sql.query(*_rho_sql("year"), "SELECT * FROM rho"))
+def corr_by_year(source):
+    return correlations(source, "year")
 
 
-@register("factor_corr_drift", sql.query(_PAIRS.replace("SELECT trade_date", "SELECT year(trade_date)::INT AS year"), _pair_sql("year"), "SELECT first, second, max(rho) - min(rho) AS spread FROM rho GROUP BY first, second"))
+@register("factor_corr_drift", sql.query(*_rho_sql("year"), "SELECT first, second, max(rho) - min(rho) AS spread FROM rho GROUP BY first, second"))
 def corr_drift(source):
-    return factor_correlation(labelled(source).withColumn("year", F.year("trade_date")), ["ep", "mom", "vol"], ("year",)).groupBy("first", "second").agg((F.max("rho") - F.min("rho")).alias("spread"))
+    return correlations(source, "year").groupBy("first", "second").agg((F.max("rho") - F.min("rho")).alias("spread"))
 
 
-@register("corr_redundant", sql.query(_PAIRS, _pair_sql(""), "SELECT first, second, abs(rho) > 0.7 AS redundant, abs(rho) < 0.5 AS combinable FROM rho"))
+@register("corr_redundant", sql.query(*_rho_sql(""), "SELECT first, second, abs(round(rho, 9)) > 0.7 AS redundant, abs(round(rho, 9)) < 0.5 AS combinable FROM rho"))
 def redundant(source):
-    rho = F.abs("rho")
-    return factor_correlation(labelled(source), ["ep", "mom", "vol"]).select("first", "second", (rho > 0.7).alias("redundant"), (rho < 0.5).alias("combinable"))
+    rho = F.abs(F.round("rho", 9))
+    return correlations(source).select("first", "second", (rho > 0.7).alias("redundant"), (rho < 0.5).alias("combinable"))

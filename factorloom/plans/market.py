@@ -140,6 +140,9 @@ SELECT trade_date, code, count(y) OVER w AS n, var_pop(y) OVER w AS vy, covar_po
 SELECT trade_date, code, CASE WHEN bench IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL THEN bench END AS x FROM lab)
 WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 
+# from lab with iy and ix, the returns of the name and of the market where both are known
+IDIO_VOL = "CASE WHEN count(iy) OVER w20 = 20 THEN -sqrt(greatest(0.0, (var_pop(iy) OVER w20 - pow(covar_pop(iy, ix) OVER w20, 2) / nullif(var_pop(ix) OVER w20, 0)) * 20 / 18.0)) END"
+
 for _name in LIBRARY.factors:
     _text = sql.query(_IDIO) if _name == "idio_vol" else sql.query(f"SELECT {ID}, {FACTOR_SQL[_name]} AS {_name} FROM rets {FACTOR_WINDOWS}")
 
@@ -230,6 +233,23 @@ register("clean_pipeline", sql.query(_WINSOR.format(0.025, 0.975), _SIZED.format
 register("rank_transform", sql.query(f"SELECT {ID}, {sql.rank('mom', 'trade_date')} AS mom FROM lab WHERE mom IS NOT NULL"))(_cleaned(lambda d: d.where("mom is not null").withColumn("mom", average_rank(F.col("mom"), "trade_date"))))
 
 
+# the factor that ICs are taken of: three months' momentum of names not under special treatment, neutral to region and size
+CLEANED = ", ".join([
+    _WINSOR.format(0.025, 0.975).replace("wz AS", "cw AS").replace("FROM lab", "FROM lab WHERE NOT is_st"),
+    _SIZED.format("cw").replace("industry", "region").replace("sz AS", "cs AS").replace("FROM sz", "FROM cs").replace("dm AS", "cd AS").replace("FROM dm", "FROM cd").replace("nz AS", "cn AS"),
+    "cl AS (SELECT * REPLACE (round((y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0), 9) + 0.0 AS mom) FROM cn WINDOW w AS (PARTITION BY trade_date))",
+])
+
+
+def cleaned(source: PanelSource) -> DataFrame:
+    """The labelled panel with its momentum winsorized, neutral to region and size, and standardized; without names under special treatment.
+
+    Residuals of 0 leave traces, so values are rounded before they are ranked.
+    """
+    rows = clean(labelled(source).where("not is_st"), "mom", ("region", "market_cap"))
+    return rows.withColumn("mom", F.round("mom", 9) + 0.0)
+
+
 @register(
     "neutralize_compare",
     sql.query(_RAW, _NEUTRAL.format("rw"), "SELECT industry, avg(x) AS raw_mean, avg(abs(x)) AS raw_abs, avg(abs(y)) AS neutral_abs, count(y) AS n FROM nz WHERE x IS NOT NULL GROUP BY industry"),

@@ -13,8 +13,8 @@ from factorloom.sources.panel import PanelSource
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly rank ICs of momentum; the smallest tables have ten names, hence the low bound."""
-    return rank_ic(market.labelled(PanelSource(spark, sf_dir)), "mom", min_names=5)
+    """Monthly rank ICs of cleaned momentum; the smallest tables have ten names, hence the low bound."""
+    return rank_ic(market.cleaned(PanelSource(spark, sf_dir)), "mom", min_names=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

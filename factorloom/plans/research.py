@@ -359,7 +359,8 @@ _QSQL = (
     "qr AS (SELECT avg(ic) AS ic_mean, (SELECT avg(ic) FROM (SELECT ic FROM qe ORDER BY trade_date DESC LIMIT 12)) AS recent_ic FROM qe)",
     sql.ic("qi", "ep", keys="trade_date, industry", at_least=2),
     "qa AS (SELECT avg((round(m, 9) > 0)::INT) AS industry_agreement FROM (SELECT industry, avg(ic) AS m FROM qi WHERE industry IS NOT NULL GROUP BY industry) WHERE m IS NOT NULL)",
-    f"qc AS (SELECT max(rho) - min(rho) AS correlation_spread FROM (SELECT y, {sql.corr('f', 'g')} AS rho FROM (SELECT year(trade_date) AS y, {sql.rank('ep', 'year(trade_date)')} AS f, {sql.rank('vol', 'year(trade_date)')} AS g FROM lab WHERE ep IS NOT NULL AND vol IS NOT NULL) GROUP BY y))",
+    f"""qx AS (SELECT trade_date, code, year(trade_date) AS y, {sql.centred('ep::FLOAT', 'year(trade_date)')} AS f FROM lab WHERE ep IS NOT NULL), qv AS (SELECT trade_date, code, {sql.centred('vol::FLOAT', 'year(trade_date)')} AS g FROM lab WHERE vol IS NOT NULL),
+qc AS (SELECT max(rho) - min(rho) AS correlation_spread FROM (SELECT y, {sql.corr('f', 'g')} AS rho FROM qx JOIN qv USING (trade_date, code) GROUP BY y))""",
     "qq AS (SELECT * FROM dg, qr, qa, qc)",
 )
 
@@ -367,14 +368,15 @@ _QSQL = (
 @register("diagnosis_questions", sql.query(*_QSQL, " UNION ALL ".join(f"SELECT '{q}' AS question, coalesce({test}, false) AS yes FROM qq" for q, test in QUESTIONS)))
 def diagnosis_questions(source):
     """All sixteen questions with yes or no; what is unknown is a no."""
-    from factorloom.operators.evaluate import agreement, factor_correlation, rank_ic
+    from factorloom.operators.correlate import rank_correlations
+    from factorloom.operators.evaluate import agreement, rank_ic
 
     rows = labelled(source)
     ics = source.once("ep-ics", lambda: rank_ic(rows, "ep"))
     recent = ics.withColumn("r", F.row_number().over(Window.orderBy(F.desc("trade_date")))).where("r <= 12").agg(F.avg("ic").alias("recent_ic"))
     by_industry = rank_ic(rows.where("industry is not null"), "ep", keys=("trade_date", "industry"), min_names=2)
     agree = agreement(by_industry, "industry").select(F.col("share").alias("industry_agreement"))
-    spread = factor_correlation(rows.withColumn("year", F.year("trade_date")), ["ep", "vol"], ("year",)).agg((F.max("rho") - F.min("rho")).alias("correlation_spread"))
+    spread = rank_correlations(rows.select("trade_date", "code", "ep", "vol", F.year("trade_date").alias("year")), ["ep", "vol"], ("year",)).agg((F.max("rho") - F.min("rho")).alias("correlation_spread"))
     one = symptoms(source)
     for one_row in (ics.agg(F.avg("ic").alias("ic_mean")), recent, agree, spread):
         one = one.join(F.broadcast(one_row))

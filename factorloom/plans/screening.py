@@ -12,8 +12,9 @@ from factorloom.operators.performance import metrics
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
 from factorloom.plans.evaluation import STATS
-from factorloom.plans.market import FACTOR_SQL, FACTOR_WINDOWS, labelled
-from factorloom.sources.panel import PanelSource, monthly_panel
+from factorloom.operators.clean import clean
+from factorloom.plans.market import FACTOR_SQL, FACTOR_WINDOWS, IDIO_VOL, labelled
+from factorloom.sources.panel import PanelSource
 
 NAMES = list(LIBRARY.factors)
 KEYS = ("trade_date", "factor_name")
@@ -32,12 +33,19 @@ SCORES = (
 
 
 def tidy(source: PanelSource) -> DataFrame:
-    """A row for each date, name and factor with a value and a label."""
-    size = quantile_group(F.col("market_cap"), 3, "trade_date").alias("size_group")
-    rows = labelled(source).select("trade_date", "code", "industry", size, "fwd").where("fwd is not null")
-    values = calc_factors(monthly_panel(source), LIBRARY.factors.values()).join(rows, ["trade_date", "code"])
-    long = values.unpivot(["trade_date", "code", "industry", "size_group", "fwd"], NAMES, "factor_name", "factor")
-    return long.where("factor is not null")
+    """A row for each date, name and factor with a cleaned value and a label.
+
+    All factors are cleaned together, in rows; a factor is neutral to what its declaration names.
+    """
+    ids = ["industry", "market_cap", "fwd"]
+    values = calc_factors(labelled(source), LIBRARY.factors.values(), keep=tuple(ids))
+    values = values.withColumn("size_group", quantile_group(F.col("market_cap"), 3, "trade_date"))
+    long = values.unpivot(["trade_date", "code", *ids, "size_group"], NAMES, "factor_name", "factor").where("factor is not null")
+    parts = [clean(long.where(F.col("factor_name").isin(*[n for n, f in LIBRARY.factors.items() if f.neutralize == how])), "factor", how, keys=("factor_name",)) for how in dict.fromkeys(f.neutralize for f in LIBRARY.factors.values())]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.withColumn("factor", F.round("factor", 9) + 0.0).where("factor is not null and fwd is not null").drop("market_cap")
 
 
 def profile(source: PanelSource) -> DataFrame:
@@ -71,9 +79,17 @@ def profile(source: PanelSource) -> DataFrame:
     return out.withColumns({"longest": F.coalesce("longest", F.lit(0).cast("bigint")), "ic_drawdown": F.coalesce("deepest", F.lit(0.0)), "stability": 1 - F.col("turnover"), "robustness": robust, "flipped": F.col("sign") < 0})
 
 
-_IDIO = "CASE WHEN count(iy) OVER w20 = 20 THEN -sqrt(greatest(0.0, (var_pop(iy) OVER w20 - pow(covar_pop(iy, ix) OVER w20, 2) / nullif(var_pop(ix) OVER w20, 0)) * 20 / 18.0)) END"
-_LIB = f"lib AS (SELECT trade_date, code, industry, market_cap, fwd, {', '.join(f'{FACTOR_SQL.get(n, _IDIO)} AS {n}' for n in NAMES)} FROM (SELECT *, CASE WHEN bench IS NOT NULL THEN ret END AS iy, CASE WHEN ret IS NOT NULL THEN bench END AS ix FROM lab) {FACTOR_WINDOWS})"
-_RAW = "raw AS (" + " UNION ALL ".join(f"SELECT trade_date, code, industry, market_cap, fwd, '{n}' AS factor_name, {n} AS factor FROM lib WHERE {n} IS NOT NULL AND fwd IS NOT NULL" for n in NAMES) + ")"
+_LIB = f"lib AS (SELECT trade_date, code, industry, market_cap, fwd, {', '.join(f'{FACTOR_SQL.get(n, IDIO_VOL)} AS {n}' for n in NAMES)} FROM (SELECT *, CASE WHEN bench IS NOT NULL THEN ret END AS iy, CASE WHEN ret IS NOT NULL THEN bench END AS ix FROM lab) {FACTOR_WINDOWS})"
+# all factors in rows: winsorized; within industries; less the slope on size for those that are neutral to both; standardized
+_RAW = (
+    "lr AS (" + " UNION ALL ".join(f"SELECT trade_date, code, industry, market_cap, fwd, '{n}' AS factor_name, {str(LIBRARY[n].neutralize == ('industry', 'market_cap')).lower()} AS sized, {n} AS f FROM lib WHERE {n} IS NOT NULL" for n in NAMES) + """),
+lw AS (SELECT *, greatest(quantile_cont(f, 0.025) OVER w, least(quantile_cont(f, 0.975) OVER w, f)) AS x FROM lr WINDOW w AS (PARTITION BY trade_date, factor_name)),
+lu AS (SELECT *, CASE WHEN industry IS NOT NULL AND (market_cap IS NOT NULL OR NOT sized) THEN x END AS x1, CASE WHEN industry IS NOT NULL AND sized THEN market_cap END AS z1 FROM lw),
+ld AS (SELECT *, x1 - avg(x1) OVER w AS xd, z1 - avg(z1) OVER w AS zd FROM lu WINDOW w AS (PARTITION BY trade_date, factor_name, industry)),
+ln AS (SELECT *, xd - CASE WHEN sized THEN coalesce(sum(xd * zd) OVER w / nullif(sum(zd * zd) OVER w, 0), 0.0) * zd ELSE 0.0 END AS y FROM ld WINDOW w AS (PARTITION BY trade_date, factor_name)),
+lz AS (SELECT * EXCLUDE (x), round((y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0), 9) + 0.0 AS factor FROM ln WINDOW w AS (PARTITION BY trade_date, factor_name)),
+raw AS (SELECT trade_date, code, industry, market_cap, fwd, factor_name, factor FROM lz WHERE factor IS NOT NULL AND fwd IS NOT NULL)"""
+)
 _ANNUAL = "CASE WHEN product(1 + ret) > 0 THEN power(product(1 + ret), 12.0 / count(ret)) - 1 END"
 _PROFILE = (
     _LIB,
