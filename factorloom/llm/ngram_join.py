@@ -29,10 +29,11 @@ from factorloom.llm.near_dedup import BLOCK, FIRST, KEY, PAIR, SLICE_BYTES, _acr
 
 WIDTH = 3
 PERCENT = 90
-#: Counters of a sketch.
-COUNTERS = 64
-#: A segment has about nine elements: so many posts has a member's one-deletion neighbourhood.
-NEIGHBOURS = 10
+#: Counters of a sketch: many more than the differences of similar texts of some hundred words, so few of these cancel out.
+COUNTERS = 256
+#: What cutting a list costs for each member, in comparisons of two sketches: a segment has about nine elements, so ten
+#: posts, and a post takes as long as some fifty comparisons.
+NEIGHBOURS = 500
 #: Shingles of a block's texts, about.
 BLOCK_SHINGLES = 400_000
 
@@ -176,7 +177,7 @@ def _apart(percent: int):
                 partners: tuple[set[int], set[int]] = (set(), set())
                 for i in range(len(one)):
                     gap = sketch_b - sketch_a[i]  # wraps around
-                    differ = np.minimum(gap, np.uint8(0) - gap).astype(np.int64).sum(1)
+                    differ = np.minimum(gap, np.uint8(0) - gap).sum(1, dtype=np.int64)
                     near = np.flatnonzero((label_b != label_a[i]) & (differ * (100 + percent) <= (size_b + size_a[i]) * (100 - percent)))
                     if len(near):
                         partners[0].add(i)
@@ -268,7 +269,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, neig
     Null, empty and white texts have no shingles and stay alone; texts of fewer than ``width`` words are one shingle. A
     null id comes before all others and is returned as null; rows that share an id count as documents of their own under
     one id; repeated rows are equal sets; an empty table gives an empty result; other columns are not carried. Ids
-    are whole numbers; others raise. ``neighbours`` is the cost of cutting a list, in posts for each member.
+    are whole numbers; others raise. ``neighbours`` is the cost of cutting a list, in comparisons for each member.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed, named = _joined(docs, percent, width, neighbours)

@@ -62,7 +62,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("neighbours", [0, 10])
+@pytest.mark.parametrize("neighbours", [0, nj.NEIGHBOURS])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_all_pairs(spark, seed, neighbours):
     rows = corpus(seed)
