@@ -20,6 +20,32 @@ def as_of(rows: DataFrame, published: DataFrame, when: str) -> DataFrame:
     return known.select(*rows.columns, *[F.col(f"__known.{c}").alias(c) for c in (when, *figures)])
 
 
+def known_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """``rows`` (trade_date, code, ...) with the figures that were the latest known on the date: bitemporal.
+
+    ``figures`` has code, valid (the period they are of), published (when they came out) and the figures; a period has
+    a row for each publication. Of what was published by the date the latest period counts, and of that the latest
+    publication. So a restatement changes what is known from its own day on, and one of an older period changes nothing. Both are
+    ordered together within a code and the greatest pair so far is kept, so no row meets another's range. Before the first
+    publication all are null.
+    """
+    names = [c for c in figures.columns if c not in ("code", "valid", "published")]
+    both = rows.withColumn("__own", F.lit(1)).withColumn("__at", F.col("trade_date"))
+    said = figures.select("code", F.col("published").alias("__at"), F.struct("valid", "published", *names).alias("__figures"), F.lit(0).alias("__own"))
+    past = Window.partitionBy("code").orderBy("__at", "__own").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.unionByName(said, allowMissingColumns=True).withColumn("__known", F.max("__figures").over(past)).where("__own = 1")
+    kept = [c for c in rows.columns if c not in (*names, "valid", "published")]
+    return known.select(*kept, *[F.col(f"__known.{c}").alias(c) for c in ("valid", "published", *names)])
+
+
 def members_at(rows: DataFrame, membership: DataFrame) -> DataFrame:
-    """The rows whose code is a member on their date: ``membership`` is code, from, to, both inclusive."""
-    return rows.join(membership, "code").where(F.col("trade_date").between(F.col("from"), F.col("to"))).select(*rows.columns)
+    """The rows whose code is a member on their date: ``membership`` is code, from, to, both inclusive.
+
+    Beginnings count 1 and ends -1, in order of date within a code; a row is in if the sum so far is positive. So no row
+    meets another membership than by order, and memberships may overlap. Rows without a code are left out.
+    """
+    both = rows.where("code is not null").withColumns({"__own": F.lit(1), "__at": F.col("trade_date"), "__step": F.lit(0)})
+    steps = membership.select("code", F.inline(F.array(F.struct(F.col("from").alias("__at"), F.lit(1).alias("__step")), F.struct(F.date_add("to", 1).alias("__at"), F.lit(-1).alias("__step")))), F.lit(0).alias("__own"))
+    past = Window.partitionBy("code").orderBy("__at", "__own").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.unionByName(steps, allowMissingColumns=True).withColumn("__in", F.sum("__step").over(past))
+    return counted.where("__own = 1 and __in > 0").select(*rows.columns)
