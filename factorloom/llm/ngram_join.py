@@ -161,9 +161,11 @@ def _refined(percent: int, width: int):
 
 
 def _apart(percent: int):
-    """Of two blocks of a list: the nodes with a partner of another component whose sketch is near enough.
+    """Of two blocks of a list: pairs of different components whose sketches are near enough.
 
-    Counters that differ by d hold at least d elements that differ, also where they have run over.
+    Counters that differ by d hold at least d elements that differ, also where they have run over. Pairs that are no more
+    than the nodes are told one by one, so that those of several lists are compared once (task is null); of more pairs only
+    the nodes are told, under a task for the two blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,17 +176,21 @@ def _apart(percent: int):
                 (label_a, size_a, sketch_a), (label_b, size_b, sketch_b) = (
                     (np.array([names[m["label"]] for m in side]), np.array([m["n_shingles"] for m in side]), np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8).reshape(-1, COUNTERS)) for side in (one, two)
                 )
-                partners: tuple[set[int], set[int]] = (set(), set())
+                pairs: list[tuple[int, int]] = []
                 for i in range(len(one)):
                     gap = sketch_b - sketch_a[i]  # wraps around
                     differ = np.minimum(gap, np.uint8(0) - gap).sum(1, dtype=np.int64)
                     near = np.flatnonzero((label_b != label_a[i]) & (differ * (100 + percent) <= (size_b + size_a[i]) * (100 - percent)))
-                    if len(near):
-                        partners[0].add(i)
-                        partners[1].update(near.tolist())
-                rows = [(f"{row['key']}/{row['a_name']}/{row['b_name']}", k, side[i]["node"], side[i]["label"]) for k, side, chosen in (("a", one, partners[0]), ("b", two, partners[1])) for i in sorted(chosen)]
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["task", "side", "node", "label"])
+                    pairs += [(i, j) for j in near.tolist()]
+                if len(pairs) <= len(one) + len(two):
+                    found = [sorted(((one[i]["node"], one[i]["label"]), (two[j]["node"], two[j]["label"]))) for i, j in pairs]
+                    rows = [(None, None, *a, *b) for a, b in found]
+                else:
+                    chosen = (("a", one, {i for i, _ in pairs}), ("b", two, {j for _, j in pairs}))
+                    rows = [(f"{row['key']}/{row['a_name']}/{row['b_name']}", k, side[i]["node"], side[i]["label"], None, None) for k, side, these in chosen for i in sorted(these)]
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = (pa.string(), pa.string(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["task", "side", "node", "label", "other", "other_label"])
 
     return run
 
@@ -232,10 +238,13 @@ def _joined(docs: DataFrame, percent: int, width: int, neighbours: int) -> tuple
     best = materialize(met.groupBy("b").agg(F.max(F.struct("agreed", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "first-pairs")
     wanted = nodes.join(central.select("node"), "node").select("row.*", "node")
     texts = materialize(rows.join(wanted, list(KEY)).groupBy("node").agg(F.first("text").alias("text")), "node-texts")
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    confirmed = best.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent, width), PAIR)
-    labels = components(materialize(confirmed, "first-links"), "first")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent, width), PAIR)
+
+    labels = components(materialize(confirm(best), "first-links"), "first")
 
     label = F.coalesce("label", "node").alias("label")
     told = materialize(posts.join(labels, "node", "left").select("key", "node", label), "labelled-posts")
@@ -252,8 +261,12 @@ def _joined(docs: DataFrame, percent: int, width: int, neighbours: int) -> tuple
     dealt = lists.join(main, "key").select("key", is_main.alias("is_main"), block.alias("block"), member.alias("member"))
     blocks = materialize(dealt.groupBy("key", "is_main", "block").agg(F.collect_list("member").alias("members")), "list-blocks")
     crossed = _block_pairs(blocks.join(main.select("key", (F.col("main_parts") * BLOCK).alias("in_main"), (F.col("other_parts") * BLOCK).alias("others")), "key"))
-    tasks = materialize(crossed.mapInArrow(_apart(percent), "task string, side string, node binary, label binary"), "block-tasks")
-    second = materialize(tasks.join(texts, "node").groupBy("task").applyInArrow(_across(percent, width), PAIR), "rest-links")
+    tasks = materialize(crossed.mapInArrow(_apart(percent), "task string, side string, node binary, label binary, other binary, other_label binary"), "block-tasks")
+    few = tasks.where("task is null").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.first("label").alias("label_a"), F.first("other_label").alias("label_b"))
+    few = materialize(few, "rest-pairs")
+    linked = confirm(few).join(few, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    many = tasks.where("task is not null").select("task", "side", "node", "label").join(texts, "node").groupBy("task").applyInArrow(_across(percent, width), PAIR)
+    second = materialize(linked.unionByName(many), "rest-links")
     merged = components(second, "rest")
     alone = merged.join(labels.select("node"), "node", "left_anti")
     labels = relabelled(labels, merged).unionByName(alone)
