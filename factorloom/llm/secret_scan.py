@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,12 +32,13 @@ BASE_KINDS = ("assign", "access", "hex")
 
 #: Further credential words; what follows them is looked at, and kept only if it is costly to guess. They
 #: begin where a word or a capital in a word begins. The value is only looked ahead at, as it may itself
-#: be such a word ("auth token: ..."). Group 1 is the separator, if there is one.
+#: be such a word ("auth token: ..."). Group 1 is the separator, if there is one, group 2 how the value begins.
 CONTEXT = re.compile(
     r"""(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))(?i:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]?key)?|token|(?:api|access|private)[_-]?key|credentials?|auth(?:orization)?|bearer|signature)"""
-    r"""(?=["']?(?:(\x20*[:=]+>?\x20*)|\x20+(?:(?i:is)\x20+)?)(?:(?i:bearer)\x20+)?["']?([!-&(-~]{6,}))""",
+    r"""(?=["']?(?:(\x20*[:=]+>?\x20*)|\x20+(?:(?i:is)\x20+)?)(?:(?i:bearer)\x20+)?["']?([!-&(-~]{6}))""",
     re.ASCII,
 )
+VALUE = re.compile(r"[!-&(-~]+")
 #: Without a separator words alone are prose; hyphens and the like join them.
 PROSE = re.compile(r"[A-Za-z]+(?:[-'./_,;:&][A-Za-z]+)*")
 ANY_ASSIGN = r"(?i)password|passwd|secret|token|api_?key"
@@ -45,9 +47,10 @@ ANY_CONTEXT = r"(?i)pass(word|wd|phrase|code)|pwd|secret|token|[_-]?key|credenti
 #: A value is a secret if its cheapest cut takes at least 10 to this many guesses.
 MIN_LOG10_GUESSES = 10.0
 
-#: Ranked words of the corpus: at most so many, each seen so often, of so many letters.
+#: Ranked words of the corpus: at most so many, of so many letters, each in so many distinct texts. These are told by 64
+#: classes of their hash, so copies of a text never add to them.
 MAX_WORDS = 50_000
-MIN_WORD_COUNT = 5
+MIN_TEXTS = 5
 WORD_LETTERS = (3, 20)
 #: Distinct words that a task counts before it hands them on.
 COUNTED_AT_ONCE = 200_000
@@ -70,7 +73,9 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 #: Where a key is, in half widths: each row is shifted against the one above.
 PLACE = {key: (row, 2 * column + shift) for row, (keys, shift) in enumerate(zip(KEY_ROWS, (0, 3, 4, 5), strict=True)) for column, key in enumerate(keys)}
-DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
+DATES = [re.compile(p) for p in (r"(?:19|20)\d\d", r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d")]
+#: Of a walk, run or repeat of up to so many characters any stretch may be a part; of a longer one all its beginnings and ends.
+STRETCH = 64
 
 
 def _brute(ch: str) -> float:
@@ -88,16 +93,28 @@ def direction(a: str, b: str) -> tuple[int, int] | None:
     return step if near else None
 
 
+def _stretches(i: int, j: int, least: int, step: int = 1) -> Iterator[tuple[int, int]]:
+    """Parts of what runs from i to j, of at least ``least`` characters, by whole ``step``: see ``STRETCH``."""
+    if j - i <= STRETCH:
+        for a in range(i, j - least + 1):
+            yield from ((a, b) for b in range(a + least, j + 1, step))
+        return
+    for size in range(least, j - i + 1):
+        yield j - size, j - size + size // step * step
+        yield i + size - size // step * step, i + size
+
+
 def _walks(keys: str) -> Iterator[tuple[int, int, float]]:
-    """Walks over the keyboard, or along the alphabet, with their cost: where they start, how long they are, turns."""
+    """Walks over the keyboard, or along the alphabet, of three keys and more, with their cost: where they start, how long they are, turns."""
     i = 0
     while i < len(keys) - 1:
-        j, turns, last = i + 1, 0, None
+        j, turns, last = i + 1, [0, 0], None  # turns before each key
         while j < len(keys) and (step := direction(keys[j - 1], keys[j])) is not None:
-            turns, last = turns + (last is not None and step != last), step
+            turns.append(turns[-1] + (last is not None and step != last))
+            last = step
             j += 1
-        if j - i >= 3:
-            yield i, j, math.log10(len(PLACE) * (j - i)) + turns * math.log10(6)
+        for a, b in _stretches(i, j, 3):
+            yield a, b, math.log10(len(PLACE) * (b - a)) + (turns[b - i] - turns[a - i + 2]) * math.log10(6)
         i = max(j - 1, i + 1)
 
 
@@ -113,70 +130,115 @@ def _parts(value: str, ranks: dict[str, int]) -> list[list[tuple[int, float]]]:
             if rank is not None:
                 cased = 0.0 if value[i:j] == low[i:j] else math.log10(2 if value[i + 1 : j] == low[i + 1 : j] else j - i)
                 ends[j].append((i, math.log10(rank) + cased + (math.log10(4) if swapped else 0.0)))
-        if (found := DATE.match(low, i)) is not None:
-            ends[found.end()].append((i, math.log10(120 * (365 if found.end() - i > 4 else 1))))
+        for date in DATES:
+            if (found := date.match(low, i)) is not None:
+                ends[found.end()].append((i, math.log10(120 * (365 if found.end() - i > 4 else 1))))
     i = 0
-    while i < n:  # runs of one character, each as long as it is
+    while i < n:  # runs of one character
         j = i + 1
         while j < n and low[j] == low[i]:
             j += 1
-        if j - i >= 3:
-            ends[j].append((i, _brute(low[i]) + math.log10(j - i)))
+        for a, b in _stretches(i, j, 3):
+            ends[b].append((a, _brute(low[i]) + math.log10(b - a)))
         i = j
     for i, j, cost in _walks(low.translate(SHIFTED)):
         ends[j].append((i, cost))
+    known: list[tuple[int, int, int]] = []  # what repeats with a period repeats with its multiples too
     for size in range(2, min(16, n // 2) + 1):  # blocks that repeat at once
         i = 0
         while i + 2 * size <= n:
-            j = i + size
-            while j + size <= n and low[j : j + size] == low[i : i + size]:
-                j += size
-            if j > i + size:
-                ends[j].append((i, sum(map(_brute, low[i : i + size])) + math.log10((j - i) // size)))
-                i = j - size + 1
-            else:
-                i += 1
+            j = i
+            while j + size < n and low[j] == low[j + size]:
+                j += 1
+            if j - i >= size and not any(size % s == 0 and a <= i and j + size <= b for a, b, s in known):  # each character is the one a block before, up to j + size
+                if j + size - i > STRETCH:
+                    known.append((i, j + size, size))
+                for a, b in _stretches(i, j + size, 2 * size, size):
+                    ends[b].append((a, sum(map(_brute, low[a : a + size])) + math.log10((b - a) // size)))
+            i = max(j, i) + 1
     return ends
 
 
-def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
-    """log10 of the guesses for the cheapest cut of the whole value; linear in its length.
+def suffix_costs(value: str, ranks: dict[str, int] = RANK) -> list[float]:
+    """For each place: log10 of the guesses for the cheapest cut of the value from there to its end; linear in its length.
 
     Parts next to each other multiply; characters outside any part are brute force, each of its kind.
     """
-    ends, best = _parts(value, ranks), [0.0]
-    for j in range(1, len(value) + 1):
-        best.append(min([best[j - 1] + _brute(value[j - 1]), *(best[i] + cost for i, cost in ends[j])]))
-    return best[-1]
+    ends = _parts(value, ranks)
+    best = [math.inf] * len(value) + [0.0]
+    for j in range(len(value), 0, -1):
+        best[j - 1] = min(best[j - 1], best[j] + _brute(value[j - 1]))
+        for i, cost in ends[j]:
+            best[i] = min(best[i], best[j] + cost)
+    return best
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
+    """log10 of the guesses for the cheapest cut of the whole value."""
+    return suffix_costs(value, ranks)[0]
+
+
+def _without_values(text: str) -> str:
+    """The text without what stands after a credential word and a separator."""
+    out, at = [], 0
+    for m in CONTEXT.finditer(text):
+        if m[1] is not None and m.start(2) >= at:
+            out.append(text[at : m.start(2)])
+            at = VALUE.match(text, m.start(2)).end()
+    return "".join([*out, text[at:]])
+
+
+def _summed(words: pa.Array, counts: np.ndarray, texts: np.ndarray) -> pa.Table:
+    """One row for each word: the sum of counts, and all bits of texts."""
+    coded = words.dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(index, kind="stable")
+    starts = np.flatnonzero(np.diff(index[order], prepend=-1))
+    n, bits = (np.add.reduceat(counts[order], starts), np.bitwise_or.reduceat(texts[order], starts)) if len(starts) else (counts[:0], texts[:0])
+    return pa.table({"word": coded.dictionary, "n": pa.array(n, pa.int64()), "texts": pa.array(bits.view(np.int64), pa.int64())})
+
+
+def _again(held: pa.Table) -> pa.Table:
+    held = held.combine_chunks()
+    words, n, texts = (held.column(c).combine_chunks() if held.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("n", pa.int64()), ("texts", pa.int64())))
+    return _summed(words, n.to_numpy(zero_copy_only=False), texts.to_numpy(zero_copy_only=False).view(np.uint64))
 
 
 def word_ranks(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
     """Words of letters by how often they are in all texts, after the fixed ones; 1 is guessed first.
 
-    Tasks count their own words, which are then added up. How many words are how frequent is looked at
-    first, so that no more than ``most`` come to the driver, and no other words: those above a frequency.
-    Words of equal counts go by letters, so reruns agree.
+    A word counts if it is in several distinct texts, so copies of one make no word common; what stands after a
+    credential word and a separator is not counted at all. Tasks count their own words, which are then added up. How
+    many words are how frequent is looked at first, so that no more than ``most`` come to the driver, and no
+    other words: those above a frequency. Words of equal counts go by letters, so reruns agree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            seen = pc.value_counts(pc.ascii_split_whitespace(texts).flatten())
-            words, counts = pc.ascii_trim(pc.ascii_lower(seen.field(0)), characters="\"'`.,:;!?()[]{}<>*_-"), seen.field(1)
+            some = pc.match_substring_regex(texts, ANY_CONTEXT).to_pylist()
+            if any(some):
+                texts = pa.array([_without_values(t) if s else t for t, s in zip(texts.to_pylist(), some, strict=True)], pa.large_string())
+            lists = pc.ascii_split_whitespace(texts)
+            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            words = pc.ascii_trim(pc.ascii_lower(lists.flatten()), characters="\"'`.,:;!?()[]{}<>*_-")
             size = pc.binary_length(words)
             fits = pc.and_(pc.and_(pc.greater_equal(size, WORD_LETTERS[0]), pc.less_equal(size, WORD_LETTERS[1])), pc.match_substring_regex(words, "^[a-z]+$"))
-            more = pa.table({"word": words.filter(fits).cast(pa.string()), "n": counts.filter(fits)})
+            bits = (np.uint64(1) << (batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(64)))[owner]
+            keep = fits.to_numpy(zero_copy_only=False)
+            more = _summed(words.filter(fits).cast(pa.string()), np.ones(int(keep.sum()), np.int64), bits[keep])
             held = more if held is None else pa.concat_tables([held, more])
             if held.num_rows > COUNTED_AT_ONCE:
-                held = held.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                held = _again(held)
                 if held.num_rows > COUNTED_AT_ONCE // 2:
                     yield from held.to_batches()
                     held = None
         if held is not None:
-            yield from held.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
+            yield from _again(held).to_batches()
 
-    counted = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WORD_COUNT)
+    counted = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "word string, n bigint, texts bigint").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("texts").alias("texts"))
+    counted = counted.where(F.bit_count("texts") >= MIN_TEXTS).select("word", "n")
     counted = materialize(counted, "words")
     # a step is a hundredth of a power of two, so there are a few thousand steps at most
     step = F.floor(100 * F.log2("n")).alias("step")
@@ -204,17 +266,26 @@ _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_MIN)
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, str]], threshold: float = MIN_LOG10_GUESSES, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
-    """Values in a credential context that cost at least ``threshold`` and lie in no base span."""
+    """Values in a credential context that cost at least ``threshold`` and lie in no base span; linear in the text.
+
+    Contexts and base spans are walked together, as both are in order; values that end together are cut once.
+    """
     out: list[tuple[int, int, str]] = []
+    at, reach, run_end, cut_from, costs = 0, -1, -1, -1, []
     for m in CONTEXT.finditer(text):
-        start, end = m.span(2)
+        start = m.start(2)
+        if start >= run_end:
+            run_end, cut_from = VALUE.match(text, start).end(), -1
+        end = run_end
         while end > start and text[end - 1] in "\"'`,;.)]}>":
             end -= 1
-        if end - start < 6 or (m[1] is None and PROSE.fullmatch(text, start, end)):
-            continue
-        if any(s <= start and end <= e for s, e, _ in [*base, *out[-1:]]):
+        while at < len(base) and base[at][0] <= start:  # how far the base spans reach that begin before
+            reach, at = max(reach, base[at][1]), at + 1
+        if end - start < 6 or end <= reach or (out and end <= out[-1][1]) or (m[1] is None and PROSE.fullmatch(text, start, end)):
             continue
-        if guess_cost(text[start:end], ranks) >= threshold:
+        if cut_from < 0:
+            cut_from, costs = start, suffix_costs(text[start:end], ranks)
+        if costs[start - cut_from] >= threshold:
             out.append((start, end, "guess"))
     return out
 

@@ -296,22 +296,65 @@ def test_guess_cost():
     assert cost("k9" * 50_000) < 20
 
 
+def part_cost(value, a, b, ranks):
+    """What a part costs by its definition alone; the listing of parts plays no role."""
+    low, part, found = value.lower(), value[a:b].lower(), [math.inf]
+    brute = lambda t: sum(1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33) for c in t)
+    if b - a == 1:
+        found.append(brute(part))
+    for word, more in ((part, 0.0), (part.translate(str.maketrans("0134578@$!", "oleastbasi")), math.log10(4))):
+        if 3 <= b - a <= 20 and word in ranks and (more == 0 or part not in ranks):
+            cased = 0.0 if value[a:b] == part else math.log10(2 if value[a + 1 : b] == part[1:] else b - a)
+            found.append(math.log10(ranks[word]) + cased + more)
+    if re.fullmatch(r"(?:19|20)\d\d", part):
+        found.append(math.log10(120))
+    if re.fullmatch(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d", part):
+        found.append(math.log10(120 * 365))
+    if b - a >= 3 and len(set(part)) == 1:
+        found.append(brute(part[0]) + math.log10(b - a))
+    keys = low.translate(secret_scan.SHIFTED)[a:b]
+    steps = [secret_scan.direction(x, y) for x, y in zip(keys, keys[1:], strict=False)]
+    if b - a >= 3 and None not in steps:
+        found.append(math.log10(len(secret_scan.PLACE) * (b - a)) + sum(x != y for x, y in zip(steps, steps[1:], strict=False)) * math.log10(6))
+    for size in range(2, 17):
+        if (b - a) % size == 0 and (b - a) >= 2 * size and part == part[:size] * ((b - a) // size):
+            found.append(brute(part[:size]) + math.log10((b - a) // size))
+    return min(found)
+
+
 def test_the_cheapest_of_all_cuts():
-    """Against every cut of the value: a part costs what it is listed with, a lone character brute force."""
+    """Against every part of the value, by the definitions; for values whose stretches are short."""
     r = random.Random(12)
-    bits = ["password", "qwe", "zaq1", "2021", "aaa", "x", "7", "!", "abab", "Key", "k", "9"]
-    for _ in range(60):
-        value = "".join(r.choice(bits) for _ in range(r.randint(1, 5)))[:14]
-        listed = {}
-        for end, parts in enumerate(secret_scan._parts(value, secret_scan.RANK)):
-            for start, c in parts:
-                listed[start, end] = min(c, listed.get((start, end), 99.0))
-        listed |= {(i, i + 1): min(secret_scan._brute(ch), listed.get((i, i + 1), 99.0)) for i, ch in enumerate(value)}
-        n, least = len(value), math.inf
-        for mask in range(1 << (n - 1)):
-            cuts = [0, *(i + 1 for i in range(n - 1) if mask >> i & 1), n]
-            least = min(least, sum(listed.get(part, math.inf) for part in zip(cuts, cuts[1:], strict=False)))
-        assert secret_scan.guess_cost(value) == pytest.approx(least)
+    ranks = secret_scan.RANK | {"port": 700, "sasa": 90, "rty": 300, "aab": 50}
+    bits = ["password", "qwertyuio", "port", "zaq1", "2021", "20210304", "aaa", "aab", "x", "7", "!", "abab", "Key", "k", "9", "P0rt", "asdsasas", "rty"]
+    for _ in range(400):
+        value = "".join(r.choice(bits) for _ in range(r.randint(1, 7)))[:40]
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            best.append(min(best[i] + part_cost(value, i, j, ranks) for i in range(j)))
+        assert secret_scan.guess_cost(value, ranks) == pytest.approx(best[-1]), value
+    assert secret_scan.guess_cost("qwertyuioport", ranks) == pytest.approx(math.log10(len(secret_scan.PLACE) * 9) + math.log10(700))
+
+
+def test_all_suffixes_at_once():
+    for value in ("qwertyuiop" * 20 + "x", "a" * 300, "k9" * 100 + "zz", "password2021!!"):
+        costs = secret_scan.suffix_costs(value)
+        assert len(costs) == len(value) + 1 and costs[-1] == 0
+        assert costs[3] == pytest.approx(secret_scan.guess_cost(value[3:]), abs=0.6)  # a stretch of more than 64 may be listed by its ends only
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def took(lines):
+        text = "".join(f"password: x{i}!Kq9#mZ2$w{i}\n" for i in range(lines)) + "token-" * lines
+        began = time.process_time()
+        base, every = secret_scan.find_spans(text)
+        assert len(every) >= lines
+        return time.process_time() - began
+
+    took(200)
+    assert took(8000) < 14 * took(1000) + 0.5
 
 
 def guesses(text, **more):
@@ -328,16 +371,25 @@ def test_guessed_values_are_added():
 
 
 def test_words_of_the_corpus_are_cheap(spark):
-    docs = docs_of(spark, ["credentials: Generation, management", None, *["the generation of management."] * 6])
+    texts = ["credentials: Generation, management", None, *[f"the generation {i} of management." for i in range(40)]]
+    docs = docs_of(spark, texts)
     ranks = secret_scan.word_ranks(docs)
-    assert ranks["generation"] == len(secret_scan.WORDS) + 1 and ranks["password"] == 1 and "hard" not in ranks
+    assert ranks["generation"] <= len(secret_scan.WORDS) + 4 and ranks["password"] == 1 and "hard" not in ranks
     assert guesses("credentials: management") and not guesses("credentials: management", ranks=ranks)
     assert "management" in ranks and "the" in ranks
-    twice = docs.unionAll(docs_of(spark, ["generation"]))  # one word is more frequent than the others
+    twice = docs.unionAll(docs_of(spark, ["generation generation"]))  # one word is more frequent than the others
     assert len(secret_scan.word_ranks(twice, most=1)) == len(set(secret_scan.WORDS)) + 1
     assert secret_scan.word_ranks(empty(spark)) == secret_scan.RANK
 
 
+@pytest.mark.parametrize("copies", [1, 4, 5, 20, 200])
+def test_copies_hide_no_secret(spark, copies):
+    """Neither copies of a text nor a credential value in many texts make a word common."""
+    docs = docs_of(spark, ["the pwd: xkqjvhzwpd is here"] * copies + [f"passphrase = zzqkxjwvgh {i}" for i in range(copies)] + ["the word xkqjvhzwpd alone"] * copies)
+    found = secret_scan.scan_secrets(docs).collect()
+    assert sum(len(r["spans"]) for r in found) == 2 * copies
+
+
 def test_scan_and_mask(spark, odd):
     docs = docs_of(spark, ["a é token=abcdef0123 b", None, "clean text", "AKIA" + "Z" * 16])
     got = {r["doc_id"]: secret_scan.joined([tuple(s) for s in r["spans"]]) for r in secret_scan.scan_secrets(docs).collect()}
