@@ -122,7 +122,9 @@ class Search:
                 return True
         # of what it holds, one piece of each length is enough, and one pair of each sum
         single = {int(size[p]): [p] for p in mine}
-        double = {int(size[p] + size[q]): [p, q] for i, p in enumerate(mine) for q in mine[i + 1 :]} if len(mine) <= 64 else {}
+        # two pieces of each length make all sums; a bin has few lengths, as these add up to its capacity at most
+        twice = [p for k, p in enumerate(mine) if k < 2 or size[mine[k - 2]] != size[p]]
+        double = {int(size[p] + size[q]): [p, q] for i, p in enumerate(twice) for q in twice[i + 1 :]}
         others = np.flatnonzero(room[self.where])  # pieces beside which there is room
         theirs, around, best, found = size[others], room[self.where[others]], 0, None
         for kind, options in (("1:1", single), ("2:1", double)):
