@@ -242,25 +242,6 @@ for _unit in ("month", "quarter", "year"):
         return rets.join(parts.groupBy("period").agg(F.max("c").alias("best_industry"), F.min("c").alias("worst_industry")), "period")
 
 
-_FAMILIES = {n: f.family for n, f in LIBRARY.factors.items() if n in ("ep", "bp", "sp", "roe", "roa", "amplitude20", "turnover20", "amount20", "intraday", "gap")}
-_FAMILY_SQL = "fl AS (SELECT trade_date, fwd, " + ", ".join(f"{FACTOR_SQL[n]} AS {n}" for n in _FAMILIES) + f" FROM lab {FACTOR_WINDOWS}), ft AS (" + " UNION ALL ".join(f"SELECT trade_date, '{n}' AS factor_name, '{f}' AS family, {n} AS factor, fwd FROM fl WHERE {n} IS NOT NULL AND fwd IS NOT NULL" for n, f in _FAMILIES.items()) + ")"
-
-
-@register("family_choice", sql.query(_FAMILY_SQL, sql.ic("fi", "factor", "ft", keys="trade_date, factor_name, family"), "fm AS (SELECT family, upper(factor_name) AS factor_name, round(abs(avg(ic)), 9) AS strength FROM fi GROUP BY ALL)", "SELECT family, factor_name, strength FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY strength DESC NULLS LAST, factor_name) AS r FROM fm) WHERE r = 1"))
-def family_choice(source):
-    """The strongest factor of each family, so that no two of one family are stacked; a failed one is replaced by the next."""
-    from factorloom.operators.evaluate import rank_ic
-    from factorloom.operators.factors import calc_factors
-
-    values = calc_factors(monthly_panel(source), [LIBRARY[n] for n in _FAMILIES]).join(labelled(source).select("trade_date", "code", "fwd"), ["trade_date", "code"])
-    long = values.unpivot(["trade_date", "code", "fwd"], list(_FAMILIES), "factor_name", "factor")
-    family = F.create_map(*[F.lit(x) for pair in _FAMILIES.items() for x in pair])[F.col("factor_name")]
-    ics = rank_ic(long.withColumn("family", family), "factor", keys=("trade_date", "factor_name", "family"))
-    means = ics.groupBy("family", F.upper("factor_name").alias("factor_name")).agg(F.round(F.abs(F.avg("ic")), 9).alias("strength"))
-    place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc_nulls_last("strength"), "factor_name"))
-    return means.withColumn("r", place).where("r = 1").drop("r")
-
-
 @register("report_markdown", sql.query(*BASE, BENCH, "mm AS (SELECT product(1 + ret) - 1 AS cumulative, power(product(1 + ret), 12.0 / count(ret)) - 1 AS annual_return, stddev_samp(ret) * sqrt(12) AS annual_vol, avg((ret > 0)::INT) AS win_rate FROM rt)", "SELECT '# Strategy' || chr(10) || chr(10) || '| metric | value |' || chr(10) || '|-|-|' || chr(10) || '| cumulative return | ' || format('{:.2f}%', cumulative * 100) || ' |' || chr(10) || '| annual return | ' || format('{:.2f}%', annual_return * 100) || ' |' || chr(10) || '| annual volatility | ' || format('{:.2f}%', annual_vol * 100) || ' |' || chr(10) || '| win rate | ' || format('{:.2f}%', win_rate * 100) || ' |' AS report FROM mm"))
 def report_markdown(source):
     """One row of metrics as a Markdown table."""
