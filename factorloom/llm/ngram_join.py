@@ -24,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize, row_groups, text_of
+from factorloom.llm.common import give_back, materialize, row_groups, text_of
 from factorloom.llm.near_dedup import BLOCK, FIRST, KEY, PAIR, SLICE_BYTES, _across, _block_pairs, _confirmed, _key, _mix, components, relabelled, shingle_sets
 
 WIDTH = 3
 PERCENT = 90
 #: Counters of a sketch: many more than the differences of similar texts of some hundred words, so few of these cancel out.
-COUNTERS = 256
+COUNTERS = 128
 #: What cutting a list costs for each member, in comparisons of two sketches: a segment has about nine elements, so ten
 #: posts, and a post takes as long as some fifty comparisons.
 NEIGHBOURS = 500
@@ -136,6 +136,7 @@ def _posted(percent: int, width: int):
                     ],
                     names=[*KEY, "n_shingles", "node", "posts", "sketch"],
                 )
+            give_back()
 
     return run
 
@@ -170,11 +171,13 @@ def _apart(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                one, two = row["a_members"], row["b_members"]
-                names = {label: i for i, label in enumerate(dict.fromkeys(m["label"] for m in [*one, *two]))}
+            for r in range(batch.num_rows):  # one row at a time, as its members may be many
+                one, two = (batch.column(f"{k}_members")[r].values for k in "ab")
+                labels = [side.field("label").to_pylist() for side in (one, two)]
+                nodes = [side.field("node").to_pylist() for side in (one, two)]
+                names = {label: i for i, label in enumerate(dict.fromkeys([*labels[0], *labels[1]]))}
                 (label_a, size_a, sketch_a), (label_b, size_b, sketch_b) = (
-                    (np.array([names[m["label"]] for m in side]), np.array([m["n_shingles"] for m in side]), np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8).reshape(-1, COUNTERS)) for side in (one, two)
+                    (np.array([names[x] for x in labels[k]]), side.field("n_shingles").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(side.field("sketch").to_pylist()), np.uint8).reshape(-1, COUNTERS)) for k, side in enumerate((one, two))
                 )
                 pairs: list[tuple[int, int]] = []
                 for i in range(len(one)):
@@ -183,14 +186,16 @@ def _apart(percent: int):
                     near = np.flatnonzero((label_b != label_a[i]) & (differ * (100 + percent) <= (size_b + size_a[i]) * (100 - percent)))
                     pairs += [(i, j) for j in near.tolist()]
                 if len(pairs) <= len(one) + len(two):
-                    found = [sorted(((one[i]["node"], one[i]["label"]), (two[j]["node"], two[j]["label"]))) for i, j in pairs]
+                    found = [sorted(((nodes[0][i], labels[0][i]), (nodes[1][j], labels[1][j]))) for i, j in pairs]
                     rows = [(None, None, *a, *b) for a, b in found]
                 else:
-                    chosen = (("a", one, {i for i, _ in pairs}), ("b", two, {j for _, j in pairs}))
-                    rows = [(f"{row['key']}/{row['a_name']}/{row['b_name']}", k, side[i]["node"], side[i]["label"], None, None) for k, side, these in chosen for i in sorted(these)]
+                    task = "/".join(str(batch.column(c)[r].as_py()) for c in ("key", "a_name", "b_name"))
+                    chosen = (("a", 0, {i for i, _ in pairs}), ("b", 1, {j for _, j in pairs}))
+                    rows = [(task, name, nodes[k][i], labels[k][i], None, None) for name, k, these in chosen for i in sorted(these)]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = (pa.string(), pa.string(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["task", "side", "node", "label", "other", "other_label"])
+            give_back()
 
     return run
 
