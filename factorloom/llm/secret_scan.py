@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.llm.common import materialize
+from factorloom.llm.common import give_back, materialize, row_groups
 
 # The base patterns, and how many characters a match needs at least.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -54,6 +54,8 @@ MIN_TEXTS = 5
 WORD_LETTERS = (3, 20)
 #: Distinct words that a task counts before it hands them on.
 COUNTED_AT_ONCE = 200_000
+#: Text whose words are counted at once.
+SLICE_BYTES = 1_000_000
 
 # Common words of passwords and identifiers in order of how soon they are guessed.
 WORDS = (
@@ -198,6 +200,20 @@ def _summed(words: pa.Array, counts: np.ndarray, texts: np.ndarray) -> pa.Table:
     return pa.table({"word": coded.dictionary, "n": pa.array(n, pa.int64()), "texts": pa.array(bits.view(np.int64), pa.int64())})
 
 
+def _counted(texts: pa.Array, hashes: np.ndarray) -> pa.Table:
+    """The words of letters of some texts: how often, and in which classes of texts."""
+    some = pc.match_substring_regex(texts, ANY_CONTEXT).to_pylist()
+    if any(some):
+        texts = pa.array([_without_values(t) if s else t for t, s in zip(texts.to_pylist(), some, strict=True)], pa.large_string())
+    lists = pc.ascii_split_whitespace(texts)
+    words = pc.ascii_trim(pc.ascii_lower(lists.flatten()), characters="\"'`.,:;!?()[]{}<>*_-")
+    size = pc.binary_length(words)
+    fits = pc.and_(pc.and_(pc.greater_equal(size, WORD_LETTERS[0]), pc.less_equal(size, WORD_LETTERS[1])), pc.match_substring_regex(words, "^[a-z]+$"))
+    keep = fits.to_numpy(zero_copy_only=False)
+    bits = (np.uint64(1) << (hashes % np.uint64(64)))[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[keep]]
+    return _summed(words.filter(fits).cast(pa.string()), np.ones(len(bits), np.int64), bits)
+
+
 def _again(held: pa.Table) -> pa.Table:
     held = held.combine_chunks()
     words, n, texts = (held.column(c).combine_chunks() if held.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("n", pa.int64()), ("texts", pa.int64())))
@@ -216,24 +232,18 @@ def word_ranks(docs: DataFrame, most: int = MAX_WORDS) -> dict[str, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            some = pc.match_substring_regex(texts, ANY_CONTEXT).to_pylist()
-            if any(some):
-                texts = pa.array([_without_values(t) if s else t for t, s in zip(texts.to_pylist(), some, strict=True)], pa.large_string())
-            lists = pc.ascii_split_whitespace(texts)
-            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            words = pc.ascii_trim(pc.ascii_lower(lists.flatten()), characters="\"'`.,:;!?()[]{}<>*_-")
-            size = pc.binary_length(words)
-            fits = pc.and_(pc.and_(pc.greater_equal(size, WORD_LETTERS[0]), pc.less_equal(size, WORD_LETTERS[1])), pc.match_substring_regex(words, "^[a-z]+$"))
-            bits = (np.uint64(1) << (batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(64)))[owner]
-            keep = fits.to_numpy(zero_copy_only=False)
-            more = _summed(words.filter(fits).cast(pa.string()), np.ones(int(keep.sum()), np.int64), bits[keep])
-            held = more if held is None else pa.concat_tables([held, more])
-            if held.num_rows > COUNTED_AT_ONCE:
-                held = _again(held)
-                if held.num_rows > COUNTED_AT_ONCE // 2:
-                    yield from held.to_batches()
-                    held = None
+            whole = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            lengths = pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            for first, last in row_groups(lengths, SLICE_BYTES):
+                more = _counted(whole.slice(first, last - first), hashes[first:last])
+                held = more if held is None else pa.concat_tables([held, more])
+                if held.num_rows > COUNTED_AT_ONCE:
+                    held = _again(held)
+                    if held.num_rows > COUNTED_AT_ONCE // 2:
+                        yield from held.to_batches()
+                        held = None
+            give_back()
         if held is not None:
             yield from _again(held).to_batches()
 
