@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.operators.evaluate import rank_ic
-from factorloom.plans import allocation, evaluation, grid, learned, market, portfolio, positions, published, research, screening, strategy  # noqa: F401
+from factorloom.plans import allocation, evaluation, grid, learned, market, portfolio, positions, published, reports, research, screening, strategy  # noqa: F401
 from factorloom.plans.catalog import ORACLES, PLANS
 from factorloom.sources.panel import PanelSource
 
