@@ -9,12 +9,13 @@ from factorloom.functions.expressions import correlation, safe_div
 from factorloom.operators.backtest import nav_fold, nav_proportional, period_returns, stop_losses, stopped_nav, trade_cost, trades, turnover, vol_target
 from factorloom.operators.combine import banded, composite, dynamic_weights, ranks, select_by_size, top_n, universe, weigh, with_inertia, with_penalty
 from factorloom.operators.evaluate import rank_ic
-from factorloom.operators.monitor import ALERTS, VERSION_SCHEMA, breaches, version_steps
+from factorloom.operators.monitor import ALERTS, VERSION_SCHEMA, append_version, breaches, version_steps
 from factorloom.operators.performance import calendar_returns, drawdown_curve, metrics, recovery, report
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
 from factorloom.plans.market import labelled
 from factorloom.sources.panel import calendar
+from factorloom.sources.scratch import fresh_path
 from factorloom.streaming.alerts import daily_alerts
 
 N = 20
@@ -346,17 +347,25 @@ def event_alerts(source):
     return daily_alerts(source.table("events").withColumn("ts", F.col("ts").cast("timestamp")), 100.0)
 
 
-# The two example versions.
-VERSIONS = """SELECT 'v1.0' AS version, DATE '2024-01-15' AS date, 0.12::DOUBLE AS annual_return, 0.8::DOUBLE AS sharpe, 0.25::DOUBLE AS max_dd
-UNION ALL SELECT 'v1.1', DATE '2024-04-15', 0.11, 0.9, 0.22"""
+_VERSIONS = (
+    *BASE, BENCH,
+    "vy AS (SELECT *, year(trade_date) AS y, product(1 + ret) OVER (PARTITION BY year(trade_date) ORDER BY trade_date) AS nav FROM rt)",
+    "vd AS (SELECT *, (nav - max(nav) OVER w) / max(nav) OVER w AS drawdown FROM vy WINDOW w AS (PARTITION BY y ORDER BY trade_date))",
+    "vm AS (SELECT 'v' || y AS version, make_date(y, 12, 31) AS date, CASE WHEN product(1 + ret) > 0 THEN power(product(1 + ret), 12.0 / count(ret)) - 1 END AS annual_return, stddev_samp(ret) * sqrt(12) AS vol, abs(min(drawdown)) AS max_dd FROM vd GROUP BY y)",
+    "v AS (SELECT version, date, annual_return, (annual_return - 0.03) / nullif(vol, 0) AS sharpe, max_dd FROM vm)",
+)
 
 
-@register("version_compare", f"WITH v AS ({VERSIONS}) SELECT version, date, annual_return - lag(annual_return) OVER w AS annual_return_gain, sharpe - lag(sharpe) OVER w AS sharpe_gain, max_dd - lag(max_dd) OVER w AS max_dd_gain, coalesce(sharpe - lag(sharpe) OVER w < 0.05, false) AS stop FROM v WINDOW w AS (ORDER BY version)")
+@register("version_compare", sql.query(*_VERSIONS, "SELECT version, date, annual_return - lag(annual_return) OVER w AS annual_return_gain, sharpe - lag(sharpe) OVER w AS sharpe_gain, max_dd - lag(max_dd) OVER w AS max_dd_gain, coalesce(sharpe - lag(sharpe) OVER w < 0.05, false) AS stop FROM v WINDOW w AS (ORDER BY version)"))
 def versions(source):
-    from datetime import date
-
-    rows = [("v1.0", date(2024, 1, 15), "base", None, "{}", (0.12, 0.8, 0.25)), ("v1.1", date(2024, 4, 15), "turnover penalty", ["penalty"], "{}", (0.11, 0.9, 0.22))]
-    return version_steps(source.spark.createDataFrame(rows, VERSION_SCHEMA))
+    """Each year's review is a version that is appended to the log, with the year's figures; the log is read back and compared."""
+    year = F.year("trade_date")
+    rets = strategy_returns(source).select("trade_date", "ret", "bench_ret", F.concat(F.lit("v"), year.cast("string")).alias("version"), F.make_date(year, F.lit(12), F.lit(31)).alias("date"))
+    figures = F.struct("annual_return", "sharpe", F.abs("max_drawdown").alias("max_dd")).alias("performance")
+    reviewed = metrics(rets, 12, keys=("version", "date"))
+    path = fresh_path(source.spark, "versions")
+    append_version(reviewed.select("version", "date", F.lit("yearly review").alias("description"), F.array().cast("array<string>").alias("changes"), F.lit("{}").alias("params"), figures), path)
+    return version_steps(source.spark.read.schema(VERSION_SCHEMA).parquet(path))
 
 
 @register("strategy_gap", sql.query(*BASE, sql.layers("lay", "ep"), 'SELECT trade_date, ret - net AS gap FROM lay JOIN nt USING (trade_date) WHERE "group" = 5'))
