@@ -41,11 +41,11 @@ def known_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
 def members_at(rows: DataFrame, membership: DataFrame) -> DataFrame:
     """The rows whose code is a member on their date: ``membership`` is code, from, to, both inclusive.
 
-    Beginnings count 1 and ends -1, in order of date within a code; a row is in if the sum so far is positive. So no row
+    Beginnings count 1, before a date's rows, and ends -1, after them; a row is in if the sum so far is positive. So no row
     meets another membership than by order, and memberships may overlap. Rows without a code are left out.
     """
     both = rows.where("code is not null").withColumns({"__own": F.lit(1), "__at": F.col("trade_date"), "__step": F.lit(0)})
-    steps = membership.select("code", F.inline(F.array(F.struct(F.col("from").alias("__at"), F.lit(1).alias("__step")), F.struct(F.date_add("to", 1).alias("__at"), F.lit(-1).alias("__step")))), F.lit(0).alias("__own"))
+    steps = membership.select("code", F.inline(F.array(F.struct(F.col("from").alias("__at"), F.lit(1).alias("__step"), F.lit(0).alias("__own")), F.struct(F.col("to").alias("__at"), F.lit(-1).alias("__step"), F.lit(2).alias("__own")))))
     past = Window.partitionBy("code").orderBy("__at", "__own").rowsBetween(Window.unboundedPreceding, 0)
     counted = both.unionByName(steps, allowMissingColumns=True).withColumn("__in", F.sum("__step").over(past))
     return counted.where("__own = 1 and __in > 0").select(*rows.columns)
