@@ -38,7 +38,7 @@ def combined(weights: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def netting(parts: DataFrame, calendar: DataFrame) -> DataFrame:
-    """trade_date, apart, net: what strategies would trade each for itself, and what is left when they trade together.
+    """trade_date, apart, net: what strategies would trade each for itself, and what is left when they trade together; without the traces of sums of nothing.
 
     ``calendar`` has trade_date and next_date; the first date is all bought.
     """
@@ -46,4 +46,5 @@ def netting(parts: DataFrame, calendar: DataFrame) -> DataFrame:
     changes = parts.unionByName(left).groupBy("trade_date", "strategy", "code").agg(F.sum("weight").alias("d"))
     dates = parts.select("trade_date").distinct()
     by_name = changes.groupBy("trade_date", "code").agg(F.sum(F.abs("d")).alias("apart"), F.abs(F.sum("d")).alias("net"))
-    return by_name.groupBy("trade_date").agg(F.sum("apart").alias("apart"), F.sum("net").alias("net")).join(dates, "trade_date", "left_semi")
+    trace = lambda c: (F.round(F.sum(c), 12) + 0.0).alias(c)
+    return by_name.groupBy("trade_date").agg(trace("apart"), trace("net")).join(dates, "trade_date", "left_semi")

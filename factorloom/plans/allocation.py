@@ -57,7 +57,7 @@ def multi_weights(source):
     return combined(weights, shares).groupBy("trade_date", "code").agg(F.sum("weight").alias("weight"), F.count("*").alias("strategies"))
 
 
-@register("multi_netting", sql.query(*_SEVERAL, CAL, "vc AS (SELECT trade_date, strategy, code, sum(d) AS d FROM (SELECT trade_date, strategy, code, weight AS d FROM vp UNION ALL SELECT next_date, strategy, code, -weight FROM vp JOIN nx USING (trade_date) WHERE next_date IS NOT NULL) GROUP BY ALL)", "SELECT trade_date, sum(apart) AS apart, sum(net) AS net FROM (SELECT trade_date, code, sum(abs(d)) AS apart, abs(sum(d)) AS net FROM vc WHERE trade_date IN (SELECT trade_date FROM vp) GROUP BY ALL) GROUP BY trade_date"))
+@register("multi_netting", sql.query(*_SEVERAL, CAL, "vc AS (SELECT trade_date, strategy, code, sum(d) AS d FROM (SELECT trade_date, strategy, code, weight AS d FROM vp UNION ALL SELECT next_date, strategy, code, -weight FROM vp JOIN nx USING (trade_date) WHERE next_date IS NOT NULL) GROUP BY ALL)", "SELECT trade_date, round(sum(apart), 12) + 0.0 AS apart, round(sum(net), 12) + 0.0 AS net FROM (SELECT trade_date, code, sum(abs(d)) AS apart, abs(sum(d)) AS net FROM vc WHERE trade_date IN (SELECT trade_date FROM vp) GROUP BY ALL) GROUP BY trade_date"))
 def multi_netting(source):
     """What the strategies would trade apart, and what is left when trades of one name are netted."""
     weights, _, shares = several(source)
