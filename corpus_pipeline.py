@@ -1,8 +1,7 @@
 """The corpus pipeline: raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns a
-DataFrame; all but the last return the columns of ``documents``, whatever they are: columns that a stage
-adds for itself begin with two underscores. Null texts count as empty, null ids and sources are values
+DataFrame; all but the last return the columns of ``documents``, whatever they are called. Null texts count as empty, null ids and sources are values
 like others, repeated rows stay repeated unless a stage's own rule removes them, texts of any length are
 taken whole, and an empty table passes as an empty table. Ids are whole numbers and need not be unique:
 stages decide by row. Of rows that tie in id and text any one may stay.
@@ -10,11 +9,11 @@ stages decide by row. Of rows that tie in id and text any one may stay.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import materialize, table
-from factorloom.llm.mixing import mix_sources
+from factorloom.llm.mixing import mix_sources, numbered
 from factorloom.llm.near_dedup import without_near_duplicates
 from factorloom.llm.packing import pack_documents
 from factorloom.llm.quality_model import fit_quality, score_quality
@@ -26,7 +25,8 @@ from factorloom.llm.tokens import default_vocabulary
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, out="__score").where(F.col("__score") >= QUALITY_CUT).select(*docs.columns)
+    out = "__score" + "_" * max(map(len, docs.columns))  # longer than any other name
+    return score_quality(docs, model, out=out).where(F.col(out) >= QUALITY_CUT).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +40,20 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times."""
-    # rows may share an id, so a row's key is a hash of all its columns and a number within equal hashes
-    hashed = docs.withColumn("__hash", F.xxhash64(*docs.columns))
-    number = F.row_number().over(Window.partitionBy("__hash").orderBy("doc_id", "text", "source"))
-    keyed = hashed.withColumn("__row", F.concat_ws(":", F.hex("__hash"), number)).drop("__hash")
-    mixed = mix_sources(keyed.select(F.col("__row").alias("doc_id"), "source", "text"), weights=(3, 1, 2), share=1.5, cap=2.0)
-    taken = mixed.where("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"))
-    return keyed.join(taken, "__row").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+    """Each document as often as the mix takes it: 0, 1 or 2 times.
+
+    Equal rows are one key, so any number of them comes together where it is read: the mix tells how many
+    of them it takes, and the row, kept whole whatever its columns are called, is repeated as often. A key is
+    128 bits of hash of the row, in which any two of 10^10 different rows agree with a chance below 10^-18.
+    """
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    parts = [*columns, *map(F.isnull, columns)]
+    key = F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *parts)))
+    rows = docs.select(key.alias("key"), F.struct(*columns).alias("row"))
+    mixed = mix_sources(docs.select(key.alias("doc_id"), "source", "text"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    taken = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("n"))
+    kept = rows.groupBy("key").agg(F.first("row").alias("row")).join(taken, "key").select("row", "n")
+    return numbered(kept).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
