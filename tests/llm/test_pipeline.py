@@ -52,9 +52,9 @@ def test_an_empty_table_passes(spark):
 def test_registered():
     import __spark_entry__
 
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(registry.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert set(registry.oracle_sql()) == {"op6_url_filters", "op8_line_rules", "op9_near_dedup"}
+    assert set(registry.oracle_sql()) == {"op6_url_filters", "op8_line_rules", "op9_near_dedup", "op11_conversation_repair", "op12_spelling_variants", "op13_ngram_join"}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "secret scans", "mixing sources", "best-fit packing"]
 
 
@@ -118,3 +118,26 @@ def test_mix_goes_by_row(spark):
     size = words(mixed.selectExpr("source", "size(split(trim(text), '[ \\n]+')) n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n"))
     target = words(mix_sources(docs).select("source", "target").distinct().withColumnRenamed("target", "n"))
     assert set(got) == set(target) and all(abs(size[s] - target[s]) <= 30 for s in target)
+
+
+def test_columns_of_any_name_pass(spark):
+    """Extra columns named like what the stages use come out as they went in."""
+    from tests.llm.test_llm import DOCS, prose
+
+    names = ["__hash", "__row", "__copy", "__copies", "__score", "key", "row", "n", "size", "copies", "copy", "share", "block", "chance", "target"]
+    rows = [(k, prose(k, 40), "en", f"s{k % 2}", len(prose(k, 40))) for k in range(30)]
+    docs = spark.createDataFrame([(*r, *[f"{name} {r[0]}" for name in names]) for r in rows], f"{DOCS}, " + ", ".join(f"`{n}` string" for n in names))
+    have = set(docs.collect())
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert set(kept.collect()) <= have
+    assert corpus_pipeline.pack(spark, docs, SF).count() == 30
+
+
+def test_mix_tells_rows_apart_by_where_their_nulls_are(spark):
+    from tests.llm.test_llm import DOCS
+
+    docs = spark.createDataFrame([(1, "x", None, "en", 1), (1, "x", "en", None, 1)] * 3, DOCS)
+    got = {(r["lang"], r["source"]) for r in corpus_pipeline.mix(spark, docs, SF).collect()}
+    assert got == {(None, "en"), ("en", None)}
