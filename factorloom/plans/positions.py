@@ -13,6 +13,7 @@ from factorloom.plans.market import labelled
 from factorloom.plans.research import DAYS, ValueLowVol, prices
 from factorloom.plans.strategy import BOTH, N, OK, PICKED, SCORED
 from factorloom.sources.panel import PanelSource
+from factorloom.streaming.monitoring import replayed
 
 # A name is sold below -10 % of its cost, half of everything below -15 % of the highest value.
 VARIANTS = [("both", 0.10, 0.15), ("fund", None, 0.15), ("plain", None, None), ("stock", 0.10, None)]
@@ -81,3 +82,11 @@ def positions_stops(source):
     """Names stopped out, times that the position was cut, and fees, by year."""
     days = positions_daily(source).withColumn("last", F.coalesce(F.lag("cut").over(Window.partitionBy("strategy").orderBy("trade_date")), F.lit(False)))
     return days.groupBy("strategy", F.year("trade_date").alias("year")).agg(F.sum("stopped").alias("stopped"), F.sum((F.col("cut") & ~F.col("last")).cast("int")).alias("cuts"), F.sum("fees").alias("fees"))
+
+
+@register("alerts_stream", sql.query(*_PATH, """rd AS (SELECT strategy, trade_date, nav / lag(nav) OVER w - 1 AS day_return, (nav - max(nav) OVER w) / max(nav) OVER w AS drawdown FROM walk JOIN pd USING (d) WINDOW w AS (PARTITION BY strategy ORDER BY trade_date))""",
+    "rw AS (SELECT strategy, date_trunc('week', trade_date)::DATE AS trade_date, product(1 + day_return) - 1 AS week_return FROM rd GROUP BY ALL)",
+    "SELECT strategy, trade_date, 'day loss' AS rule, day_return AS value, -0.03::DOUBLE AS \"limit\" FROM rd WHERE day_return < -0.03 UNION ALL SELECT strategy, trade_date, 'drawdown', drawdown, -0.15::DOUBLE FROM rd WHERE drawdown < -0.15 UNION ALL SELECT strategy, trade_date, 'week loss', week_return, -0.05::DOUBLE FROM rw WHERE week_return < -0.05"))
+def alerts_stream(source):
+    """Alerts of all variants from a stream with keyed state that stops and is restarted in the middle of the history."""
+    return replayed(positions_daily(source).select("strategy", "trade_date", "nav"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,22 @@ from factorloom.sources.panel import PanelSource, daily_prices, monthly_panel
 from factorloom.sources.point_in_time import as_of, members_at
 
 
+@dataclass(frozen=True)
 class ValueLowVol(Strategy):
-    """The mean of the ranks of earnings yield and of low volatility, of names that may be bought."""
+    """The ranks of earnings yield and of low volatility, weighted, of names that may be bought.
+
+    A name that rose by ``max_rise`` or more stands at its limit, so no order to buy it is filled: it is no
+    candidate, and the next best takes its place. None: all may be bought.
+    """
+
+    value: float = 1.0
+    low_vol: float = 1.0
+    max_rise: float | None = None
 
     def signals(self, panel: DataFrame) -> DataFrame:
         both = ranks(panel.where("ep is not null and vol is not null"), "ep", "vol")
-        return universe(composite(both, {"ep_rank": 1.0, "vol_rank": 1.0}))
+        able = universe(composite(both, {"ep_rank": self.value, "vol_rank": self.low_vol}))
+        return able if self.max_rise is None else able.where(F.coalesce(F.col("ret") < self.max_rise, F.lit(True)))
 
 
 def prices(source: PanelSource) -> DataFrame:
@@ -36,9 +48,9 @@ DAYS = """px AS (SELECT l_suppkey AS code, l_shipdate::DATE AS day, sum(l_extend
 dp AS (SELECT c.code, d.day AS trade_date, last_value(p.close IGNORE NULLS) OVER (PARTITION BY c.code ORDER BY d.day) AS close, p.close IS NOT NULL AS traded, p.amount AS amount FROM (SELECT DISTINCT code FROM px) c CROSS JOIN (SELECT DISTINCT day FROM px) d LEFT JOIN px p ON p.code = c.code AND p.day = d.day)"""
 
 
-def _backtest_sql(unit: str) -> tuple[str, ...]:
+def _backtest_sql(unit: str, chosen: tuple[str, ...] = (BOTH, SCORED, OK, PICKED)) -> tuple[str, ...]:
     return (
-        BOTH, SCORED, OK, PICKED,
+        *chosen,
         "wt AS (SELECT trade_date AS month, code, 1.0 / count(*) OVER (PARTITION BY trade_date) AS weight FROM pk)",
         DAYS,
         f"dy AS (SELECT trade_date, trade_date = max(trade_date) OVER (PARTITION BY {unit}) AS turn, trade_date = max(trade_date) OVER (PARTITION BY date_trunc('month', trade_date)) AS ends FROM (SELECT DISTINCT trade_date FROM dp))",
@@ -58,8 +70,8 @@ def _backtest_sql(unit: str) -> tuple[str, ...]:
 _UNITS = {"week": "date_trunc('week', trade_date)", "biweekly": "floor((trade_date - DATE '1970-01-05') / 14)", "month": "date_trunc('month', trade_date)", "quarter": "date_trunc('quarter', trade_date)"}
 
 
-def run(source: PanelSource, freq: str = "month") -> tuple[DataFrame, DataFrame]:
-    return backtest(ValueLowVol(), labelled(source), prices(source), BacktestConfig(rebalance_freq=freq, max_holding=N))
+def run(source: PanelSource, freq: str = "month", strategy: Strategy = ValueLowVol()) -> tuple[DataFrame, DataFrame]:
+    return backtest(strategy, labelled(source), prices(source), BacktestConfig(rebalance_freq=freq, max_holding=N))
 
 
 for _freq, _unit in _UNITS.items():
@@ -146,6 +158,22 @@ def tradable(source):
     return picked(source).select("trade_date", "code", (~F.col("is_suspend") & F.coalesce(F.col("ret") < 0.1, F.lit(True))).alias("tradable"))
 
 
+_CAREFUL = ValueLowVol(value=2.0, low_vol=1.0, max_rise=0.1)
+_CAREFUL_SQL = (BOTH, "sc AS (SELECT *, (2.0 * ep_rank + vol_rank) / 3.0 AS score FROM rk)", f"{OK[:-1]} AND coalesce(ret < 0.1, true))", PICKED)
+
+
+@register("tradable_picks", sql.query(*_CAREFUL_SQL, "SELECT trade_date, code, 1.0 / count(*) OVER (PARTITION BY trade_date) AS weight FROM pk"))
+def tradable_picks(source):
+    """What a strategy with parameters of its own picks, of names whose orders can be filled."""
+    return _CAREFUL.weights(_CAREFUL.signals(labelled(source)), BacktestConfig(max_holding=N))
+
+
+@register("backtest_tradable", sql.query(*_backtest_sql(_UNITS["month"], _CAREFUL_SQL), "SELECT * FROM dd"))
+def backtest_tradable(source):
+    """Value and drawdown of the same strategy over daily prices."""
+    return run(source, "month", _CAREFUL)[0]
+
+
 @register("dropped_rows", sql.query("SELECT trade_date, count(*) AS n, count(*) - count(ep) AS no_ep, count(*) - count(mom) AS no_mom, count(*) - count(fwd) AS no_label FROM lab GROUP BY trade_date"))
 def dropped_rows(source):
     """What guarded divisions and short histories leave out, so that nothing vanishes unseen."""

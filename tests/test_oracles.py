@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-NAMES = ["panel", "universe_filter", "factor_momentum20", "winsorize", "monthly_ic_all_dates", "ic_by_industry", "select_top_n", "trades", "nav_fold", "perf_metrics", "daily_alerts", "asof_return", "published_roe", "index_members", "backtest_quarter", "clean_gap", "checklist", "diagnosis_questions", "factor_corr_by_year", "positions_daily", "figures_known", "multi_netting", "attribution_levels", "optimised_weights_check"]
+NAMES = ["panel", "universe_filter", "factor_momentum20", "winsorize", "monthly_ic_all_dates", "ic_by_industry", "select_top_n", "trades", "nav_fold", "perf_metrics", "daily_alerts", "asof_return", "published_roe", "index_members", "backtest_quarter", "clean_gap", "checklist", "diagnosis_questions", "factor_corr_by_year", "positions_daily", "alerts_stream", "tradable_picks", "backtest_tradable", "figures_known", "multi_netting", "attribution_levels", "optimised_weights_check"]
 
 
 @pytest.fixture(scope="module")
