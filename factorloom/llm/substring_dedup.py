@@ -495,6 +495,17 @@ class PassageIndex:
         self.generation, self.buckets = new, buckets
 
 
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with a key and the part they are dealt to: the id's, or that of id and text where ids repeat.
+
+    So null or repeated ids spread like others; only equal rows share a part. Two of n different rows that repeat
+    ids have one key with a chance of about n^2 / 2^65.
+    """
+    repeated = rows.groupBy("__id").count().where("count > 1").limit(1).count()
+    row_key = F.xxhash64("__id", "text") if repeated else F.col("__id")
+    return rows.withColumn("__row", row_key).withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("int"))
+
+
 def remove_repeats(docs: DataFrame, match: int = 50, index: PassageIndex | None = None) -> DataFrame:
     """doc_id, n_bytes, ``spans`` removed (start, end in bytes) and the ``kept`` bytes of each row.
 
@@ -515,9 +526,7 @@ def remove_repeats(docs: DataFrame, match: int = 50, index: PassageIndex | None
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     parts = index.buckets if index is not None and index.buckets else parts
-    repeated = rows.groupBy("__id").count().where("count > 1").limit(1).count()
-    row_key = F.xxhash64("__id", "text") if repeated else F.col("__id")
-    rows = rows.withColumn("__row", row_key).withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(parts)).cast("int"))
+    rows = _dealt(rows, parts)
     own = texts = rows.select("text", "__id", "__row", "__part")
     indexed = own.mapInArrow(_index(match, parts), OUT)
     if index is not None:

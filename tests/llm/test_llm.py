@@ -571,6 +571,18 @@ def test_repeats_in_odd_tables(spark, odd):
         substring_dedup.remove_repeats(odd, match=20)
 
 
+def test_rows_that_share_an_id_are_dealt_evenly(spark):
+    rows = spark.createDataFrame([(None if k % 2 else k, f"text {k}", "", "", 0) for k in range(4000)], DOCS)
+    dealt = substring_dedup._dealt(rows.withColumn("__id", F.coalesce("doc_id", F.lit(substring_dedup.FIRST))), 16)
+    sizes = [r["count"] for r in dealt.groupBy("__part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.3 * 4000 / 16
+    # and what is removed stays right: a later id is cut by those without one, these never by each other
+    shared = "".join(chr(97 + (7 * k * k + k) % 26) for k in range(90))
+    few = spark.createDataFrame([(None, f"{n} {shared}", "", "", 0) for n in range(40)] + [(5, f"five {shared} end", "", "", 0)], DOCS)
+    got = {(r["doc_id"], bytes(r["kept"]).decode()) for r in substring_dedup.remove_repeats(few).collect()}
+    assert got == {(None, f"{n} {shared}") for n in range(40)} | {(5, "five end")}
+
+
 # line rules
 
 
