@@ -1,7 +1,8 @@
 """The corpus pipeline: raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns a
-DataFrame; all but the last return the columns of ``documents``, whatever they are called. Null texts count as empty, null ids and sources are values
+DataFrame; all but the last return the columns of ``documents``, whatever they are called (but for names
+with a dot, which PySpark's Arrow maps can't take). Null texts count as empty, null ids and sources are values
 like others, repeated rows stay repeated unless a stage's own rule removes them, texts of any length are
 taken whole, and an empty table passes as an empty table. Ids are whole numbers and need not be unique:
 stages decide by row. Of rows that tie in id and text any one may stay.
