@@ -7,16 +7,27 @@ from hashlib import sha256
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.expressions import percent_rank, safe_div
+from factorloom.functions.expressions import safe_div
 
 
 def ranked_features(values: DataFrame, names: list[str], label: str = "fwd") -> DataFrame:
-    """trade_date, code, each of ``names`` as its share rank of the date, less one half (0 where unknown), and the label's rank likewise, null where unknown."""
-    centred = {n: F.coalesce(percent_rank(F.col(n), "trade_date") - 0.5, F.lit(0.0)) for n in names}
-    return values.select("trade_date", "code", *[c.alias(n) for n, c in centred.items()], (percent_rank(F.col(label), "trade_date") - 0.5).alias("label"))
+    """trade_date, code, each of ``names`` as its share rank of the date, less one half (0 where unknown), and the label's rank likewise, null where unknown.
+
+    Columns are ranked as rows of their own, one sort of narrow rows for all, so a task never sorts a date's wide rows once for each
+    column. A date and code are one row of ``values``.
+    """
+    columns = F.array(*[F.col(n).cast("double") for n in (*names, label)])
+    long = values.select("trade_date", "code", F.posexplode(columns).alias("i", "x")).withColumn("some", F.col("x").isNotNull())
+    w = Window.partitionBy("trade_date", "i", "some")
+    peers = F.count(F.lit(1)).over(w.orderBy("x").rangeBetween(Window.currentRow, Window.currentRow))
+    share = F.when(F.col("some"), safe_div(F.rank().over(w.orderBy("x")) + (peers - 1) / 2.0, F.count(F.lit(1)).over(w)) - 0.5)
+    # dealt by row first, so that no map of partial rows is held before the shuffle
+    ranked = long.select("trade_date", "code", "i", share.alias("share")).repartition("trade_date", "code")
+    of = lambda i: F.max(F.when(F.col("i") == i, F.col("share")))
+    return ranked.groupBy("trade_date", "code").agg(*[F.coalesce(of(i), F.lit(0.0)).alias(n) for i, n in enumerate(names)], of(len(names)).alias("label"))
 
 
 def walk_forward(rows: DataFrame, names: list[str], least_years: int = 2, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:

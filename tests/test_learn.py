@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from factorloom.functions.expressions import percent_rank
 from factorloom.operators.learn import composite_ic, fitness, linear_score, moments_by_date, ranked_features, search_weights, walk_forward
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def test_features_are_ranks_of_the_date(panel):
     assert r[1] == 0.5 and r[0] == pytest.approx(1 / 25 - 0.5) and r[2] == 0
 
 
+def test_ranks_of_more_columns_need_no_more_sorts(panel):
+    sorts = lambda names: ranked_features(panel, names)._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    assert sorts(NAMES) == sorts(NAMES[:1])
+    tied = panel.withColumns({"a": F.floor("a").cast("double"), "fwd": F.when(F.col("code") > 2, F.col("fwd"))})
+    want = tied.select("trade_date", "code", *[(percent_rank(F.col(n), "trade_date") - 0.5).alias(n) for n in (*NAMES, "fwd")]).collect()
+    got = {(r.trade_date, r.code): r for r in ranked_features(tied, NAMES).collect()}
+    assert len(got) == len(want) and all(tuple(got[r.trade_date, r.code])[2:] == (r.a, r.b or 0.0, r.c, r.fwd) for r in want)
+
+
 def test_forests_know_nothing_of_the_future(panel):
     cut = dt.date(2002, 12, 1)
     key = lambda df: {(r.trade_date, r.code): round(r.score, 12) for r in df.where(F.col("trade_date") <= cut).collect()}
