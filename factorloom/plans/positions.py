@@ -10,9 +10,10 @@ from factorloom.operators.positions import path_rows, walk
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
 from factorloom.plans.market import labelled
-from factorloom.plans.research import DAYS, ValueLowVol, prices
+from factorloom.plans.research import DAYS, ValueLowVol, prices_of
 from factorloom.plans.strategy import BOTH, N, OK, PICKED, SCORED
 from factorloom.sources.panel import PanelSource
+from factorloom.sources.scratch import written
 from factorloom.streaming.monitoring import replayed
 
 # A name is sold below -10 % of its cost, half of everything below -15 % of the highest value.
@@ -24,9 +25,9 @@ def walked(source: PanelSource) -> DataFrame:
 
     def build() -> DataFrame:
         config = BacktestConfig(max_holding=N)
-        weights = ValueLowVol().weights(ValueLowVol().signals(labelled(source)), config).withColumnRenamed("trade_date", "month")
+        weights = written(ValueLowVol().weights(ValueLowVol().signals(labelled(source)), config).withColumnRenamed("trade_date", "month"), "weights")
         variants = source.spark.createDataFrame(VARIANTS, "strategy string, stock_limit double, fund_limit double")
-        rows = path_rows(weights, prices(source), "month")
+        rows = path_rows(weights, prices_of(source, weights), "month")
         return walk(rows.select("*", F.explode(F.array(*[F.lit(n) for n, _, _ in VARIANTS])).alias("strategy")), variants, config)
 
     return source.once("positions", build)

@@ -157,3 +157,17 @@ def test_correlations_by_ranges(spark, keys):
                 assert n == len(both) and (rho is None if want is None else abs(rho - want) < 1e-12)
                 seen += 1
     assert seen == len(got)
+
+
+def test_backtests_price_only_what_is_held(spark, sf):
+    from factorloom.plans.research import prices, run
+    from factorloom.sources.panel import PanelSource, daily_prices
+
+    source = PanelSource(spark, sf)
+    run(source, "quarter")
+    assert not {"prices", "days"} & set(source.held)
+    codes = prices(source).select("code").distinct().limit(3)
+    held = [r.code for r in codes.collect()]
+    got = daily_prices(source, spark.createDataFrame([(c,) for c in held], codes.schema))
+    want = prices(source).where(F.col("code").isin(held))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
