@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from factorloom.functions.expressions import safe_div
 from factorloom.operators.attribution import effects, levels
 from factorloom.operators.combine import universe
-from factorloom.operators.evaluate import density, rank_ic
+from factorloom.operators.evaluate import density
 from factorloom.operators.factors import LIBRARY
+from factorloom.operators.sections import section_ics
 from factorloom.operators.several import combined, netting, risk_allocation, strategy_gross, strategy_weights
 from factorloom.plans import sql
 from factorloom.plans.catalog import register
 from factorloom.plans.market import labelled
-from factorloom.plans.screening import _PROFILE, KEYS, tidy
+from factorloom.plans.screening import _PROFILE, sectioned
 from factorloom.plans.strategy import BOTH, CAL, N, OK, PICKED, SCORED, picked
 from factorloom.sources.panel import PanelSource, calendar
 
@@ -124,8 +125,7 @@ def chosen(source: PanelSource) -> DataFrame:
     have not failed the one of the greatest mean IC is taken, of a family that has wholly failed the greatest of all.
     ICs count as whole millionths, so the choice is the same in any run.
     """
-    raw = source.once("tidy", lambda: tidy(source))
-    ics = source.once("ics", lambda: rank_ic(raw, "factor", keys=KEYS))
+    ics = section_ics(sectioned(source))
     names = F.array(*[F.struct(F.lit(n).alias("factor_name"), F.lit(f.family).alias("family")) for n, f in LIBRARY.factors.items()])
     grid = ics.select("trade_date").distinct().select("trade_date", F.inline(names))
     rows = grid.join(ics, ["trade_date", "factor_name"], "left").withColumn("x", F.round(F.col("ic") * 1e6).cast("bigint"))

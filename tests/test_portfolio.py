@@ -171,3 +171,27 @@ def test_backtests_price_only_what_is_held(spark, sf):
     got = daily_prices(source, spark.createDataFrame([(c,) for c in held], codes.schema))
     want = prices(source).where(F.col("code").isin(held))
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_sections_are_those_of_the_columns(spark):
+    from factorloom.operators.clean import clean
+    from factorloom.operators.evaluate import layer_returns, rank_ic
+    from factorloom.operators.factors import LIBRARY
+    from factorloom.operators.sections import section_ics, sections
+
+    rng = np.random.default_rng(4)
+    some = lambda v: None if rng.random() < 0.1 else round(float(v), 2)
+    rows = [(DAY(2001, m, 1), c, None if c == 7 else c % 4, some(rng.random() * 9), some(rng.normal()), some(rng.normal()), some(rng.normal())) for m in (1, 2) for c in range(60)]
+    values = spark.createDataFrame(rows, "trade_date date, code long, industry int, market_cap double, fwd double, ep double, momentum20 double")
+    made = sections(values, [LIBRARY["ep"], LIBRARY["momentum20"]], chunk=1).cache()
+    assert made.count() == 4
+    for name in ("ep", "momentum20"):
+        one = clean(values, name, LIBRARY[name].neutralize).withColumn(name, F.round(name, 9) + 0.0).where(F.col(name).isNotNull() & F.col("fwd").isNotNull())
+        mine = made.where(F.col("factor_name") == name)
+        assert sorted(section_ics(mine).select("trade_date", "ic", "n").collect()) == sorted(rank_ic(one, name).collect())
+        parts = mine.select("trade_date", F.inline("industries")).select("trade_date", "part", F.round("ic", 11))
+        assert sorted(parts.collect()) == sorted(rank_ic(one.where("industry is not null"), name, keys=("trade_date", "industry"), min_names=2).select("trade_date", "industry", F.round("ic", 11)).collect())
+        for side, sign in (("up", 1), ("down", -1)):
+            want = {(r.trade_date, r.group): (r.ret, r.n) for r in layer_returns(one.withColumn(name, F.col(name) * sign), name).collect()}
+            got = {r.trade_date: (r[side], len(r[f"{side}_members"])) for r in mine.collect()}
+            assert all(got[d][0][g - 1] == pytest.approx(v) and (g < 5 or got[d][1] == n) for (d, g), (v, n) in want.items()) and len(want) == 10
