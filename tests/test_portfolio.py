@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.backtest import BacktestConfig, Costs
@@ -195,3 +196,20 @@ def test_sections_are_those_of_the_columns(spark):
             want = {(r.trade_date, r.group): (r.ret, r.n) for r in layer_returns(one.withColumn(name, F.col(name) * sign), name).collect()}
             got = {r.trade_date: (r[side], len(r[f"{side}_members"])) for r in mine.collect()}
             assert all(got[d][0][g - 1] == pytest.approx(v) and (g < 5 or got[d][1] == n) for (d, g), (v, n) in want.items()) and len(want) == 10
+
+
+def test_shares_of_winsorized_values_from_counts(spark):
+    from factorloom.functions.expressions import average_rank, clip, percent_rank
+    from factorloom.plans.grid import WINSOR, tails, winsorized_share
+
+    rng = np.random.default_rng(6)
+    dates = [DAY(2001, m, 1) for m in (1, 2, 3)]
+    rows = [(dates[0], c, float(rng.integers(0, 30)), float(rng.normal())) for c in range(80)] + [(dates[1], c, 1.0, float(c // 2)) for c in range(5)] + [(dates[2], 0, 2.0, 3.0)]
+    rows = spark.createDataFrame(rows, "trade_date date, code long, ep double, vol double").withColumns({f"{f}_rank": average_rank(F.col(f), "trade_date") for f in ("ep", "vol")}).cache()
+    met = rows.join(tails(rows), "trade_date")
+    for i, q in enumerate(WINSOR):
+        for f in ("ep", "vol"):
+            w = Window.partitionBy("trade_date")
+            clipped = rows.withColumn("x", clip(F.col(f), F.percentile(f, q).over(w), F.percentile(f, 1 - q).over(w)))
+            want = clipped.select("trade_date", "code", percent_rank(F.col("x"), "trade_date").alias("r")).collect()
+            assert sorted(met.select("trade_date", "code", winsorized_share(f, i).alias("r")).collect()) == sorted(want)
