@@ -10,7 +10,8 @@ agree on the other segment's one-deletion neighbourhood, without losing a link.
 
 Which way a list goes is decided by cost. Members are first compared with one pivot of each list, which costs as much as the
 list is long. Lists whose members are then still in several components are compared in blocks, each with each
-across components, or, where that is dearer than posting one-deletion neighbourhoods, are cut by these first.
+across components, or, where that is dearer than posting one-deletion neighbourhoods, are cut by these first. Only what
+is compared in blocks has a sketch, of as many counters as its size asks for.
 All links are verified on full sets; sets that are equal are one node from the start.
 """
 
@@ -29,7 +30,7 @@ from factorloom.llm.near_dedup import BLOCK, FIRST, KEY, PAIR, SLICE_BYTES, _acr
 
 WIDTH = 3
 PERCENT = 90
-#: Counters of a sketch: many more than the differences of similar texts of some hundred words, so few of these cancel out.
+#: Counters of a sketch at least.
 COUNTERS = 128
 #: What cutting a list costs for each member, in comparisons of two sketches: a segment has about nine elements, so ten
 #: posts, and a post takes as long as some fifty comparisons.
@@ -49,6 +50,11 @@ def most_different(a: int, b: int, percent: int = PERCENT) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
+def counters(size: int, percent: int = PERCENT) -> int:
+    """Of a sketch: a power of two, and twice what the set and one as large may differ in, so that few differences cancel out."""
+    return max(COUNTERS, 1 << (2 * most_different(size, size, percent) - 1).bit_length())
+
+
 def bands(largest: int, percent: int = PERCENT) -> list[int]:
     """The least size of each band, up to the first that is above ``largest``; a band spans two steps of similarity."""
     starts = [1]
@@ -108,7 +114,7 @@ def neighbourhoods(elements: np.ndarray, band: int, count: int, wanted: set[int]
 
 
 def _posted(percent: int, width: int):
-    """The row's key, n_shingles, node (the set's digest), posts, sketch (counters of elements, a byte each)."""
+    """The row's key, n_shingles, node (the set's digest), posts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,10 +127,9 @@ def _posted(percent: int, width: int):
                 for i, band, count in plan(sizes, percent):
                     posts[i].append(posts_of(parts[i], band, count))
                 flat = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in posts]
-                nodes, sketches = [], []
+                nodes = []
                 for x in parts:
                     nodes.append(np.array([np.add.reduce(_mix(x + _C[0])), np.bitwise_xor.reduce(_mix(x ^ _C[1])) + np.uint64(len(x))], np.uint64).tobytes())
-                    sketches.append(np.bincount((_mix(x + _C[3]) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint8).tobytes())
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in flat])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -132,9 +137,8 @@ def _posted(percent: int, width: int):
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))),
-                        pa.array(sketches, pa.binary()),
                     ],
-                    names=[*KEY, "n_shingles", "node", "posts", "sketch"],
+                    names=[*KEY, "n_shingles", "node", "posts"],
                 )
             give_back()
 
@@ -161,10 +165,55 @@ def _refined(percent: int, width: int):
     return run
 
 
+def sketch_of(elements: np.ndarray, count: int) -> np.ndarray:
+    """Counters of elements, a byte each, that run over."""
+    return np.bincount((_mix(elements + _C[3]) % np.uint64(count)).astype(np.int64), minlength=count).astype(np.uint8)
+
+
+def _sketched(percent: int, width: int):
+    """node, n_shingles, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, last in row_groups(lengths, SLICE_BYTES):
+                part = batch.slice(first, last - first)
+                sets, sizes = shingle_sets(part.column("text"), width)
+                made = [sketch_of(x, counters(len(x), percent)).tobytes() for x in np.split(sets, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], names=["node", "n_shingles", "sketch"])
+            give_back()
+
+    return run
+
+
+class _Sketches:
+    """A block's sketches, which may be had with fewer counters: those of a power of two add up to those of a smaller one."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.whole = [np.frombuffer(s, np.uint8) for s in packed]
+        self.counts = np.array([len(s) for s in self.whole])
+        self.made: dict[int, np.ndarray] = {}
+
+    def of(self, count: int) -> np.ndarray:
+        """A row for each sketch that has so many counters or more; of zeros for the others."""
+        if count not in self.made:
+            made = np.zeros((len(self.whole), count), np.uint8)
+            for i, s in enumerate(self.whole):
+                if len(s) >= count:
+                    made[i] = s.reshape(-1, count).sum(0, dtype=np.uint8)
+            self.made[count] = made
+        return self.made[count]
+
+
+def _differences(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    gap = others - one  # wraps around
+    return np.minimum(gap, np.uint8(0) - gap).sum(1, dtype=np.int64)
+
+
 def _apart(percent: int):
     """Of two blocks of a list: pairs of different components whose sketches are near enough.
 
-    Counters that differ by d hold at least d elements that differ, also where they have run over. Pairs that are no more
+    Pairs that are near by the fewest counters are looked at again by all that both have. Counters that differ by d hold at least d elements that differ, also where they have run over. Pairs that are no more
     than the nodes are told one by one, so that those of several lists are compared once (task is null); of more pairs only
     the nodes are told, under a task for the two blocks.
     """
@@ -177,14 +226,17 @@ def _apart(percent: int):
                 nodes = [side.field("node").to_pylist() for side in (one, two)]
                 names = {label: i for i, label in enumerate(dict.fromkeys([*labels[0], *labels[1]]))}
                 (label_a, size_a, sketch_a), (label_b, size_b, sketch_b) = (
-                    (np.array([names[x] for x in labels[k]]), side.field("n_shingles").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(side.field("sketch").to_pylist()), np.uint8).reshape(-1, COUNTERS)) for k, side in enumerate((one, two))
+                    (np.array([names[x] for x in labels[k]]), side.field("n_shingles").to_numpy(zero_copy_only=False), _Sketches(side.field("sketch").to_pylist())) for k, side in enumerate((one, two))
                 )
                 pairs: list[tuple[int, int]] = []
                 for i in range(len(one)):
-                    gap = sketch_b - sketch_a[i]  # wraps around
-                    differ = np.minimum(gap, np.uint8(0) - gap).sum(1, dtype=np.int64)
-                    near = np.flatnonzero((label_b != label_a[i]) & (differ * (100 + percent) <= (size_b + size_a[i]) * (100 - percent)))
-                    pairs += [(i, j) for j in near.tolist()]
+                    most = (size_b + size_a[i]) * (100 - percent)
+                    near = np.flatnonzero((label_b != label_a[i]) & (_differences(sketch_a.of(COUNTERS)[i], sketch_b.of(COUNTERS)) * (100 + percent) <= most))
+                    both = np.minimum(sketch_a.counts[i], sketch_b.counts[near])
+                    for count in np.unique(both).tolist():
+                        at = near[both == count]
+                        at = at[_differences(sketch_a.of(count)[i], sketch_b.of(count)[at]) * (100 + percent) <= most[at]]
+                        pairs += [(i, j) for j in at.tolist()]
                 if len(pairs) <= len(one) + len(two):
                     found = [sorted(((nodes[0][i], labels[0][i]), (nodes[1][j], labels[1][j]))) for i, j in pairs]
                     rows = [(None, None, *a, *b) for a, b in found]
@@ -209,7 +261,7 @@ def _several(told: DataFrame) -> DataFrame:
     return told.join(one.select("key"), "key").select("key", "node", "label")
 
 
-def _mixed_posts(told: DataFrame, nodes: DataFrame, percent: int, width: int, texts: DataFrame, neighbours: int) -> DataFrame:
+def _mixed_posts(told: DataFrame, percent: int, width: int, texts: DataFrame, neighbours: int) -> DataFrame:
     """key, node, label, n_shingles, sketch of the lists to be compared in blocks, the dearest ones cut before."""
     mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     lists = materialize(told.join(mixed.select("key"), "key"), "mixed-lists")
@@ -220,17 +272,18 @@ def _mixed_posts(told: DataFrame, nodes: DataFrame, percent: int, width: int, te
     cut = asked.select("node", "keys").join(texts, "node").select("node", "keys", "text").mapInArrow(_refined(percent, width), "key bigint, node binary")
     cut = materialize(cut.distinct().join(asked.select("node", "label"), "node").select("key", "node", "label"), "neighbourhoods")
     left = lists.join(dear, "key", "left_anti").select("key", "node", "label").unionByName(cut)
-    left = _several(materialize(left, "lists-to-compare"))
-    return materialize(left.join(nodes.select("node", "sketch", "n_shingles"), "node"), "lists")
+    left = materialize(_several(materialize(left, "lists-to-compare")), "lists-of-several")
+    sketches = left.select("node").distinct().join(texts, "node").select("node", "text").mapInArrow(_sketched(percent, width), "node binary, n_shingles bigint, sketch binary")
+    return materialize(left.join(sketches, "node"), "lists")
 
 
 def _joined(docs: DataFrame, percent: int, width: int, neighbours: int) -> tuple[DataFrame, DataFrame]:
     """id, n_shingles, node of each row; and for each node the least row key of its component."""
     rows = docs.select(*_key(), text_of().alias("text"))
-    shape = "id bigint, text_hash bigint, text_hash_2 bigint, n_shingles bigint, node binary, posts array<bigint>, sketch binary"
+    shape = "id bigint, text_hash bigint, text_hash_2 bigint, n_shingles bigint, node binary, posts array<bigint>"
     signed = materialize(rows.mapInArrow(_posted(percent, width), shape), "sets")
     # equal sets first: copies are one node, however many they are
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), *[F.first(c).alias(c) for c in ("posts", "sketch", "n_shingles")])
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), *[F.first(c).alias(c) for c in ("posts", "n_shingles")])
     nodes = materialize(nodes, "set-nodes")
     posted = nodes.select(F.explode("posts").alias("key"), "node")
     often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
@@ -253,7 +306,7 @@ def _joined(docs: DataFrame, percent: int, width: int, neighbours: int) -> tuple
 
     label = F.coalesce("label", "node").alias("label")
     told = materialize(posts.join(labels, "node", "left").select("key", "node", label), "labelled-posts")
-    lists = _mixed_posts(told, nodes, percent, width, texts, neighbours)
+    lists = _mixed_posts(told, percent, width, texts, neighbours)
     # the largest component of a list, or one of them, is its main one; blocks are bounded by rows and by text
     sizes = lists.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "label", "shingles")).alias("m"), F.sum("count").alias("all"), F.sum("shingles").alias("shingles"))

@@ -138,3 +138,23 @@ def test_shingles_of_either_width():
     for width in (3, 5):
         _, sizes = near_dedup.shingle_sets(pa.array(["a b c d e f", "a b", None, "a a a a a a a"]), width)
         assert sizes.tolist() == [7 - width, 1, 0, 1]
+
+
+def test_sketches_tell_long_texts_apart():
+    """They never lose a link, fold to fewer counters, and drop long sets that differ in twice what similar ones may."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for size in (40, 900, 4000):
+        most = nj.most_different(size, size)
+        one = rng.integers(0, 2**63, size, dtype=np.uint64)
+        linked, apart = (np.concatenate([one[d:], rng.integers(0, 2**63, d, dtype=np.uint64)]) for d in (most // 2, most))
+        count = nj.counters(size)
+        long, short = nj.sketch_of(one, count), nj.sketch_of(one, nj.COUNTERS)
+        assert (nj._Sketches([long.tobytes()]).of(nj.COUNTERS)[0] == short).all()
+        member = lambda x, name: {"node": name, "label": name, "n_shingles": len(x), "sketch": nj.sketch_of(x, nj.counters(len(x))).tobytes()}
+        kind = pa.list_(pa.struct({"node": pa.binary(), "label": pa.binary(), "n_shingles": pa.int64(), "sketch": pa.binary()}))
+        batch = pa.record_batch({"key": pa.array([1]), "a_name": pa.array([0]), "b_name": pa.array([1]), "a_members": pa.array([[member(one, b"one")]], kind), "b_members": pa.array([[member(linked, b"linked"), member(apart, b"apart")]], kind)})
+        found = {frozenset((r["node"], r["other"])) for out in nj._apart(90)(iter([batch])) for r in out.to_pylist()}
+        assert frozenset((b"one", b"linked")) in found
+        assert size < 900 or found == {frozenset((b"one", b"linked"))}
