@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.operators.evaluate import rank_ic
 from factorloom.operators.factors import LIBRARY, calc_factors
-from factorloom.operators.learn import linear_score, moments_by_date, ranked_features, search_weights, walk_forward, with_label
+from factorloom.operators.learn import composite_rank_ics, linear_score, moments_by_date, ranked_features, search_by_year, walk_forward, with_label
 from factorloom.plans.catalog import register
 from factorloom.plans.market import labelled
 from factorloom.sources.panel import PanelSource
 
 FEATURES = ["ep", "bp", "roe", "roa", "enhanced_ep", "intraday", "gap", "momentum20", "volatility20", "amihud", "revenue_growth"]
-# The first year that the search's weights are used in; its fitness ends before.
-FIRST_YEAR = 1999
-SEARCHED = FEATURES[:6]
 
 
 def features(source: PanelSource) -> DataFrame:
@@ -43,14 +42,19 @@ def learned_ic(source):
 
 @register("searched_weights")
 def searched_weights(source):
-    """The best weights of each generation, by ICs before the first year of use, and how they do from then on."""
+    """The best weights of each generation for each year that has years before it, by ICs before that year, and how they do from then on.
+
+    All features are searched. The ICIR is null where the years before have no ICs to tell by.
+    """
     rows = features(source)
-    moments = source.once("moments", lambda: moments_by_date(rows, SEARCHED))
-    best = search_weights(moments.where(F.year("trade_date") < FIRST_YEAR), SEARCHED, [(1,) * len(SEARCHED)])
-    found = source.spark.createDataFrame([(g, list(w), f) for g, w, f in best], "generation int, weights array<int>, icir double")
-    after = None
-    for generation in sorted({g for g, _, _ in (best[0], best[-1])}):
-        scores = linear_score(rows.where(F.year("trade_date") >= FIRST_YEAR), SEARCHED, best[generation][1])
-        one = rank_ic(with_label(scores, rows), "score", "label").agg(F.avg("ic").alias("later_ic"), F.count("ic").alias("later_dates")).withColumn("generation", F.lit(generation))
-        after = one if after is None else after.unionByName(one)
-    return found.join(F.broadcast(after), "generation", "left").select("generation", "weights", "icir", "later_ic", "later_dates")
+    moments = source.once("moments", lambda: moments_by_date(rows, FEATURES))
+    years = sorted(r["year"] for r in rows.select(F.year("trade_date").alias("year")).distinct().collect())  # as many as the calendar has
+    best = search_by_year(moments, FEATURES, [(1,) * len(FEATURES)], years[1:])
+    since: dict[tuple[int, ...], int] = {}  # of each weights, which several years and generations share, the first year
+    for year, _, weights, _ in best:
+        since[weights] = min(year, since.get(weights, year))
+    ids = {w: i for i, w in enumerate(since)}
+    ics = composite_rank_ics(rows, FEATURES, source.spark.createDataFrame([(ids[w], list(w), y) for w, y in since.items()], "id int, weights array<int>, since int"))
+    found = source.spark.createDataFrame([(y, g, list(w), f if isfinite(f) else None, ids[w]) for y, g, w, f in best], "year int, generation int, weights array<int>, icir double, of int")
+    later = found.join(ics, (F.col("of") == F.col("id")) & (F.year("trade_date") >= F.col("year")), "left")
+    return later.groupBy("year", "generation", "weights", "icir").agg(F.round(F.avg("ic"), 12).alias("later_ic"), F.count("ic").alias("later_dates"))

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 
 from factorloom.functions.expressions import percent_rank
-from factorloom.operators.learn import composite_ic, fitness, linear_score, moments_by_date, ranked_features, search_weights, walk_forward
+from factorloom.operators.evaluate import rank_ic
+from factorloom.operators.learn import composite_ic, fitness, linear_score, moments_by_date, ranked_features, search_by_year, search_weights, walk_forward, with_label
+from factorloom.plans.learned import FEATURES, searched_weights
+from factorloom.sources.panel import PanelSource
 from pyspark.sql import functions as F
 
 NAMES = ["a", "b", "c"]
@@ -66,6 +69,59 @@ def test_search(panel):
     assert len(best) == 4 and best[-1][1][0] > 0 > best[-1][1][1]  # what the labels were made from
 
 
+def test_search_of_a_year_is_that_of_the_years_before(panel):
+    moments = moments_by_date(ranked_features(panel, NAMES), NAMES)
+    found = search_by_year(moments, NAMES, [(1, 1, 1)], [2001, 2003], generations=3, size=8)
+    assert sorted((y, g) for y, g, _, _ in found) == [(y, g) for y in (2001, 2003) for g in range(3)]
+    for year in (2001, 2003):
+        past = moments.where(F.year("trade_date") < year)
+        assert [tuple(f) for y, *f in found if y == year] == search_weights(past, NAMES, [(1, 1, 1)], generations=3, size=8)
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """The features of the plan, on four years without a label in the first three months of 2000 and the last of 2003."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for m in range(48):
+        for code in range(25):
+            x = [float(v) for v in rng.normal(size=len(FEATURES))]
+            y = x[0] - 2 * x[-1] + float(rng.normal())  # the last of the features tells most
+            rows.append((dt.date(2000 + m // 12, m % 12 + 1, 1), code, *x, y if 3 <= m < 47 else None))
+    return spark.createDataFrame(rows, f"trade_date date, code long, {', '.join(f'{n} double' for n in FEATURES)}, fwd double")
+
+
+def test_searched_weights_look_at_all_years_features_and_generations(spark, wide):
+    rows = ranked_features(wide, FEATURES).persist()
+    found = sorted(searched_weights(PanelSource(spark, "", {"features": rows})).collect(), key=lambda r: (r.year, r.generation))
+    assert [(r.year, r.generation) for r in found] == [(y, g) for y in (2001, 2002, 2003) for g in range(6)]
+    assert all(len(r.weights) == len(FEATURES) and r.icir is not None and r.later_ic is not None for r in found)
+    assert {r.year: r.later_dates for r in found} == {2001: 35, 2002: 23, 2003: 11}
+    assert all(r.weights[-1] < 0 for r in found if r.generation == 5)
+    moments = moments_by_date(rows, FEATURES)
+    for r in (found[2], found[-1]):
+        weights, cut = tuple(r.weights), F.year("trade_date") < r.year
+        assert fitness(moments.where(cut), [weights])[weights] == pytest.approx(r.icir)
+        direct = rank_ic(with_label(linear_score(rows.where(~cut), FEATURES, weights), rows), "score", "label")
+        assert r.later_ic == pytest.approx(direct.agg(F.avg("ic")).first()[0])
+    rows.unpersist()
+
+
+def test_searched_weights_know_nothing_of_the_future(spark, wide):
+    cut = dt.date(2001, 12, 1)
+    key = lambda df: sorted((r.year, r.generation, tuple(r.weights), r.icir) for r in searched_weights(PanelSource(spark, "", {"features": ranked_features(df, FEATURES)})).where("year <= 2002").collect())
+    past = wide.withColumn("fwd", F.when(F.col("trade_date") <= cut, F.col("fwd"))).where("trade_date <= '2002-01-01'")
+    assert key(wide) == key(past)
+
+
+def test_searched_weights_where_the_past_tells_nothing(spark, wide):
+    late = wide.withColumn("fwd", F.when(F.year("trade_date") > 2000, F.col("fwd")))
+    found = searched_weights(PanelSource(spark, "", {"features": ranked_features(late, FEATURES)})).collect()
+    assert {r.year for r in found if r.icir is None} == {2001} and len(found) == 18
+    assert searched_weights(PanelSource(spark, "", {"features": ranked_features(wide.where("false"), FEATURES)})).count() == 0
+    assert searched_weights(PanelSource(spark, "", {"features": ranked_features(wide.where("trade_date < '2001-01-01'"), FEATURES)})).count() == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "trade_date date, code long, a double, b double, c double, fwd double")
     assert walk_forward(ranked_features(none, NAMES), NAMES).count() == 0
